@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 
 import numpy as np
 import regex
@@ -28,6 +30,8 @@ FIRST_WINDOW = 2
 CACHE = 400_000
 #: Tokens that one leaf of the decoding tree joins.
 DECODE_LEAF = 4096
+#: A space that the pattern may take together with other white space.
+UNSAFE_SPACE = re.compile(r" (?:\s|\Z)").search
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,23 +39,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class TreeBpe:
+class TreeBpe(dict):
+    """Encodes and decodes; as a dictionary it remembers the ids of chunks that follow a space."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__()
         self.ranks, self.match = ranks, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.stable: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the pair of the lowest rank, leftmost first, until none is left."""
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            found = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-            best = min(found)
-            if best == 1 << 60:
+        get, none = self.ranks.get, 1 << 60
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            i = found.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            i = pairs.index(best)
+            merged = parts[i] = parts[i] + parts[i + 1]
+            del parts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(merged + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + merged, none)
+        ranks = self.ranks
         return [ranks[p] for p in parts]
 
     def pair_is_stable(self, a: int, b: int) -> bool:
@@ -83,31 +97,37 @@ class TreeBpe:
         half = len(data) // 2
         return self.join(self.encode_match(data[:half]), self.encode_match(data[half:]))
 
-    def chunk_ids(self, chunk: str) -> bytes:
-        """Ids of a chunk at whose ends the pattern always breaks, as little-endian 32-bit integers."""
-        out = self.known.get(chunk)
+    def match_ids(self, match: str) -> bytes:
+        out = self.matches.get(match)
         if out is None:
-            ids: list[int] = []
-            for match in self.match(chunk):
-                ids += self.encode_match(match.encode("utf-8"))
-            out = np.array(ids, "<u4").tobytes()
-            if len(chunk) <= 200:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[chunk] = out
+            ids = self.encode_match(match.encode("utf-8"))
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(match) <= 200:
+                if len(self.matches) >= CACHE:
+                    self.matches.clear()
+                self.matches[match] = out
+        return out
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Ids of a space and the chunk after it, as little-endian 32-bit integers."""
+        if chunk.isalpha():
+            out = self.match_ids(" " + chunk)
+        elif chunk[-1] in ".,!" and chunk[:-1].isalpha():
+            out = self.match_ids(" " + chunk[:-1]) + self.match_ids(chunk[-1])
+        else:
+            out = b"".join(map(self.match_ids, self.match(" " + chunk)))
+        if len(chunk) <= 200:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text. A space before a visible character always begins a match, so the text may be cut there."""
-        chunks = text.split(" ")
-        if all(c and not c[0].isspace() for c in chunks[1:]):
-            known, slow = self.known, self.chunk_ids
-            out = [slow(chunks[0])]
-            for c in chunks[1:]:
-                c = " " + c
-                out.append(known.get(c) or slow(c))
-            return b"".join(out)
-        return b"".join(map(self.chunk_ids, self.match(text)))
+        if UNSAFE_SPACE(text):
+            return b"".join(map(self.match_ids, self.match(text)))
+        first, *chunks = text.split(" ")
+        return b"".join(map(self.match_ids, self.match(first))) + b"".join(map(self.__getitem__, chunks))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= DECODE_LEAF:
