@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch; whole documents are long, so batches stay small.
 BATCH_ROWS = 512
@@ -105,12 +107,14 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a DDL schema; only the driver can parse it."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """mapInArrow with one function per task, made by `make` on the executor, from columns to columns."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
