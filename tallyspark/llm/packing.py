@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,9 +32,14 @@ CACHE = 400_000
 RANK_BUCKET = 20_000
 
 
+#: Marks that are one pre-token of their own where they end a chunk (the apostrophe may begin another kind).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordIds(dict):
     """Chunk between ASCII spaces -> its ids as little-endian 32-bit integers. The tokenizer drops white space and
-    never looks across it, so a text's ids are those of its chunks in order."""
+    never looks across it, so a text's ids are those of its chunks in order; nor across the edge between letters and
+    the marks after them, so a word is encoded once for all its cases and endings."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,13 +47,29 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def part(self, text: str) -> bytes:
+        out = self.parts.get(text)
+        if out is None:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            out = self.parts[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(MARKS)
+        if len(chunk) > 200:
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if core.isascii() and core.isalpha():
+            out = self.part(core.lower()) + self.part(chunk[len(core) :])
+        elif core.isalpha() and is_normalized("NFC", core):
+            out = self.part(core) + self.part(chunk[len(core) :])
+        else:
+            out = self.part(chunk)
         if len(self) >= CACHE:
             self.clear()
-        out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 200:
-            self[chunk] = out
+        self[chunk] = out
         return out
 
     def ids(self, text: str | None) -> bytes:

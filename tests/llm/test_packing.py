@@ -66,7 +66,7 @@ def test_ids_are_the_tokenizers(spark):
     real = Tokenizer.from_file(PATH)
     real.encode_special_tokens = True
     own = packing.WordIds(PATH)
-    for text in ["", "Hello  world,\n\tIt's 3 o'clock", "ÀÉ é Σας x y \x1c z", "<|endoftext|> a", "ñ" * 3000, "a ́b", "x\r\ny\x0b\x0cz"]:
+    for text in ["", "Hello  world,\n\tIt's 3 o'clock", "ÀÉ é Σας x y \x1c z", "<|endoftext|> a", "ñ" * 3000, "a ́b", "x\r\ny\x0b\x0cz", "Word!!! WORD word's éA... É,e\u0301 don't-it's ΣΑΣ. İx!", "a" * 300 + " $$$ $a$ 12%"]:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids, text
 
 
