@@ -30,6 +30,8 @@ FIRST_WINDOW = 2
 CACHE = 400_000
 #: Tokens that one leaf of the decoding tree joins.
 DECODE_LEAF = 4096
+#: Marks that form one match where they end a chunk of letters (the apostrophe may begin another kind).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space that the pattern may take together with other white space.
 UNSAFE_SPACE = re.compile(r" (?:\s|\Z)").search
 
@@ -112,8 +114,8 @@ class TreeBpe(dict):
         """Ids of a space and the chunk after it, as little-endian 32-bit integers."""
         if chunk.isalpha():
             out = self.match_ids(" " + chunk)
-        elif chunk[-1] in ".,!" and chunk[:-1].isalpha():
-            out = self.match_ids(" " + chunk[:-1]) + self.match_ids(chunk[-1])
+        elif (core := chunk.rstrip(MARKS)).isalpha():
+            out = self.match_ids(" " + core) + self.match_ids(chunk[len(core) :])
         else:
             out = b"".join(map(self.match_ids, self.match(" " + chunk)))
         if len(chunk) <= 200:

@@ -33,7 +33,7 @@ def test_long_matches_of_few_letters(a, b):
         assert ids(text) == REAL.encode_ordinary(text)
 
 
-@pytest.mark.parametrize("text", ["", " ", "a" * 5000, "ab" * 3000, "=" * 4001, " " * 3000 + "x", "é" * 999, "the" * 1000, "x\n \ny", "a  b", "퟿\U0001f600" * 300])
+@pytest.mark.parametrize("text", ["", " ", "a" * 5000, "ab" * 3000, "=" * 4001, " " * 3000 + "x", "é" * 999, "the" * 1000, "x\n \ny", "a  b", "Word!!! it's, 'tis don't... x%%% y$$$ 12% é-é", "\u0345a! ͅ", "퟿\U0001f600" * 300])
 def test_edges(text):
     assert ids(text) == REAL.encode_ordinary(text)
 
