@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lm, packing, subword, toxicity, warc
+from . import ann, bpe, fingerprint, lm, packing, subword, toxicity, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm": op2_lm,
+    "op5_ann": op5_ann,
     "op6_warc": op6_warc,
     "op7_fingerprint": op7_fingerprint,
     "op8_best_fit": op8_best_fit,
