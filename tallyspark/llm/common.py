@@ -116,6 +116,14 @@ def ddl_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that `df` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """mapInArrow with one function per task, made by `make` on the executor, from columns to columns."""
     arrow = arrow_schema(schema)

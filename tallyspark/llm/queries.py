@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, lm, packing, subword, toxicity, warc
+from . import ann, bpe, fingerprint, html, jaccard, lm, packing, subword, toxicity, warc
 from .common import table
 
 
@@ -30,6 +29,14 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.render_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +56,8 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lm": op2_lm,
+    "op3_html": op3_html,
+    "op4_jaccard": op4_jaccard,
     "op5_ann": op5_ann,
     "op6_warc": op6_warc,
     "op7_fingerprint": op7_fingerprint,

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_of, map_rows, materialize, mix64, small_batches
+from .common import ddl_of, free_name, map_rows, materialize, mix64, small_batches
 from .labelled import held_out_flag, training_rows
 
 FIT_ROWS = 5_000
@@ -27,6 +27,8 @@ EPOCHS = 6
 BATCH = 32
 RATE = 0.4
 THRESHOLD = 0.7
+#: Documents that score at most this, the mirror of THRESHOLD, are rejected.
+REJECTED = 0.3
 CACHE = 300_000
 #: A word after itself is one feature, whatever the word.
 REPEAT = np.uint64(0x7E9EA7)
@@ -165,20 +167,26 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
     return Subword(*train(rows, y), prior)
 
 
-def score_documents(docs: DataFrame, model: Subword, modulus: int = 4, held_out: int = 2, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from THRESHOLD on), or all columns of `docs` and the score with `keep`."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.scores, model.bias, model.prior))  # one number per bucket
+def scorer(model: Subword, score: str, spark):
+    shared = spark.sparkContext.broadcast((model.scores, model.bias, model.prior))  # one number per bucket
 
     def make():
-        score = Subword(*shared.value).scorer()
+        own = Subword(*shared.value).scorer()
+        return lambda columns: {**columns, score: list(map(own, columns["text"].to_pylist()))}
 
-        def each(columns):
-            return {**{c: columns[c] for c in columns}, "score": list(map(score, columns["text"].to_pylist()))}
+    return make
 
-        return each
 
-    if keep:
-        return map_rows(docs, f"{ddl_of(docs)}, score double", make)
+def score_documents(docs: DataFrame, model: Subword, modulus: int = 4, held_out: int = 2) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from THRESHOLD on)."""
+    small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long"), "text", held_out_flag(modulus, held_out).alias("held_out"))
-    return map_rows(given, "doc_id long, text string, held_out boolean, score double", make).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = map_rows(given, "doc_id long, text string, held_out boolean, score double", scorer(model, "score", docs.sparkSession))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def reject_poor(docs: DataFrame, model: Subword, threshold: float = REJECTED) -> DataFrame:
+    """The rows and columns of `docs` that score above the threshold."""
+    small_batches(docs.sparkSession)
+    score = free_name(docs, "score")
+    return map_rows(docs, f"{ddl_of(docs)}, {score} double", scorer(model, score, docs.sparkSession)).filter(F.col(score) > threshold).drop(score)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_of, map_rows, materialize, small_batches
+from .common import ddl_of, free_name, map_rows, materialize, small_batches
 from .labelled import held_out_flag, training_rows
 
 FIT_ROWS = 20_000
@@ -232,20 +232,28 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     return Toxicity(lexicon, trees, knots, prior)
 
 
-def score_documents(docs: DataFrame, model: Toxicity, modulus: int = 3, held_out: int = 1, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from THRESHOLD on), and the text and columns of `docs` too with `keep`."""
-    small_batches(docs.sparkSession)
-
+def scorer(model: Toxicity, score: str):
     def make():
         own = Featurizer(model.lexicon)
 
         def each(columns):
             x = np.array([own.row(t) for t in columns["text"].to_pylist()]).reshape(-1, len(FEATURES))
-            return {**{c: columns[c] for c in columns}, "score": model.scores(x)}
+            return {**columns, score: model.scores(x)}
 
         return each
 
-    if keep:
-        return map_rows(docs, f"{ddl_of(docs)}, score double", make)
+    return make
+
+
+def score_documents(docs: DataFrame, model: Toxicity, modulus: int = 3, held_out: int = 1) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from THRESHOLD on)."""
+    small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long"), "text", held_out_flag(modulus, held_out).alias("held_out"))
-    return map_rows(given, "doc_id long, text string, held_out boolean, score double", make).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return map_rows(given, "doc_id long, text string, held_out boolean, score double", scorer(model, "score")).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows and columns of `docs` whose score is below the threshold."""
+    small_batches(docs.sparkSession)
+    score = free_name(docs, "score")
+    return map_rows(docs, f"{ddl_of(docs)}, {score} double", scorer(model, score)).filter(F.col(score) < threshold).drop(score)
