@@ -56,7 +56,7 @@ def corpus(seed=0, families=25):
 
 @pytest.mark.parametrize("width,percent,seed", [(3, 90, 0), (5, 80, 1), (3, 50, 2)])
 def test_against_brute_force(spark, width, percent, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class", "2 as key", "3 as row").repartition(4)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(docs, width, percent).collect())
