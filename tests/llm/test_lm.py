@@ -89,3 +89,27 @@ def test_levels_read_back():
     model = lm.Model(bits, 10, 10, np.zeros(lm.LEVELS + 1))
     assert (model.levels(keys) == level).mean() > 0.999
     assert (model.levels(lm.word_keys(np.arange(5000, 9000, dtype=np.uint64))) == 0).mean() > 0.999
+
+
+def test_filter_grows_with_the_corpus():
+    for n in (10**6, 6 * 10**7, 4 * 10**9):
+        assert lm.blocks_for(n) * lm.BLOCK_BITS >= n * lm.BITS_PER_ENTRY
+    keys = np.sort(lm.word_keys(np.arange(1, 100_000, dtype=np.uint64)))
+    block = lm.block_of(keys, lm.blocks_for(4 * 10**9))
+    assert (np.diff(block) >= 0).all() and block.max() > 50 * lm.BLOCKS
+
+
+def test_overfull_block_keeps_all_pairs():
+    import pyarrow as pa
+
+    keys = lm.word_keys(np.arange(1, 20_001, dtype=np.uint64))
+    batch = pa.record_batch({"block": np.zeros(len(keys), np.int32), "key": keys.view(np.int64), "level": np.ones(len(keys), np.int32), "pair": np.ones(len(keys), bool)})
+    bits = np.frombuffer(next(lm.build_blocks(iter([batch]))).column("bits")[0].as_py(), np.uint8)[None]
+    assert (lm.Model(bits, 1, 1, None).levels(keys) >= 1).all()
+
+
+def test_same_scores_in_any_chunks(spark):
+    docs = spark.createDataFrame(corpus()[:303], "doc_id long, text string").repartition(2)
+    whole = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    dealt = {r.doc_id: r.score for r in lm.score_documents(docs, chunk=500).collect()}
+    assert dealt == pytest.approx(whole, rel=1e-9)
