@@ -2,8 +2,9 @@
 
 Centroids and codebooks are fitted on a bounded sample (`FIT_ROWS`); every vector is indexed. A query probes the lists
 whose centroids are nearest, ranks their members by asymmetric distance tables, and the best are ranked again by the
-exact double-precision inner product on the original vectors. Lists are dealt over blocks of bounded size, so a list
-that holds a third of all vectors is searched by many tasks, and no task holds a whole list.
+exact double-precision inner product on the original vectors. Lists are dealt over blocks of bounded size, and so are
+the queries: a task's group is one block of a list's members and one block of the queries that probe the list, so no
+group grows with the table. Members are sent once for each block of queries.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part; neither do null ids. Of
 repeated rows (equal id and vector) one counts; an id with different vectors keeps each, and a query never finds its
@@ -34,7 +35,8 @@ LEAST_ROWS = 400
 #: How many of a block's candidates are ranked exactly, per query.
 RERANK = 100
 BLOCK_ROWS = 8_192
-#: Queries that one task takes against a block.
+#: Queries of one group, and of one slice of it for which distance tables are held.
+GROUP_QUERIES = 8_192
 QUERY_BLOCK = 512
 
 
@@ -101,7 +103,13 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, modulus: int = 20, k: int = 20, share: float = SHARE) -> DataFrame:
+def deal_queries(probed: DataFrame, queries: int, most: int) -> tuple[DataFrame, int]:
+    """A column `part` that deals the queries over blocks of about `most`, and the number of those blocks."""
+    parts = max(1, -(-queries // most))
+    return probed.withColumn("part", F.pmod(F.xxhash64("query_id", "q"), parts).cast("int")), parts
+
+
+def search(vectors: DataFrame, modulus: int = 20, k: int = 20, share: float = SHARE, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `modulus`, its `k` nearest."""
     spark = vectors.sparkSession
     every = usable(vectors)
@@ -136,11 +144,13 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = 20, share: float = SH
 
     queries = indexed.filter(F.col("vec_id") % modulus == 0).select("vec_id", "v")
     probed = queries.mapInArrow(probe, "query_id long, q array<double>, probes array<struct<list:int,block:int>>").select("query_id", "q", F.inline("probes"))
+    probed, parts = deal_queries(probed, queries.count(), group_queries)
     per_list = F.create_map(*(F.lit(x) for pair in sorted(blocks.items()) for x in pair))
     members = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(per_list, F.col("list"))).cast("int"))
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """A block's members against the queries that probe it: distance tables, then exact ranks of the best."""
+        """A block's members against a block of the queries that probe it: distance tables, then exact ranks of the best."""
         out = []
         if len(left) and len(right):
             index = shared.value
@@ -158,10 +168,11 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = 20, share: float = SH
                     at = at[ids[at] != own[i]]
                     exact = v[at] @ q[i]
                     order = np.lexsort((ids[at], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[at][order], "score": exact[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                    out.append((np.full(len(order), own[i]), ids[at][order], exact[order]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
-    found = probed.groupBy("list", "block").cogroup(members.groupBy("list", "block")).applyInPandas(match, "query_id long, vec_id long, score double")
+    found = probed.groupBy("list", "block", "part").cogroup(members.groupBy("list", "block", "part")).applyInPandas(match, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -56,3 +56,12 @@ def test_few_vectors_and_none(spark):
     assert got == [(0, k + 1, i) for k, (i, _) in enumerate(brute(rows)[0])]
     assert ann.search(df.limit(0)).collect() == []
     assert ann.search(df.limit(1)).collect() == []
+
+
+def test_queries_are_dealt_in_bounded_groups(spark):
+    df = spark.createDataFrame(vectors(1000), "query_id long, q array<double>")
+    dealt, parts = ann.deal_queries(df, 1000, 100)
+    sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert parts == 10 and len(sizes) == 10 and max(sizes) < 150
+    rows = spark.createDataFrame(vectors(1000), "vec_id long, embedding array<float>")
+    assert sorted(ann.search(rows, group_queries=8).collect()) == sorted(ann.search(rows).collect())
