@@ -28,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or on a local master, where driver and executors
+    are one process, a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: the operators need a folder that all executors share")
     fallback = getattr(spark, "_tallyspark_shared", None)
     if fallback is None:
         fallback = spark._tallyspark_shared = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
@@ -70,7 +73,7 @@ def words_of(text: str | None) -> list[bytes]:
 class HashCache(dict):
     """Word -> 64-bit hash; emptied when it has grown to its bound."""
 
-    def __init__(self, most: int = 1_000_000, seed: int = 0):
+    def __init__(self, most: int = 400_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

@@ -1,8 +1,9 @@
 """Quality by supervised subword embeddings: hashed word, character n-gram and word-pair vectors, averaged over the
 document, with a softmax on top, trained by stochastic gradient descent in numpy.
 
-The model is fitted on a bounded sample of labelled training rows (`FIT_ROWS`); every document is scored over its
-whole text. Case and punctuation stay, as they tell prose from debris.
+The model is fitted on a bounded sample of labelled training rows (`FIT_ROWS`, `FIT_FEATURES`); every document is scored over its
+whole text. Case and punctuation stay, as they tell prose from debris. Training goes over the rows in the order of
+their ids' hashes, so a model doesn't depend on how the tables are partitioned.
 
 Rows: an empty or null text has no features and gets the softmax of the bias; a null id isn't held out; repeated rows
 are scored each; without training rows of both labels every score is the share of label 1 (0 if there is none). Only
@@ -12,14 +13,17 @@ are scored each; without training rows of both labels every score is the share o
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_of, free_name, map_rows, materialize, mix64, small_batches
+from .common import ddl_of, discard, free_name, map_rows, materialize, mix64, small_batches
 from .labelled import held_out_flag, training_rows
 
 FIT_ROWS = 5_000
+#: Features of all training rows together, 6 bytes each; the row that crosses the bound is the last one.
+FIT_FEATURES = 40_000_000
 BUCKETS = 1 << 15
 WIDTH = 12
 NGRAMS = (3, 4)
@@ -29,7 +33,7 @@ RATE = 0.4
 THRESHOLD = 0.7
 #: Documents that score at most this, the mirror of THRESHOLD, are rejected.
 REJECTED = 0.3
-CACHE = 300_000
+CACHE = 200_000
 #: A word after itself is one feature, whatever the word.
 REPEAT = np.uint64(0x7E9EA7)
 
@@ -59,7 +63,7 @@ class Words(dict):
         self.clear()
         self.hash = np.zeros(1024, np.uint64)
         self.total, self.count = np.zeros(1024), np.zeros(1024)
-        self.grams: list[list[int]] = []
+        self.grams: list[np.ndarray] = []
 
     def __missing__(self, word: str) -> int:
         at = len(self)
@@ -68,7 +72,7 @@ class Words(dict):
         own = grams(word)
         self.hash[at] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if self.scores is None:
-            self.grams.append(own)
+            self.grams.append(np.array(own, np.uint16))
         else:
             self.total[at], self.count[at] = self.scores[own].sum(), len(own)
         self[word] = at
@@ -136,35 +140,49 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
+def features(words: Words, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets and their weights, which sum to 1."""
+    every = words.rows(text)
+    if not len(every):
+        return np.empty(0, np.uint16), np.empty(0, np.float32)
+    at, times = np.unique(every, return_counts=True)
+    own = [words.grams[i] for i in at]
+    buckets = np.concatenate([*own, pair_buckets(words.hash[every])])
+    weight = np.concatenate([np.repeat(times, [len(o) for o in own]), np.ones(len(every) - 1)])
+    summed = np.bincount(buckets, weight, BUCKETS)
+    ids = np.flatnonzero(summed)
+    return ids.astype(np.uint16), (summed[ids] / summed.sum()).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, most: int = FIT_ROWS) -> Subword:
+    small_batches(docs.sparkSession)
     sample = materialize(training_rows(docs, labels, "quality", modulus, held_out, most), "quality-rows")
 
     def make():
         words = Words()
 
         def each(columns):
-            buckets, weights = [], []
-            for text in columns["text"].to_pylist():
-                at, times = np.unique(words.rows(text), return_counts=True)
-                own = [np.array(words.grams[i]) for i in at]
-                every = np.concatenate([*own, pair_buckets(words.hash[words.rows(text)])]) if len(at) else np.empty(0, np.int64)
-                weight = np.concatenate([*(np.full(len(o), float(t)) for o, t in zip(own, times)), np.ones(max(times.sum() - 1, 0))]) if len(at) else np.empty(0)
-                summed = np.bincount(every, weight, BUCKETS)
-                ids = np.flatnonzero(summed)
-                buckets.append(ids.tolist())
-                weights.append((summed[ids] / max(summed.sum(), 1)).tolist())
-            return {"label": columns["label"], "buckets": buckets, "weights": weights}
+            rows = [features(words, text) for text in columns["text"].to_pylist()]
+            return {c: columns[c] for c in ("mark", "doc_id", "label")} | {"buckets": pa.array([b.tobytes() for b, _ in rows], pa.binary()), "weights": pa.array([w.tobytes() for _, w in rows], pa.binary())}
 
         return each
 
-    small_batches(docs.sparkSession)
-    got = map_rows(sample.select("text", "label"), "label int, buckets array<int>, weights array<float>", make).toArrow()  # at most `most` rows
+    rows = materialize(map_rows(sample.select("mark", "doc_id", "text", "label"), "mark long, doc_id long, label int, buckets binary, weights binary", make), "quality-features")
+    discard(sample)
+    order = [("mark", "ascending"), ("doc_id", "ascending")]
+    sizes = rows.select("mark", "doc_id", F.octet_length("buckets").alias("bytes")).toArrow().sort_by(order)  # at most `most` rows
+    before = np.cumsum(sizes.column("bytes").to_numpy()) - sizes.column("bytes").to_numpy()
+    last = int((before < 2 * FIT_FEATURES).sum()) - 1
+    if last >= 0:
+        mark, doc_id = sizes.column("mark")[last].as_py(), sizes.column("doc_id")[last].as_py()
+        rows = rows.filter((F.col("mark") < mark) | ((F.col("mark") == mark) & (F.col("doc_id") <= doc_id)))
+    got = rows.toArrow().sort_by(order)
     y = got.column("label").to_numpy().astype(float)
     prior = float(y.mean()) if len(y) else 0.0
     if len(set(y)) < 2:
         return Subword(None, 0.0, prior)
-    rows = [(b.values.to_numpy(), w.values.to_numpy()) for b, w in zip(got.column("buckets"), got.column("weights"))]
-    return Subword(*train(rows, y), prior)
+    given = [(np.frombuffer(b.as_buffer(), np.uint16), np.frombuffer(w.as_buffer(), np.float32)) for b, w in zip(got.column("buckets"), got.column("weights"))]
+    return Subword(*train(given, y), prior)
 
 
 def scorer(model: Subword, score: str, spark):
@@ -172,7 +190,7 @@ def scorer(model: Subword, score: str, spark):
 
     def make():
         own = Subword(*shared.value).scorer()
-        return lambda columns: {**columns, score: list(map(own, columns["text"].to_pylist()))}
+        return lambda columns: {**columns, score: np.fromiter(map(own, columns["text"].to_pylist()), float, len(columns["text"]))}
 
     return make
 
@@ -181,7 +199,7 @@ def score_documents(docs: DataFrame, model: Subword, modulus: int = 4, held_out:
     """doc_id, held_out, score, predicted (1 from THRESHOLD on)."""
     small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long"), "text", held_out_flag(modulus, held_out).alias("held_out"))
-    scored = map_rows(given, "doc_id long, text string, held_out boolean, score double", scorer(model, "score", docs.sparkSession))
+    scored = map_rows(given, "doc_id long, held_out boolean, score double", scorer(model, "score", docs.sparkSession))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
