@@ -3,7 +3,8 @@
 Features: densities of a lexicon (a short fixed list, and words and word beginnings that the training labels mark),
 how near its words stand to second-person words, rates of capitals, punctuation, obfuscated and stretched words.
 The lexicon, the trees and the calibration are learned from three different parts of a bounded sample of training
-rows (`FIT_ROWS`); every document is scored over its whole text.
+rows (`FIT_ROWS`); every document is scored over its whole text. Where the part for the calibration lacks one of the
+labels, the calibration is fitted on the trees' part as well.
 
 Rows: a null or empty text has all features 0 and is scored like any other; a null id isn't held out; repeated rows are
 scored each; without training rows of both labels every score is the share of label 1 (0 if there is none). Only
@@ -18,14 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_of, free_name, map_rows, materialize, small_batches
+from .common import ddl_of, discard, free_name, map_rows, materialize, small_batches
 from .labelled import held_out_flag, training_rows
 
 FIT_ROWS = 20_000
 #: Most terms of a learned lexicon.
 LEXICON = 500
 THRESHOLD = 0.7
-CACHE = 500_000
+CACHE = 200_000
 
 # Insults that need no labels to be told, and words that address the reader.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile cretin bastard jerk vermin idiota imbécil estúpido estúpida basura dumm dummkopf trottel abschaum connard crétin débile ordure".split()
@@ -180,12 +181,13 @@ class Boosted:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (margin, probability) between which scores are interpolated. Each pool is
-    drawn towards its neighbours' middle by half a count, so no pool claims certainty."""
-    order = np.argsort(margin, kind="stable")
+    """Pool adjacent violators: knots (margin, probability) between which scores are interpolated. Rows of one margin
+    are one pool from the start. A tenth of a row, half of it of label 1, is added to each pool, so none claims
+    certainty."""
+    at, back, times = np.unique(margin, return_inverse=True, return_counts=True)
     pools: list[list[float]] = []  # [sum of labels, rows, sum of margins]
-    for m, label in zip(margin[order], y[order]):
-        pools.append([float(label), 1.0, float(m)])
+    for m, label, n in zip(at, np.bincount(back, y, len(at)), times):
+        pools.append([float(label), float(n), float(m * n)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
@@ -203,8 +205,6 @@ class Toxicity:
         if self.trees is None or not len(x):
             return np.full(len(x), self.prior)
         margin = self.trees.margin(x)
-        if self.knots is None:
-            return 1 / (1 + np.exp(-margin))
         return np.clip(np.interp(margin, *self.knots), 0.0, 1.0)
 
 
@@ -216,11 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
         own = Featurizer(lexicon)
 
         def each(columns):
-            return {"label": columns["label"], "part": columns["part"], "x": [own.row(t).tolist() for t in columns["text"].to_pylist()]}
+            return {c: columns[c] for c in ("mark", "doc_id", "label", "part")} | {"x": [own.row(t).tolist() for t in columns["text"].to_pylist()]}
 
         return each
 
-    got = map_rows(rows.filter("part >= 4").select("text", "label", F.col("part").cast("int").alias("part")), "label int, part int, x array<double>", make).toArrow()  # at most `most` rows of features
+    # at most `most` rows of features
+    got = map_rows(rows.filter("part >= 4").select("mark", "doc_id", "text", "label", "part"), "mark long, doc_id long, label int, part int, x array<double>", make).toArrow()
+    discard(rows)
+    got = got.sort_by([("mark", "ascending"), ("doc_id", "ascending")])
     y, part = got.column("label").to_numpy().astype(float), got.column("part").to_numpy()
     x = np.array(got.column("x").to_pylist()).reshape(len(y), len(FEATURES))
     learn, check = part < 8, part >= 8
@@ -228,8 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     if len(set(y[learn])) < 2:
         return Toxicity(lexicon, None, None, prior)
     trees = Boosted().fit(x[learn], y[learn])
-    knots = isotonic(trees.margin(x[check]), y[check]) if y[check].sum() >= 10 and (1 - y[check]).sum() >= 10 else None
-    return Toxicity(lexicon, trees, knots, prior)
+    if len(set(y[check])) < 2:
+        check = learn | check
+    return Toxicity(lexicon, trees, isotonic(trees.margin(x[check]), y[check]), prior)
 
 
 def scorer(model: Toxicity, score: str):
@@ -249,7 +253,7 @@ def score_documents(docs: DataFrame, model: Toxicity, modulus: int = 3, held_out
     """doc_id, held_out, score, predicted (1 from THRESHOLD on)."""
     small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long"), "text", held_out_flag(modulus, held_out).alias("held_out"))
-    return map_rows(given, "doc_id long, text string, held_out boolean, score double", scorer(model, "score")).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return map_rows(given, "doc_id long, held_out boolean, score double", scorer(model, "score")).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> DataFrame:

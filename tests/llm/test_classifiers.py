@@ -67,6 +67,140 @@ def test_nothing_to_learn_from(spark, module):
     assert [r.score for r in module.score_documents(frame, module.fit(frame, none)).collect()] == [0.0, 0.0]
 
 
+@pytest.mark.parametrize("module", [toxicity, subword])
+def test_scores_do_not_depend_on_partitions(spark, module):
+    docs, labels = corpus(200)
+    scores = []
+    for n in (3, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(2 * n)
+        scores.append({r.doc_id: r.score for r in module.score_documents(frame, module.fit(frame, marks)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert scores[0] == scores[1]
+
+
+def plain_isotonic(m, y):
+    """The least-squares rising fit by its min-max formula over distinct margins, with the same tenth of a row added."""
+    at = sorted(set(m))
+    groups = [[label for x, label in zip(m, y) if x == v] for v in at]
+    out = []
+    for i in range(len(at)):
+        value, best = -1.0, None
+        for lo in range(i + 1):
+            low = min((sum(map(sum, groups[lo : hi + 1])) / sum(map(len, groups[lo : hi + 1])), -hi) for hi in range(i, len(at)))
+            if low[0] > value:
+                value, best = low[0], (lo, -low[1])
+        pool = sum(groups[best[0] : best[1] + 1], [])
+        out.append((sum(pool) + 0.05) / (len(pool) + 0.1))
+    return dict(zip(at, out))
+
+
+def test_isotonic_against_the_plain_formula():
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 12, 60).astype(float)
+    y = (rng.random(60) < m / 12).astype(float)
+    at, p = toxicity.isotonic(m, y)
+    want = plain_isotonic(m.tolist(), y.tolist())
+    # a pool has one knot, at its rows' mean margin
+    pools = {}
+    for v, q in want.items():
+        pools.setdefault(round(q, 12), []).extend(x for x in m if x == v)
+    assert sorted(pools) == pytest.approx(sorted(p.tolist())) and sorted(np.mean(x) for x in pools.values()) == pytest.approx(sorted(at.tolist()))
+
+
+def plain_tree(x, g, h, edges, depth, least, ridge):
+    """The best split of each node by trying every edge of every feature on the raw values."""
+
+    def value(rows):
+        return -sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge)
+
+    def half(rows):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + ridge)
+
+    def grow(rows, left):
+        best = (1e-6, None)
+        for j in range(x.shape[1]) if left else ():
+            for e in edges[j]:
+                a, b = [i for i in rows if x[i, j] < e], [i for i in rows if x[i, j] >= e]
+                if a and b and min(sum(h[i] for i in a), sum(h[i] for i in b)) >= least:
+                    gain = half(a) + half(b) - half(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (a, b))
+        if best[1] is None:
+            return {i: value(rows) for i in rows}
+        return grow(best[1][0], left - 1) | grow(best[1][1], left - 1)
+
+    return grow(list(range(len(g))), depth)
+
+
+def test_trees_against_plain_splits():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] > 0)).astype(float)
+    model = toxicity.Boosted(trees=3, depth=3).fit(x, y)
+    margin = np.full(90, model.base)
+    for tree in model.trees:
+        p = 1 / (1 + np.exp(-margin))
+        want = plain_tree(x, p - y, p * (1 - p), model.edges, 3, model.least, model.ridge)
+        got = model.walk(tree, model.binned(x))
+        assert got == pytest.approx([want[i] for i in range(90)])
+        margin += model.rate * got
+    assert model.margin(x) == pytest.approx(margin)
+
+
+def plain_train(rows, y, seed=11):
+    """The same steps, one document and one feature at a time."""
+    S = subword
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(0, 1 / S.WIDTH, (S.BUCKETS, S.WIDTH))
+    out, bias = rng.normal(0, 0.1, (S.WIDTH, 2)), np.log(np.array([(1 - y).mean(), y.mean()]) + 1e-3)
+    seen, seen_out, seen_bias = {}, np.full((S.WIDTH, 2), 1e-8), np.full(2, 1e-8)
+    for _ in range(S.EPOCHS):
+        order = rng.permutation(len(rows))
+        for k in range(0, len(order), S.BATCH):
+            part = order[k : k + S.BATCH]
+            step, go, gb = {}, np.zeros((S.WIDTH, 2)), np.zeros(2)
+            for i in part:
+                hidden = sum((w * vectors[b] for b, w in zip(*rows[i])), np.zeros(S.WIDTH))
+                e = np.exp(hidden @ out + bias)
+                miss = e / e.sum() - np.eye(2)[int(y[i])]
+                back = out @ miss
+                for b, w in zip(*rows[i]):
+                    step[b] = step.get(b, 0) + w * back
+                go, gb = go + np.outer(hidden, miss) / len(part), gb + miss / len(part)
+            for b, s in step.items():
+                seen[b] = seen.get(b, 1e-8) + (s**2).mean()
+                vectors[b] -= S.RATE * 0.25 * s / np.sqrt(seen[b])
+            seen_out += go**2
+            out -= S.RATE * go / np.sqrt(seen_out)
+            seen_bias += gb**2
+            bias = bias - 0.2 * S.RATE * gb / np.sqrt(seen_bias)
+    return vectors @ (out[:, 1] - out[:, 0]), bias[1] - bias[0]
+
+
+def test_training_against_plain_steps():
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(70):
+        ids = np.unique(rng.integers(0, 50, 8)).astype(np.uint16)
+        w = rng.random(len(ids)).astype(np.float32)
+        rows.append((ids, w / w.sum()))
+    y = (rng.random(70) < 0.5).astype(float)
+    got, want = subword.train(rows, y), plain_train(rows, y)
+    assert got[0] == pytest.approx(want[0], abs=1e-5) and got[1] == pytest.approx(want[1], abs=1e-5)
+
+
+def test_features_against_plain_counts():
+    text = "one two one one, three"
+    words, plain = text.split(), {}
+    pairs = subword.pair_buckets(np.array([subword.xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64))
+    for b in [b for w in words for b in subword.grams(w)] + pairs.tolist():
+        plain[b] = plain.get(b, 0) + 1
+    ids, weights = subword.features(subword.Words(), text)
+    assert dict(zip(ids.tolist(), weights.tolist())) == pytest.approx({b: n / sum(plain.values()) for b, n in plain.items()})
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(0)
     m = rng.normal(size=400)
