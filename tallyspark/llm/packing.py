@@ -27,7 +27,7 @@ from .common import map_rows, materialize, small_batches
 
 CAPACITY = 2048
 #: Chunks whose ids a task remembers.
-CACHE = 400_000
+CACHE = 250_000
 #: Rows that one task numbers within a length class: classes are dealt over buckets of about this size.
 RANK_BUCKET = 20_000
 
@@ -39,14 +39,14 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class WordIds(dict):
     """Chunk between ASCII spaces -> its ids as little-endian 32-bit integers. The tokenizer drops white space and
     never looks across it, so a text's ids are those of its chunks in order; nor across the edge between letters and
-    the marks after them, so a word is encoded once for all its cases and endings."""
+    the marks after them, so a word is encoded once for all its cases and endings. A special token's string in a text
+    is that token, as the tokenizer has it by default."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.parts: dict[str, bytes] = {"": b""}
 
     def part(self, text: str) -> bytes:
@@ -63,7 +63,7 @@ class WordIds(dict):
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if core.isascii() and core.isalpha():
             out = self.part(core.lower()) + self.part(chunk[len(core) :])
-        elif core.isalpha() and is_normalized("NFC", core):
+        elif core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core):  # lower case may end in a mark
             out = self.part(core) + self.part(chunk[len(core) :])
         else:
             out = self.part(chunk)

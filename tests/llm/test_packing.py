@@ -64,9 +64,16 @@ def test_plan_is_best_fit_decreasing():
 
 def test_ids_are_the_tokenizers(spark):
     real = Tokenizer.from_file(PATH)
-    real.encode_special_tokens = True
     own = packing.WordIds(PATH)
-    for text in ["", "Hello  world,\n\tIt's 3 o'clock", "ÀÉ é Σας x y \x1c z", "<|endoftext|> a", "ñ" * 3000, "a ́b", "x\r\ny\x0b\x0cz", "Word!!! WORD word's éA... É,e\u0301 don't-it's ΣΑΣ. İx!", "a" * 300 + " $$$ $a$ 12%"]:
+    for text in ["", "Hello  world,\n\tIt's 3 o'clock", "ÀÉ é Σας x y \x1c z", "<|endoftext|> a", "b<|endoftext|>", "<|startoftext|>!", "<|ENDOFTEXT|>, x", "İ,", "ǰ! ΐ.", "ñ" * 3000, "a ́b", "x\r\ny\x0b\x0cz", "Word!!! WORD word's éA... É,e\u0301 don't-it's ΣΑΣ. İx!", "a" * 300 + " $$$ $a$ 12%"]:
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids, text
+
+
+def test_ids_of_random_texts():
+    real, own, rng = Tokenizer.from_file(PATH), packing.WordIds(PATH), random.Random(9)
+    letters = "aAbBéÉİıßǰΐΣσςЖñ中\u0301\u0345'’,.!$<|>1٣ \t"
+    for _ in range(4000):
+        text = "".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", "<|endoftext|>", " <|endoftext|> ", "'s", "'S"])
         assert np.frombuffer(own.ids(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids, text
 
 
