@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, small_batches
 
-#: A match this short is encoded directly; longer ones are halved.
-LEAF_BYTES = 32
+#: A part this short is encoded directly; longer ones are halved.
+LEAF_BYTES = 3
+#: Halves this short are remembered.
+HALF_BYTES = 8
 #: Tokens on each side of a boundary that the first window takes.
 FIRST_WINDOW = 2
 #: Chunks whose ids a task remembers; the memory of a task is bounded by it.
-CACHE = 400_000
+CACHE = 250_000
 #: Tokens that one leaf of the decoding tree joins.
-DECODE_LEAF = 4096
+DECODE_LEAF = 32
 #: Marks that form one match where they end a chunk of letters (the apostrophe may begin another kind).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space that the pattern may take together with other white space.
@@ -49,6 +51,7 @@ class TreeBpe(dict):
         self.ranks, self.match = ranks, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.stable: dict[tuple[int, int], bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
         self.matches: dict[str, bytes] = {}
 
     def leaf(self, data: bytes) -> list[int]:
@@ -97,7 +100,16 @@ class TreeBpe(dict):
         if len(data) <= LEAF_BYTES:
             return self.leaf(data)
         half = len(data) // 2
-        return self.join(self.encode_match(data[:half]), self.encode_match(data[half:]))
+        left, right = data[:half], data[half:]
+        return self.join(self.halves.get(left) or self.half(left), self.halves.get(right) or self.half(right))
+
+    def half(self, data: bytes) -> list[int]:
+        out = self.encode_match(data)
+        if len(data) <= HALF_BYTES:
+            if len(self.halves) >= CACHE:
+                self.halves.clear()
+            self.halves[data] = out
+        return out
 
     def match_ids(self, match: str) -> bytes:
         out = self.matches.get(match)

@@ -56,3 +56,20 @@ def test_rows(spark):
         want.append((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.encode_digests(docs.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
+
+
+def test_tree_joins_at_its_boundaries_over_a_whole_table(spark):
+    """Every match of more than a leaf that is no token of its own goes through joins, and some windows are re-encoded."""
+    counted = {"join": 0, "window": 0}
+
+    class Counting(bpe.TreeBpe):
+        def join(self, left, right):
+            counted["join"] += 1
+            counted["window"] += not self.pair_is_stable(left[-1], right[0])
+            return super().join(left, right)
+
+    own = Counting(RANKS, P.PATTERN)
+    for (text,) in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert np.frombuffer(own.encode(text or ""), "<u4").tolist() == REAL.encode_ordinary(text or "")
+    long = [m for m in own.matches if len(m.encode()) > bpe.LEAF_BYTES and m.encode() not in RANKS]
+    assert len(long) > 1000 and counted["join"] >= len(long) and counted["window"] > 100
