@@ -1,15 +1,19 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and codebooks are fitted on a bounded sample (`FIT_ROWS`); every vector is indexed. A query probes the lists
-whose centroids are nearest, ranks their members by asymmetric distance tables, and the best are ranked again by the
-exact double-precision inner product on the original vectors. Lists are dealt over blocks of bounded size, and so are
-the queries: a task's group is one block of a list's members and one block of the queries that probe the list, so no
-group grows with the table. Members are sent once for each block of queries.
+Centroids, codebooks and the share of the lists that a query probes are fitted on a bounded sample (`FIT_ROWS`): one half
+of it trains, and on the other half the share is taken at which `COVERED` of the true neighbours lie in the probed lists.
+Every vector is indexed. A query probes the lists whose centroids have the largest inner products with it, ranks their
+members by asymmetric distance tables, and the best are ranked again by the exact double-precision inner product on the
+original vectors.
+
+Neighbouring lists are gathered into blocks of at most `BLOCK_ROWS` members, and a longer list is dealt over several
+blocks; queries are dealt over parts of about `GROUP_QUERIES`. A task's group is one block of members and one part of
+the queries that probe it, so no group grows with the table. Members are sent once for each part of the queries.
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components take no part; neither do null ids. Of
 repeated rows (equal id and vector) one counts; an id with different vectors keeps each, and a query never finds its
-own id. Vectors of another length than the most frequent one take no part. Ties go to the smaller id. A query with
-fewer than `k` candidates gets them all. Only vec_id and embedding are read.
+own id. Inner products need equal lengths: vectors of another length than the most frequent one take no part. Ties go to
+the smaller id. A query with fewer than `k` candidates gets them all. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -22,22 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
-FIT_ROWS = 20_000
+FIT_ROWS = 40_000
 SUBSPACES = 16
 CODES = 256
-#: Standard deviations of a list's residuals by which its best member may beat its centroid.
-REACH = 3.0
-#: A query's lists hold at least this share of all vectors and at least so many rows.
-SHARE = 0.75
-LEAST_ROWS = 400
+#: Most lists, and the rows of the training half that each should have.
+LISTS = 1024
+LIST_ROWS = 16
+#: The share of true neighbours that the probed lists hold, as measured on the sample with so many of its rows as queries.
+COVERED = 0.955
+MEASURED = 512
+#: A query's lists hold at least so many rows.
+LEAST_ROWS = 800
 #: How many of a block's candidates are ranked exactly, per query.
-RERANK = 100
+RERANK = 200
 BLOCK_ROWS = 8_192
 #: Queries of one group, and of one slice of it for which distance tables are held.
 GROUP_QUERIES = 8_192
-QUERY_BLOCK = 512
+SLICE = 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -60,34 +67,49 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and residual codebooks: a few hundred KB."""
-
-    def __init__(self, sample: np.ndarray, rows: int):
-        lists = int(min(max(1, round(rows**0.5 / 2)), 1024, max(1, len(sample) // 8)))
-        self.centers = kmeans(sample, lists)
-        at = nearest(sample, self.centers)
-        residual = sample - self.centers[at]
-        count = np.bincount(at, minlength=lists)
-        self.spread = np.sqrt(np.bincount(at, (residual**2).mean(1), lists) / np.maximum(count, 1))
-        self.spread[count == 0] = self.spread.max()
+    """Coarse centroids, residual codebooks and the share to probe: a few hundred KB."""
+
+    def __init__(self, sample: np.ndarray, rows: int, k: int):
+        train, held = (sample[::2], sample[1::2]) if len(sample) > 2 * LEAST_ROWS else (sample, sample[:0])
+        lists = int(min(LISTS, max(1, round(4 * rows**0.5)), max(1, len(train) // LIST_ROWS)))
+        centers = kmeans(train, lists)
+        # lists of one neighbourhood get neighbouring numbers
+        self.centers = centers[np.argsort(nearest(centers, kmeans(centers, max(1, lists // 16))), kind="stable")]
+        residual = train - self.centers[nearest(train, self.centers)]
         parts = min(SUBSPACES, sample.shape[1])
         self.edges = np.linspace(0, sample.shape[1], parts + 1).astype(int)
-        codes = min(CODES, len(sample))
+        codes = min(CODES, len(train))
         self.books = [kmeans(np.ascontiguousarray(residual[:, a:b]), codes, 6) for a, b in zip(self.edges, self.edges[1:])]
+        self.share = self.measure(held, k)
+
+    def measure(self, held: np.ndarray, k: int) -> float:
+        """The share of the rows in the lists of the best inner products that hold COVERED of the true neighbours, for
+        queries and members that the centroids weren't trained on; 1 where there are too few."""
+        if len(held) <= max(k, LEAST_ROWS):
+            return 1.0
+        at = nearest(held, self.centers)
+        rows = np.bincount(at, minlength=len(self.centers))
+        reached = []
+        for lo in range(0, min(MEASURED, len(held)), 64):
+            q = held[lo : min(lo + 64, MEASURED)]
+            near = q @ held.T
+            near[np.arange(len(q)), lo + np.arange(len(q))] = -np.inf
+            true = np.argpartition(-near, k, 1)[:, :k]
+            order = np.argsort(-(q @ self.centers.T), 1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(len(self.centers))[None], 1)
+            upto = np.cumsum(rows[order], 1)
+            reached.append(np.take_along_axis(upto, np.take_along_axis(place, at[true], 1), 1).ravel())
+        return float(np.quantile(np.concatenate(reached), COVERED) / len(held))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = nearest(x, self.centers)
         residual = x - self.centers[at]
         return at, np.stack([nearest(residual[:, a:b], book) for book, a, b in zip(self.books, self.edges, self.edges[1:])], 1).astype(np.uint8)
 
-    def promise(self, q: np.ndarray) -> np.ndarray:
-        """What inner product each list may hold for each query: its centroid's, and REACH standard deviations of its
-        residuals' part along the query."""
-        return q @ self.centers.T + REACH * np.linalg.norm(q, axis=1, keepdims=True) * self.spread
-
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Inner products of each query's parts with each code."""
-        return [q[:, a:b] @ book.T for book, a, b in zip(self.books, self.edges, self.edges[1:])]
+        return [(q[:, a:b] @ book.T).astype(np.float32) for book, a, b in zip(self.books, self.edges, self.edges[1:])]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -103,13 +125,62 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def stacked(column, dtype) -> np.ndarray:
+    """Binary values of equal lengths as a matrix."""
+    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1)
+
+
 def deal_queries(probed: DataFrame, queries: int, most: int) -> tuple[DataFrame, int]:
-    """A column `part` that deals the queries over blocks of about `most`, and the number of those blocks."""
+    """A column `part` that deals the queries over parts of about `most`, and the number of those parts."""
     parts = max(1, -(-queries // most))
     return probed.withColumn("part", F.pmod(F.xxhash64("query_id", "q"), parts).cast("int")), parts
 
 
-def search(vectors: DataFrame, modulus: int = 20, k: int = 20, share: float = SHARE, group_queries: int = GROUP_QUERIES) -> DataFrame:
+def lay_out(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's first block, and its number of blocks: short lists share a block of at most `most` rows."""
+    first, number, block, room = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), -1, 0
+    for at, n in enumerate(counts.tolist()):
+        if n > most:
+            first[at], number[at] = block + 1, -(-n // most)
+            block, room = block + int(number[at]), 0
+            continue
+        if n > room or block < 0:
+            block, room = block + 1, most
+        first[at], room = block, room - n
+    return first, number
+
+
+def best_of_block(index: Index, ids: np.ndarray, v: np.ndarray, lists: np.ndarray, codes: np.ndarray, own: np.ndarray, q: np.ndarray, probes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, member and exact product of each query's `k` best in a block whose members are sorted by (list, id).
+    `probes` says for each query which of the block's lists it probes."""
+    names, starts = np.unique(lists, return_index=True)
+    near = np.full((len(q), len(ids)), -np.inf, np.float32)
+    tables, coarse = index.tables(q), (q @ index.centers[names].T).astype(np.float32)
+    for at, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+        rows = np.flatnonzero(probes[:, at])
+        if len(rows):
+            score = np.repeat(coarse[rows, at, None], hi - lo, 1)
+            for j, table in enumerate(tables):
+                score += table[rows][:, codes[lo:hi, j]]
+            near[rows, lo:hi] = score
+    near[own[:, None] == ids[None, :]] = -np.inf
+    every = np.arange(len(q))[:, None]
+    if len(ids) > RERANK:
+        best = np.argpartition(-near, RERANK - 1, 1)[:, :RERANK]
+        last = near[every, best].min(1)
+        for i in np.flatnonzero((near >= last[:, None]).sum(1) > RERANK):  # ties at the edge go to the smaller id
+            if last[i] > -np.inf:
+                best[i] = np.lexsort((ids, -near[i]))[:RERANK]
+    else:
+        best = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
+    exact = np.where(near[every, best] > -np.inf, np.einsum("bd,brd->br", q, v[best]), -np.inf)
+    order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
+    found, exact = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
+    good = exact > -np.inf
+    return np.broadcast_to(own[:, None], found.shape)[good], found[good], exact[good]
+
+
+def search(vectors: DataFrame, modulus: int = 20, k: int = 20, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `modulus`, its `k` nearest."""
     spark = vectors.sparkSession
     every = usable(vectors)
@@ -117,62 +188,68 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = 20, share: float = SH
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = every.filter(F.size("v") == sizes[0]["size"]).distinct()
-    sample = matrix(every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow().column("v"))
-    shared = spark.sparkContext.broadcast(Index(sample, sizes[0]["n"]))
+    chosen = every.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(FIT_ROWS).select(F.col("v").cast("array<float>").alias("v"))
+    shared = spark.sparkContext.broadcast(Index(matrix(chosen.toArrow().column("v")).astype(np.float64), sizes[0]["n"], k))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, codes = shared.value.encode(matrix(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "codes"])
+                v = matrix(batch.column("v"))
+                at, codes = shared.value.encode(v)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "codes"])
 
-    indexed = materialize(every.mapInArrow(encode, "vec_id long, v array<double>, list int, codes binary"), "index")
-    filled = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 1024 lists
-    total = sum(filled.values())
-    blocks = {at: -(-n // BLOCK_ROWS) for at, n in filled.items()}
+    indexed = materialize(every.mapInArrow(encode, "vec_id long, v binary, list int, codes binary"), "index")
+    filled = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     counts = np.array([filled.get(i, 0) for i in range(len(shared.value.centers))])
-    wanted = min(total, max(LEAST_ROWS + 20 * k, int(share * total)))
+    first, number = lay_out(counts, block_rows)
+    wanted = max(LEAST_ROWS + 20 * k, int(np.ceil(shared.value.share * counts.sum())))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for each block that holds lists to probe, with those lists."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(-shared.value.promise(matrix(batch.column("v"))), 1, kind="stable")
+            order = np.argsort(-(stacked(batch.column("v").to_pylist(), np.float64) @ shared.value.centers.T), 1, kind="stable")
             before = np.cumsum(counts[order], 1) - counts[order]
-            probes = [[{"list": int(at), "block": b} for at in o[(n < wanted) & (counts[o] > 0)] for b in range(blocks[int(at)])] for o, n in zip(order, before)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(probes, pa.list_(pa.struct([("list", pa.int32()), ("block", pa.int32())])))], names=["query_id", "q", "probes"])
+            probes = []
+            for o, n in zip(order, before):
+                lists = np.sort(o[(n < wanted) & (counts[o] > 0)])
+                at, start = np.unique(first[lists], return_index=True)
+                groups = zip(at.tolist(), np.split(lists.astype(np.int32), start[1:]))
+                probes.append([{"block": b, "lists": own.tobytes()} for a, own in groups for b in range(a, a + int(number[own[0]]))])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(probes, pa.list_(pa.struct([("block", pa.int32()), ("lists", pa.binary())])))], names=["query_id", "q", "probes"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members with their block; a list of several is dealt over them by the ids."""
+        for batch in batches:
+            at = batch.column("list").to_numpy()
+            block = first[at] + (batch.column("mark").to_numpy() % number[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "list", "codes")), pa.array(block.astype(np.int32))], names=["vec_id", "v", "list", "codes", "block"])
 
     queries = indexed.filter(F.col("vec_id") % modulus == 0).select("vec_id", "v")
-    probed = queries.mapInArrow(probe, "query_id long, q array<double>, probes array<struct<list:int,block:int>>").select("query_id", "q", F.inline("probes"))
+    probed = queries.mapInArrow(probe, "query_id long, q binary, probes array<struct<block:int,lists:binary>>").select("query_id", "q", F.inline("probes"))
     probed, parts = deal_queries(probed, queries.count(), group_queries)
-    per_list = F.create_map(*(F.lit(x) for pair in sorted(blocks.items()) for x in pair))
-    members = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(per_list, F.col("list"))).cast("int"))
+    members = indexed.withColumn("mark", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))).mapInArrow(place, "vec_id long, v binary, list int, codes binary, block int")
     members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """A block's members against a block of the queries that probe it: distance tables, then exact ranks of the best."""
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """A block's members against a part of the queries that probe it."""
         out = []
         if len(left) and len(right):
-            index = shared.value
-            ids, v = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
-            codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(ids), -1)
-            for lo in range(0, len(left), QUERY_BLOCK):
-                part = left.iloc[lo : lo + QUERY_BLOCK]
-                own, q = part["query_id"].to_numpy(), np.stack(part["q"].to_numpy())
-                near = np.repeat((q @ index.centers[key[0]])[:, None], len(ids), 1)
-                for j, table in enumerate(index.tables(q)):
-                    near += table[:, codes[:, j]]
-                near[own[:, None] == ids[None, :]] = -np.inf
-                best = np.argpartition(-near, RERANK, 1)[:, :RERANK] if len(ids) > RERANK else np.broadcast_to(np.arange(len(ids)), (len(own), len(ids)))
-                for i, at in enumerate(best):
-                    at = at[ids[at] != own[i]]
-                    exact = v[at] @ q[i]
-                    order = np.lexsort((ids[at], -exact))[:k]
-                    out.append((np.full(len(order), own[i]), ids[at][order], exact[order]))
+            right = right.sort_values(["list", "vec_id"], kind="stable")
+            ids, lists = right["vec_id"].to_numpy(), right["list"].to_numpy()
+            v, codes = stacked(right["v"], np.float64), stacked(right["codes"], np.uint8)
+            names = np.unique(lists)
+            own, q = left["query_id"].to_numpy(), stacked(left["q"], np.float64)
+            probes = np.stack([np.isin(names, np.frombuffer(x, np.int32)) for x in left["lists"]])
+            for lo in range(0, len(own), SLICE):
+                at = slice(lo, lo + SLICE)
+                out.append(best_of_block(shared.value, ids, v, lists, codes, own[at], q[at], probes[at], k))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
-    found = probed.groupBy("list", "block", "part").cogroup(members.groupBy("list", "block", "part")).applyInPandas(match, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = probed.groupBy("block", "part").cogroup(members.groupBy("block", "part")).applyInPandas(match, "query_id long, vec_id long, score double")
+    best = materialize(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    discard(indexed)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -65,3 +65,34 @@ def test_queries_are_dealt_in_bounded_groups(spark):
     assert parts == 10 and len(sizes) == 10 and max(sizes) < 150
     rows = spark.createDataFrame(vectors(1000), "vec_id long, embedding array<float>")
     assert sorted(ann.search(rows, group_queries=8).collect()) == sorted(ann.search(rows).collect())
+
+
+def test_recall_on_the_table_of_embeddings(spark):
+    """Isotropic vectors, the hardest case: the share of lists to probe comes from the sample, and is less than all."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.select("vec_id", "embedding").collect()]
+    x = np.stack([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    index = ann.Index(x, len(x), 20)
+    assert 0.1 < index.share < 0.95
+    got = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i, v in rows:
+        if i % 20 == 0:
+            s = np.where(ids == i, -np.inf, x @ v)
+            hits += len(got[i] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert len(got) == 100 and hits / 2000 >= 0.9
+
+
+def test_lists_share_blocks_and_long_ones_are_dealt():
+    first, number = ann.lay_out(np.array([3, 4, 5, 25, 1, 0, 10]), 10)
+    assert first.tolist() == [0, 0, 1, 2, 5, 5, 6] and number.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
+def test_equal_vectors_in_several_blocks(spark):
+    rows = vectors(400) + [(1000 + i, vectors(1)[0][1]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in ann.search(df, block_rows=64).filter("query_id = 0").orderBy("rank").collect()]
+    assert got == [i for i, _ in brute(rows)[0]]
