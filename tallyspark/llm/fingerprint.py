@@ -6,8 +6,8 @@ ascending. Fingerprints of parts merge into the fingerprint of the whole, and tw
 containment and distinct shingle counts.
 
 Rows: a null text counts as empty, with an empty fingerprint; two empty fingerprints have resemblance 1, an empty and
-another one 0. Null ids sort first; rows with equal ids are ordered by their text; repeated rows stay. Only `doc_id`
-and `text` are read.
+another one 0. Null ids sort first; rows with equal ids are ordered by a hash of their text; repeated rows stay. Only
+`doc_id` and `text` are read.
 """
 
 from __future__ import annotations
@@ -85,19 +85,41 @@ def as_text(fingerprint: Column) -> Column:
     return F.concat_ws("", F.transform(fingerprint, lambda h: F.lpad(F.hex(h), 16, "0")))
 
 
+#: Sampled rows behind each cut point.
+SAMPLED = 8
+
+
+def cut_points(points: DataFrame, ranges: int, rows: int) -> list[tuple[int, int, int]]:
+    """Points (f, k, t) that cut the rows into about `ranges` ranges of equal numbers, from a sample by hash: about
+    SAMPLED rows for each range reach the driver."""
+    every = max(1, rows // (SAMPLED * ranges))
+    sampled = points.filter(F.pmod(F.xxhash64("f", "k", "t"), F.lit(every)) == 0).distinct().orderBy("f", "k", "t").collect()
+    return [tuple(r) for r in sampled[SAMPLED - 1 :: SAMPLED]]
+
+
+def range_of(point: Column, cuts: list[tuple[int, int, int]]) -> Column:
+    """How many of the sorted cut points aren't after a row's point, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    held = F.expr("array(" + ", ".join(f"named_struct('f', {f}, 'k', bigint('{k}'), 't', bigint('{t}'))" for f, k, t in cuts) + ")")
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(held, found + step - 1) <= point, found + step).otherwise(found))
+
+
 def with_next(df: DataFrame, key: str, value: str, derived: dict[str, Column]) -> DataFrame:
     """Add the derived columns, and next_<column> for `value` and each derived one: those of the row with the next
-    key (after the last: the first); equal keys are ordered by `value`.
+    key (after the last: the first); equal keys are ordered by a hash of `value`, then by it.
 
-    Keys fall into about sqrt(rows) ranges of equal width. One window per range finds the next row, and a range's last
-    row takes the first row of the next range that has any; of the ranges, only their numbers meet in one task. The
-    join to those first rows keeps the windows' partitioning, so the texts are shuffled once.
+    Rows fall into about sqrt(rows) ranges of nearly equal numbers, cut by (key, hash of the value), so neither far-apart
+    nor repeated keys fill one range. One window per range finds the next row, and a range's last row takes the first row
+    of the next range that has any; of the ranges, only their numbers meet in one task. The join to those first rows
+    keeps the windows' partitioning, so the texts are shuffled once.
     """
-    stats = df.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
-    ranges = max(1, round(stats["n"] ** 0.5))
-    low, width = stats["low"] or 0, max(1.0, ((stats["high"] or 0) - (stats["low"] or 0) + 1) / ranges)
-    dealt = df.withColumn("_range", F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(-1)))
-    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), value)
+    rows = df.count()
+    point = F.struct(F.col(key).isNotNull().cast("int").alias("f"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), F.xxhash64(value).alias("t"))
+    cuts = cut_points(df.select(point.alias("p")).select("p.*"), max(1, round(rows**0.5)), rows)
+    dealt = df.withColumn("_range", range_of(point, cuts))
+    order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), F.xxhash64(value), value)
     columns = [value, *derived]
     inside = dealt.withColumns(derived)
     inside = inside.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns} | {"_last": F.lead(F.lit(False), 1, True).over(order)})

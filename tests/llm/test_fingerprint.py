@@ -67,3 +67,18 @@ def test_estimates(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(fp.sketch(F.col("a"), 512).alias("a"), fp.sketch(F.col("b"), 512).alias("b"))
     r = df.select(fp.distinct_shingles(F.col("a"), 512).alias("n"), fp.containment(F.col("b"), F.col("a"), 512).alias("c"), fp.resemblance(F.col("a"), F.col("b"), 512).alias("j")).first()
     assert r.n == pytest.approx(3000, rel=0.15) and r.c > 0.85 and r.j == pytest.approx(0.5, abs=0.08)
+
+
+def test_far_and_repeated_ids_fill_no_range(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(i, f"text {i}") for i in range(1500)] + [(7, f"same id {i}") for i in range(1500)] + [(low, "first"), (high, "last"), (None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    point = F.struct(F.col("doc_id").isNotNull().cast("int").alias("f"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("t"))
+    cuts = fp.cut_points(docs.select(point.alias("p")).select("p.*"), 55, len(rows))
+    sizes = [r["count"] for r in docs.groupBy(fp.range_of(point, cuts).alias("r")).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < len(rows) / 8
+    got = {r.text: r.next_text for r in fp.with_next(docs, "doc_id", "text", {}).collect()}
+    assert len(got) == len(rows) and got["null"] == "first" and got["last"] == "null" and got["text 8"] == "text 9" and got["text 1499"] == "last"
+    same = [t for i, t in rows if i == 7]
+    assert sum(got[t] in same for t in same) == len(same) - 1  # each id's rows follow each other
+    assert fp.fingerprint_digests(docs).count() == len(rows)
