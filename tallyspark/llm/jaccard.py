@@ -29,10 +29,10 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, discard, materialize, mix64, shingle_hashes, small_batches, words_of
+from .common import HashCache, discard, free_name, materialize, mix64, shingle_hashes, small_batches, words_of
 from .components import connected_components
 
 #: Ratio of neighbouring size bands.
@@ -45,7 +45,7 @@ SEGMENT_BITS = 16
 BLOCK = 1024
 #: Names of sets that a task remembers, so as to give their keys once.
 SEEN = 1_000_000
-#: Row hashes that may be broadcast (8 bytes each); beyond that they are joined.
+#: Row names that may be broadcast (16 bytes each); beyond that they are joined.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -97,7 +97,7 @@ def parity_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(bits, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-PROFILE = "row long, doc_id long, n_shingles long, class long, keys array<long>"
+PROFILE = "row binary, doc_id long, n_shingles long, class long, keys array<long>"
 
 
 def profile_in_task(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -231,8 +231,13 @@ def few(df: DataFrame) -> bool:
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """row (a hash of id and text), doc_id, text: what names a row even where ids are null or repeat."""
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """row, doc_id, text."""
+    return docs.select(row_name(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def row_name(docs: DataFrame) -> Column:
+    """A 128-bit hash of id and text: what names a row even where ids are null or repeat."""
+    return F.unhex(F.md5(F.concat(F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit(":"), docs["text"]), F.lit("-"))).cast("binary")))
 
 
 class Linker:
@@ -298,15 +303,20 @@ def class_components(docs: DataFrame, profile: DataFrame, width: int, percent: i
     texts = linker.texts(members.select("class").distinct())
     sketches = materialize(texts.select("text").mapInArrow(partial(sketches_in_task, width=width), "class long, n long, sketch binary").dropDuplicates(["class"]), "sketches")
     tested = links = labels = None
+    written = [members, sketches]
     for every in (False, False, True):
         pairs = compared(members, sketches, labels, percent, every)
+        written.append(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         found = linker.links(pairs)
+        written.append(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if labels is None or found.limit(1).count():
             labels = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    for table in written:
+        discard(table)
     return labels
 
 
@@ -330,9 +340,11 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     chosen = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("class_id", F.col("first.row").alias("kept"))
     dropped = materialize(found.filter("class_id IS NOT NULL").join(chosen, "class_id").filter("row <> kept").select("row").distinct(), "dropped")
     repeated = materialize(found.filter("class_id IS NOT NULL").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row"), "repeated")
-    named = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    gone, twice = (F.broadcast(x) if few(x) else x for x in (dropped, repeated))
-    kept = named.join(gone.withColumnRenamed("row", "_row"), "_row", "left_anti")
-    single = kept.join(twice.withColumnRenamed("row", "_row"), "_row", "left_anti")
-    several = kept.join(twice.withColumnRenamed("row", "_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    discard(found)
+    name = free_name(docs, "row")
+    named = docs.withColumn(name, row_name(docs))
+    gone, twice = ((F.broadcast(x) if few(x) else x).withColumnRenamed("row", name) for x in (dropped, repeated))
+    kept = named.join(gone, name, "left_anti")
+    single = kept.join(twice, name, "left_anti")
+    several = kept.join(twice, name, "left_semi").dropDuplicates([name])
     return single.unionByName(several).select(*docs.columns)

@@ -115,3 +115,10 @@ def test_components(spark):
                 label[u] = label[v] = min(label[u], label[v])
     assert got == label
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_keep_one_leaves_clashing_columns_alone(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", "b"), (2, text + " more", "c", "d"), (3, "other words that stay here", "e", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, _row string")
+    assert sorted(map(tuple, jaccard.keep_one(docs, 5, 80).collect())) == [rows[0], rows[2]]
