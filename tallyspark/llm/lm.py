@@ -8,7 +8,9 @@ rows of a table. Documents are gathered into chunks; a chunk sends each shard it
 levels, so a frequent n-gram costs one key a chunk, and a task holds one shard at a time while probing.
 
 The probability of a word after another interpolates the pair's relative frequency with the word's own add-one
-probability, all read from the filter. The weights, one per frequency level of the context, come from leave-one-out
+probability, all read from the filter. A level stands for its least count above a fraction's line and for its greatest
+below it, and a pair isn't more frequent than its words; so, but for the filter's few false answers, the probabilities of
+all words after a context add up to 1 at most. The weights, one per frequency level of the context, come from leave-one-out
 expectation maximisation on all training rows, of which only the number of tokens in each class of three levels
 (context, pair, word) goes to the driver.
 
@@ -59,11 +61,11 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return (1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LEVEL_BASE) + 1e-9)).astype(np.int64).clip(1, LEVELS)
 
 
-def level_counts() -> np.ndarray:
-    """The count that each level stands for: the mean of the whole numbers in it; 0 for level 0."""
+def level_counts() -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest count of each level; 0 for level 0."""
     low = np.ceil(LEVEL_BASE ** np.arange(LEVELS) - 1e-9)
     high = np.maximum(np.ceil(LEVEL_BASE ** np.arange(1, LEVELS + 1) - 1e-9) - 1, low)
-    return np.concatenate([[0.0], (low + high) / 2])
+    return np.concatenate([[0.0], low]), np.concatenate([[0.0], high])
 
 
 def token_hashes(text: str | None, cache: HashCache) -> np.ndarray:
@@ -331,7 +333,7 @@ class Model:
 
     def __init__(self, bits: np.ndarray | None, tokens: int, vocabulary: int, weights: np.ndarray):
         self.bits, self.tokens, self.vocabulary, self.weights = bits, tokens, vocabulary, weights
-        self.value = level_counts()
+        self.low, self.high = level_counts()
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(keys, return_inverse=True)
@@ -341,16 +343,17 @@ class Model:
         """The context's level, the pair's and the word's probability in each class. `without` is taken off the counts,
         so that a training row isn't judged by its own occurrence."""
         context, pair, word = classes // (LEVELS + 1) ** 2, classes // (LEVELS + 1) % (LEVELS + 1), classes % (LEVELS + 1)
-        whole = np.maximum(self.value[context] - without, 1e-9)
-        p_pair = np.where(context > 0, np.minimum(np.maximum(self.value[pair] - without, 0) / whole, 1.0), 0.0)
-        p_word = (np.maximum(self.value[word] - without, 0) + 1) / (self.tokens + self.vocabulary + 1)
+        pair = np.minimum(pair, np.minimum(context, word))
+        whole = np.maximum(self.high[context] - without, 1e-9)
+        p_pair = np.where(context > 0, np.minimum(np.maximum(self.low[pair] - without, 0) / whole, 1.0), 0.0)
+        p_word = (np.maximum(self.low[word] - without, 0) + 1) / (self.tokens + self.vocabulary + 1)
         return context, p_pair, p_word
 
     def logs(self, classes: np.ndarray) -> np.ndarray:
         """log10 probability of a token of each class."""
         context, p_pair, p_word = self.parts(classes)
         weight = self.weights[context]
-        return np.log10(np.minimum(weight * p_pair + (1 - weight) * p_word, 1.0))
+        return np.log10(weight * p_pair + (1 - weight) * p_word)
 
 
 def classes_of(row: dict, tokens: np.ndarray, starts: np.ndarray, levels: np.ndarray) -> np.ndarray:

@@ -113,3 +113,48 @@ def test_same_scores_in_any_chunks(spark):
     whole = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
     dealt = {r.doc_id: r.score for r in lm.score_documents(docs, chunk=500).collect()}
     assert dealt == pytest.approx(whole, rel=1e-9)
+
+
+def test_probabilities_after_a_context_add_up_to_one_at_most():
+    """Over the whole vocabulary, the unknown word included, for the true levels of a small corpus' counts."""
+    words = [t for _, text in corpus()[:200] for t in (text or "").split()] + ["x"] * 900
+    rng = np.random.default_rng(1)
+    after = list(zip(words, rng.permutation(words)))
+    count, pairs = Counter(words), Counter(after)
+    level = lambda n: int(lm.level_of(np.array([n]))[0]) if n else 0
+    model = lm.Model(None, len(words), len(count), np.linspace(0.1, 0.98, lm.LEVELS + 1))
+    for context in [w for w, _ in count.most_common(40)]:
+        c = level(count[context])
+        classes = [(c * (lm.LEVELS + 1) + level(pairs[context, w])) * (lm.LEVELS + 1) + level(count[w]) for w in count]
+        total = (10 ** model.logs(np.array([*classes, c * (lm.LEVELS + 1) ** 2]))).sum()
+        assert 0.3 < total <= 1 + 1e-9
+
+
+def test_score_against_brute_force(spark):
+    """The filter's levels of these few n-grams are the true ones, so the score is that of exact counts, quantised."""
+    docs = [(i, t) for i, t in corpus()[:120]]
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.doc_id is not None}
+    learn = [(t or "").lower().split() for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    count, pairs, starts = Counter(), Counter(), len(learn)
+    for words in learn:
+        tokens = [*words, None]
+        count.update(tokens)
+        pairs.update(zip(["<", *words], tokens))
+    level = lambda n: int(lm.level_of(np.array([n]))[0]) if n else 0
+    low, high = lm.level_counts()
+    model = lm.Model(None, sum(count.values()), len(count), np.zeros(lm.LEVELS + 1))
+    place = lambda a, b: (level(count[a] if a != "<" else starts), level(pairs[a, b]), level(count[b]))
+    code = lambda c: (c[0] * (lm.LEVELS + 1) + c[1]) * (lm.LEVELS + 1) + c[2]
+    seen = Counter(code(place(a, b)) for words in learn for a, b in zip(["<", *words], [*words, None]))
+    weights = lm.fit_weights(model, np.array(list(seen)), np.array(list(seen.values())))
+    near = []
+    for i, t in docs:
+        if i is None:
+            continue
+        words, total = (t or "").lower().split(), 0.0
+        for a, b in zip(["<", *words], [*words, None]):
+            c, p, w = place(a, b)
+            p = min(p, c, w)
+            total += math.log10(weights[c] * (low[p] / high[c] if c else 0) + (1 - weights[c]) * (low[w] + 1) / (model.tokens + model.vocabulary + 1))
+        near.append(abs(got[i] - total) <= 0.02 * abs(total) + 1e-6)
+    assert sum(near) >= 0.95 * len(near)
