@@ -53,6 +53,8 @@ CHUNK = 500_000
 HEAD_WORDS = 1_000_000
 #: Rows in one Arrow batch of numbers.
 NUMBER_ROWS = 65_536
+#: Bytes in one Arrow batch where rows are large.
+BATCH_BYTES = 8 << 20
 #: Classes of three levels: context, pair, word.
 CLASSES = (LEVELS + 1) ** 3
 
@@ -92,21 +94,33 @@ def blocks_for(entries: int) -> int:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """Rows in one Arrow batch, for the tables written inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def batch_rows(spark: SparkSession, rows: int, size: int = -1):
+    """Rows, and where given bytes, in one Arrow batch, for the tables written inside."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        if value > 0:
+            spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def binary(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, place by place: the high places are zero and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 CHUNKS = "chunk long, docs array<struct<doc_id:long,held_out:boolean,learn:boolean,n:long>>, words binary, at binary"
 
 
@@ -230,7 +244,7 @@ def send_entries(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.
         keys, levels = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(keys)
         keys, levels = keys[order], levels[order]
-        rows = [(s, binary(keys[a:b]), binary(levels[a:b])) for s, a, b in by_shard(keys, blocks)]
+        rows = [(s, pack_keys(keys[a:b]), binary(levels[a:b])) for s, a, b in by_shard(keys, blocks)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ENTRIES)], schema=ENTRIES)
 
     for batch in batches:
@@ -262,7 +276,7 @@ def build_shards(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.
                 if at is not None:
                     yield built()
                 at, bits = row["shard"], np.zeros((SHARD_BLOCKS, BLOCK_BITS // 8), np.uint8)
-            keys = np.frombuffer(row["keys"], np.uint64)
+            keys = unpack_keys(row["keys"])
             set_bits(bits, block_of(keys, blocks) - at * SHARD_BLOCKS, keys, np.frombuffer(row["levels"], np.uint8))
     if at is not None:
         yield built()
@@ -283,7 +297,7 @@ def ask(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBat
     for batch in batches:
         for row, _, tokens, starts in chunks_in(batch):
             keys = chunk_keys(row, tokens, starts)
-            rows = [(2 * s + 1, row["chunk"], binary(keys[a:b])) for s, a, b in by_shard(keys, blocks)]
+            rows = [(2 * s + 1, row["chunk"], pack_keys(keys[a:b])) for s, a, b in by_shard(keys, blocks)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ASKED)], schema=ASKED)
 
 
@@ -297,7 +311,7 @@ def answer(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.Record
             if row["slot"] & 1 == 0:
                 at, bits = shard, np.frombuffer(row["data"], np.uint8).reshape(SHARD_BLOCKS, -1)
                 continue
-            keys = np.frombuffer(row["data"], np.uint64)
+            keys = unpack_keys(row["data"])
             levels = read_levels(bits, block_of(keys, blocks) - at * SHARD_BLOCKS, keys) if shard == at else np.zeros(len(keys))
             rows.append((row["chunk"], shard, binary(levels.astype(np.uint8))))
         if rows:
@@ -313,12 +327,10 @@ def levels_of_chunks(chunks: DataFrame, words: DataFrame) -> DataFrame:
     entries = pairs.unionByName(words.select("key", level.alias("level"), F.lit(False).alias("pair")))
     blocks = blocks_for(entries.agg(F.sum("level")).first()[0] or 0)
     shards = blocks // SHARD_BLOCKS
-    with batch_rows(spark, NUMBER_ROWS):
-        sent = materialize(entries.mapInArrow(partial(send_entries, blocks=blocks), "shard int, keys binary, levels binary"), "entries")
-    discard(pairs)
-    with batch_rows(spark, 8):
+    with batch_rows(spark, NUMBER_ROWS, BATCH_BYTES):
+        sent = entries.mapInArrow(partial(send_entries, blocks=blocks), "shard int, keys binary, levels binary")
         built = materialize(sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(partial(build_shards, blocks=blocks), "shard int, bits binary"), "filter")
-    discard(sent)
+    discard(pairs)
     with batch_rows(spark, 1):
         asked = chunks.mapInArrow(partial(ask, blocks=blocks), "slot long, chunk long, data binary")
         stored = built.select((F.col("shard").cast("long") * 2).alias("slot"), F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data"))
