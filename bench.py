@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tallyspark.plans.registry import QUERIES
+from tallyspark.plans.catalogue import QUERIES
 
 HEADLINE = ("bid_item_flags", "bid_match_cascade", "bid_grouping_totals", "bid_warn_outlier_rate", "bid_normalize_mean_fill", "job_latest_run", "job_pending_fifo", "score_rank", "log_count_5m_sliding_filtered", "txt_normalize", "txt_line_chunks", "txt_html_text")
 

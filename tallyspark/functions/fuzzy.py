@@ -40,19 +40,68 @@ def token_sort_ratio(a: str, b: str) -> float:
 
 
 @pandas_udf(DoubleType())
-def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([max(ratio(x, y), partial_ratio(x, y), token_sort_ratio(x, y)) for x, y in zip(a, b)])
+def token_sort_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_sort_ratio(x, y) for x, y in zip(a, b)])
 
 
-@pandas_udf(DoubleType())
-def passage_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(x, y) for x, y in zip(a, b)])
+#: Names of one list; a longer one isn't a list to pick from.
+MOST_NAMES = 10_000
 
 
 def nearest_names(names: DataFrame, known: DataFrame, accept: float = 70.0, doubtful: float = 50.0) -> DataFrame:
-    """name, best, score, confidence (high, low or none): `known` is a tender's own list and goes to every task."""
-    pairs = names.crossJoin(F.broadcast(known.select(F.col("name").alias("known"))))
-    scored = pairs.withColumn("score", F.when(F.lower("name") == F.lower("known"), F.lit(100.0)).otherwise(name_score(F.lower("name"), F.lower("known"))))
-    best = scored.groupBy("name").agg(F.max_by(F.struct("known", "score"), F.struct("score", "known")).alias("b"))
-    kind = F.when(F.col("b.score") >= accept, "high").when(F.col("b.score") >= doubtful, "low").otherwise("none")
-    return best.select("name", F.when(kind != "none", F.col("b.known")).alias("best"), F.col("b.score").alias("score"), kind.alias("confidence"))
+    """name, best, score, confidence (high, low or none): equal names, whatever their case, by a join; each of the rest
+    against the whole list, of which ValueError says where it is too long to go to every task."""
+    held = [r[0] for r in known.select("name").filter("name IS NOT NULL").distinct().orderBy("name").limit(MOST_NAMES + 1).collect()]
+    if len(held) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} known names")
+    lowered = [k.lower() for k in held]
+
+    @pandas_udf("best string, score double")
+    def best_of(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for name in column:
+            scored = [(100.0 if name == k else max(ratio(name, k), partial_ratio(name, k), token_sort_ratio(name, k)), h) for k, h in zip(lowered, held)]
+            score, best = max(scored, default=(0.0, None))
+            rows.append((best, score))
+        return pd.DataFrame(rows, columns=["best", "score"])
+
+    equal = known.select(F.lower("name").alias("_key"), F.col("name").alias("_equal")).groupBy("_key").agg(F.max("_equal").alias("_equal"))
+    joined = names.withColumn("_key", F.lower("name")).join(equal, "_key", "left")
+    exact = joined.filter("_equal IS NOT NULL").select("name", F.col("_equal").alias("best"), F.lit(100.0).alias("score"))
+    rest = joined.filter("_equal IS NULL").select("name", best_of(F.coalesce("_key", F.lit(""))).alias("b")).select("name", "b.best", "b.score")
+    kind = F.when(F.col("score") >= accept, "high").when(F.col("score") >= doubtful, "low").otherwise("none")
+    return exact.unionByName(rest).select("name", F.when(kind != "none", F.col("best")).alias("best"), "score", kind.alias("confidence"))
+
+
+def best_window(passage: str, words: list[str]) -> tuple[float, int, int]:
+    """The ratio of the run of words most like a passage, and where it lies; of equal ones the first."""
+    n, best = len(passage.split()), (0.0, 0, 0)
+    for i in range(len(words) - n + 1):
+        score = ratio(" ".join(words[i : i + n]), passage)
+        if score > best[0]:
+            best = (score, i, i + n)
+    return best
+
+
+def locate_passages(passages: DataFrame, docs: DataFrame, width: int = 4, accept: float = 70.0) -> DataFrame:
+    """passage_id, doc_id, score, start, stop (words): the document that holds each passage's most similar run of words,
+    the smallest id of equal ones, from a score of `accept` on. Only documents that share a run of `width` words with a
+    passage are looked at, and in them the surroundings of those runs."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - width, F.lit(0))), lambda i: F.struct(F.xxhash64(F.slice(c, i + 1, width)).alias("run"), i.alias("at")))
+    left = passages.select("passage_id", words("passage").alias("pw")).select("passage_id", "pw", F.explode(runs("pw")).alias("r")).select("passage_id", "pw", "r.run", F.col("r.at").alias("at"))
+    right = docs.select("doc_id", words("text").alias("w"))
+    hits = right.select("doc_id", F.explode(runs("w")).alias("r")).select("doc_id", "r.run", F.col("r.at").alias("doc_at"))
+    # where a passage would begin in a document, by each run that they share
+    begins = hits.join(left.select("passage_id", "run", "at", F.size("pw").alias("n")), "run").select("passage_id", "n", "doc_id", F.greatest(F.col("doc_at") - F.col("at"), F.lit(0)).alias("begin")).distinct()
+    near = begins.join(right, "doc_id").select("passage_id", "doc_id", "begin", F.slice("w", F.greatest(F.col("begin") - 2, F.lit(0)) + 1, F.col("n") + 4).alias("piece"))
+
+    @pandas_udf("score double, start int, stop int")
+    def score(passage: pd.Series, piece: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_window(p, list(w)) for p, w in zip(passage, piece)], columns=["score", "start", "stop"])
+
+    shown = near.join(passages.select("passage_id", F.array_join(words("passage"), " ").alias("p")), "passage_id").withColumn("s", score("p", "piece"))
+    shift = F.greatest(F.col("begin") - 2, F.lit(0))
+    placed = shown.select("passage_id", "doc_id", F.col("s.score").alias("score"), (F.col("s.start") + shift).alias("start"), (F.col("s.stop") + shift).alias("stop")).filter(F.col("score") >= accept)
+    best = placed.groupBy("passage_id").agg(F.min_by(F.struct("doc_id", "score", "start", "stop"), F.struct(-F.col("score"), "doc_id", "start")).alias("b"))
+    return best.select("passage_id", "b.*")

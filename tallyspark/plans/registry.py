@@ -2,208 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions import fuzzy, text
-from tallyspark.operators import bids, jobs, scoring
+from tallyspark.functions import text
+from tallyspark.operators import jobs, scoring
 from tallyspark.sources import tables
 from tallyspark.sources.tables import load
 from tallyspark.streaming import logs
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, before: str = "") -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL for the same rows."""
-
-    def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE_SQL[function.__name__] = before + sql
-        return function
-
-    return register
-
-
-BIDS = """WITH lines AS (SELECT *, l_suppkey % 5 AS vendor_ord FROM lineitem WHERE l_returnflag = 'A'),
-firsts AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY vendor_ord, l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1),
-bids AS (SELECT 'V' || vendor_ord AS vendor, vendor_ord, p_brand AS division, p_type AS "grouping", 'S' || (p_size % 3) AS sub_group, p_partkey AS item, l_quantity AS qty,
-  l_extendedprice / l_quantity AS rate, p_retailprice * (0.75::DOUBLE + 5.0::DOUBLE * l_discount) AS market_rate, l_extendedprice AS amount, l_extendedprice * (1.0::DOUBLE + l_tax) AS extracted, p_retailprice AS benchmark_rate
-  FROM firsts JOIN part ON l_partkey = p_partkey),
-template AS (SELECT p_brand AS division, p_type AS "grouping", 'S' || (p_size % 3) AS sub_group, p_partkey AS item, 0 AS idx FROM part),
-flags AS (SELECT division, "grouping", item, min(rate) AS low_rate, max(rate) AS high_rate, first(vendor ORDER BY rate, vendor_ord DESC) AS low_bidder, first(vendor ORDER BY rate DESC, vendor_ord DESC) AS high_bidder, count(*) AS n_valid,
-  CASE WHEN min(rate) > 0.01 THEN least((max(rate) - min(rate)) / min(rate) * 100.0::DOUBLE, 500.0::DOUBLE) END AS variance_pct FROM bids WHERE rate > 0 GROUP BY ALL),
-divisions AS (SELECT division, vendor, vendor_ord, sum(amount::DECIMAL(18,4))::DOUBLE AS calculated, sum(extracted::DECIMAL(18,4))::DOUBLE AS extracted FROM bids GROUP BY ALL),
-medians AS (SELECT item, list_sort(list(rate))[(count(*) // 2)::INT + 1] AS median_rate FROM bids WHERE rate > 0 GROUP BY item HAVING count(*) >= 3),
-outliers AS (SELECT item, vendor, rate, median_rate, CASE WHEN rate / median_rate > 10 OR rate / median_rate < 0.1::DOUBLE THEN 'error' ELSE 'warning' END AS severity FROM bids JOIN medians USING (item)
-  WHERE rate > 0 AND (rate / median_rate > 5 OR rate / median_rate < 0.2::DOUBLE))
-"""
-SHIFTED = BIDS + """, shifted AS (SELECT vendor, vendor_ord, item, rate, item AS ord, CASE WHEN (item * 7 + vendor_ord) % 6 = 4 THEN 'other' ELSE division END AS division, CASE WHEN (item * 7 + vendor_ord) % 6 = 3 THEN 'other' ELSE "grouping" END AS "grouping",
-  CASE WHEN (item * 7 + vendor_ord) % 6 = 2 THEN 'other' ELSE sub_group END AS sub_group, CASE WHEN (item * 7 + vendor_ord) % 6 = 1 THEN 1 ELSE 0 END AS idx FROM bids)
-"""
-
-
-def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tables.bid_lines(spark, sf_dir), tables.template_items(spark, sf_dir)
-
-
-@query("SELECT * FROM flags", BIDS)
-def bid_item_flags(spark, sf_dir):
-    return bids.item_flags(tables.bid_lines(spark, sf_dir))
-
-
-@query("SELECT item, max(rate) FILTER (vendor = 'V0') AS V0, max(rate) FILTER (vendor = 'V1') AS V1, max(rate) FILTER (vendor = 'V2') AS V2, max(rate) FILTER (vendor = 'V3') AS V3, max(rate) FILTER (vendor = 'V4') AS V4 FROM bids GROUP BY item", BIDS)
-def bid_item_rates_pivot(spark, sf_dir):
-    return bids.rates_pivot(tables.bid_lines(spark, sf_dir), [f"V{i}" for i in range(5)])
-
-
-@query("SELECT item, variance_pct FROM flags WHERE variance_pct > 0", BIDS)
-def bid_rate_variance(spark, sf_dir):
-    return bids.item_flags(tables.bid_lines(spark, sf_dir)).filter("variance_pct > 0").select("item", "variance_pct")
-
-
-CASCADE = """SELECT t.division, t."grouping", t.sub_group, t.item, t.idx, v.vendor, s.rate,
- CASE WHEN s.item IS NULL THEN NULL WHEN s.division = t.division AND s."grouping" = t."grouping" AND s.sub_group = t.sub_group AND s.idx = t.idx THEN 1 {tiers} END AS match_tier
- FROM template t CROSS JOIN (SELECT DISTINCT vendor FROM shifted) v LEFT JOIN shifted s ON s.vendor = v.vendor AND s.item = t.item AND s.division = t.division {on}"""
-
-
-@query(CASCADE.format(tiers='WHEN s."grouping" = t."grouping" AND s.sub_group = t.sub_group THEN 2 WHEN s."grouping" = t."grouping" THEN 3 ELSE 4', on=""), SHIFTED)
-def bid_match_cascade(spark, sf_dir):
-    own, template = both(spark, sf_dir)
-    return bids.match_cascade(template, tables.shifted_bids(own))
-
-
-@query(CASCADE.format(tiers='WHEN s."grouping" = t."grouping" THEN 2 ELSE 3', on=""), SHIFTED)
-def bid_match_pte(spark, sf_dir):
-    own, template = both(spark, sf_dir)
-    return bids.match_cascade(template, tables.shifted_bids(own), bids.BENCHMARK_TIERS)
-
-
-TOTALS = """SELECT {keys}, s.vendor, s.total, b.low_bidder, b.high_bidder FROM sums s LEFT JOIN (SELECT {keys}, first(vendor ORDER BY total, vendor_ord) AS low_bidder, first(vendor ORDER BY total DESC, vendor_ord) AS high_bidder FROM sums WHERE total > 0 GROUP BY ALL) b USING ({keys})"""
-SUMS = """, sums AS (SELECT {keys}, vendor, vendor_ord, sum(coalesce(amount, qty * rate, 0)::DECIMAL(18,4))::DOUBLE AS total FROM bids GROUP BY ALL) """
-
-
-def totals_sql(keys: str) -> str:
-    return SUMS.format(keys=keys) + TOTALS.format(keys=keys)
-
-
-@query(totals_sql('division, "grouping"'), BIDS)
-def bid_grouping_totals(spark, sf_dir):
-    keys = ("division", "grouping")
-    return bids.with_bidders(bids.totals(tables.bid_lines(spark, sf_dir), *keys), *keys)
-
-
-@query(totals_sql('division, "grouping", sub_group'), BIDS)
-def bid_subgroup_view(spark, sf_dir):
-    keys = ("division", "grouping", "sub_group")
-    return bids.with_bidders(bids.totals(tables.bid_lines(spark, sf_dir), *keys), *keys)
-
-
-@query(totals_sql("division"), BIDS)
-def bid_fast_totals(spark, sf_dir):
-    return bids.with_bidders(bids.totals(tables.bid_lines(spark, sf_dir), "division"), "division")
-
-
-@query("SELECT *, CASE WHEN extracted > 0 THEN extracted ELSE calculated END AS total FROM divisions", BIDS)
-def bid_division_totals_extracted(spark, sf_dir):
-    return bids.division_totals(tables.bid_lines(spark, sf_dir))
-
-
-@query(""", sums AS (SELECT vendor, vendor_ord, sum(amount::DECIMAL(18,4))::DOUBLE AS total FROM bids GROUP BY ALL) SELECT vendor, total, row_number() OVER (ORDER BY total, vendor_ord) AS rank,
- total / min(total) OVER () * 100.0::DOUBLE AS price_index, total / min(total) OVER () * 100.0::DOUBLE - 100.0::DOUBLE AS over_lowest FROM sums WHERE total > 0""", BIDS)
-def bid_rank_index(spark, sf_dir):
-    return bids.ranked_totals(tables.bid_lines(spark, sf_dir))
-
-
-@query("SELECT count(*) AS items, count(*) FILTER (variance_pct > 0) AS with_variance, median(variance_pct) FILTER (variance_pct > 0) AS median_variance FROM flags", BIDS)
-def bid_summary_median_variance(spark, sf_dir):
-    return bids.variance_summary(bids.item_flags(tables.bid_lines(spark, sf_dir)))
-
-
-@query("SELECT division, vendor, extracted, calculated, abs(extracted - calculated) / extracted * 100.0::DOUBLE AS gap_pct FROM divisions WHERE extracted > 0 AND calculated > 0 AND abs(extracted - calculated) / extracted * 100.0::DOUBLE > 3", BIDS)
-def bid_warn_total_mismatch(spark, sf_dir):
-    return bids.warn_total_mismatch(bids.division_totals(tables.bid_lines(spark, sf_dir)), 3.0)
-
-
-@query(", valid AS (SELECT item, count(*) AS n_valid FROM bids WHERE rate > 0 GROUP BY item HAVING count(*) >= 2) SELECT item, vendor, n_valid FROM template JOIN valid USING (item) CROSS JOIN (SELECT DISTINCT vendor FROM bids) v WHERE NOT EXISTS (FROM bids b WHERE b.item = template.item AND b.vendor = v.vendor)", BIDS)
-def bid_warn_missing_item(spark, sf_dir):
-    return bids.warn_missing(*both(spark, sf_dir))
-
-
-@query("SELECT * FROM outliers", BIDS)
-def bid_warn_outlier_rate(spark, sf_dir):
-    return bids.warn_outliers(tables.bid_lines(spark, sf_dir))
-
-
-@query(", sides AS (SELECT item, high_bidder AS vendor, 'high' AS side FROM flags WHERE variance_pct >= 200 UNION ALL SELECT item, low_bidder, 'low' FROM flags WHERE variance_pct >= 200) SELECT * FROM sides s WHERE NOT EXISTS (FROM outliers o WHERE o.item = s.item AND o.vendor = s.vendor)", BIDS)
-def bid_ptc_from_warnings(spark, sf_dir):
-    return bids.deviations(tables.bid_lines(spark, sf_dir))
-
-
-@query("SELECT item, vendor FROM template CROSS JOIN (SELECT DISTINCT vendor FROM bids) v WHERE NOT EXISTS (FROM bids b WHERE b.item = template.item AND b.vendor = v.vendor)", BIDS)
-def bid_ptc_unpriced(spark, sf_dir):
-    own, template = both(spark, sf_dir)
-    return template.select("item").crossJoin(F.broadcast(own.select("vendor").distinct())).join(own.filter("rate IS NOT NULL OR amount IS NOT NULL"), ["item", "vendor"], "left_anti")
-
-
-def fill_sql(value: str) -> str:
-    return f", fills AS (SELECT item, {value} AS fill FROM bids WHERE rate > 0 GROUP BY item) SELECT t.item, v.vendor, coalesce(b.rate, f.fill) AS rate, b.rate IS NULL AS filled FROM template t JOIN fills f USING (item) CROSS JOIN (SELECT DISTINCT vendor FROM bids) v LEFT JOIN bids b ON b.item = t.item AND b.vendor = v.vendor"
-
-
-@query(fill_sql("sum(rate::DECIMAL(18,8))::DOUBLE / count(*)"), BIDS)
-def bid_normalize_mean_fill(spark, sf_dir):
-    return bids.fill_rates(*both(spark, sf_dir), "mean")
-
-
-@query(fill_sql("median(rate)"), BIDS)
-def bid_normalize_median_fill(spark, sf_dir):
-    return bids.fill_rates(*both(spark, sf_dir), "median")
-
-
-@query(fill_sql("min(rate)"), BIDS)
-def bid_normalize_lowest_fill(spark, sf_dir):
-    return bids.fill_rates(*both(spark, sf_dir), "lowest")
-
-
-@query("SELECT division, vendor, CASE WHEN abs(calculated - extracted) >= 0.5 THEN (calculated - extracted) / CASE WHEN extracted <> 0 THEN extracted ELSE calculated END * 100.0::DOUBLE END AS discrepancy_pct FROM divisions", BIDS)
-def bid_discrepancy(spark, sf_dir):
-    return bids.discrepancy(bids.division_totals(tables.bid_lines(spark, sf_dir)))
-
-
-@query("SELECT division, vendor, abs(calculated - extracted) / extracted * 100.0::DOUBLE AS variance_pct, abs(calculated - extracted) / extracted * 100.0::DOUBLE <= 4 AS passed FROM divisions", BIDS)
-def boq_reconcile(spark, sf_dir):
-    return bids.reconcile(bids.division_totals(tables.bid_lines(spark, sf_dir)), 4.0)
-
-
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, abs(l_extendedprice / 50) AS rate, CASE WHEN l_linenumber = 1 OR abs(l_quantity * abs(l_extendedprice / 50) - l_extendedprice) / abs(l_quantity * abs(l_extendedprice / 50)) < 0.02::DOUBLE THEN round((l_quantity * abs(l_extendedprice / 50))::VARCHAR::DECIMAL(28,12), 2)::DOUBLE ELSE l_extendedprice END AS amount FROM lineitem WHERE l_quantity >= 40")
-def boq_correct_items(spark, sf_dir):
-    # both sides round the decimal rendering; rounding the double differs where it lies just below a half
-    rows = load(spark, sf_dir, "lineitem").filter("l_quantity >= 40")
-    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("qty"), (-F.col("l_extendedprice") / 50).alias("rate"), F.when(F.col("l_linenumber") > 1, -F.col("l_extendedprice")).alias("amount"), F.lit("").alias("raw"))
-    return bids.correct_items(rows).drop("qty", "raw")
-
-
-@query("SELECT division, sum(amount::DECIMAL(18,4))::DOUBLE AS total, count(*) AS items FROM bids GROUP BY division", BIDS)
-def boq_merge_chunks(spark, sf_dir):
-    own = tables.bid_lines(spark, sf_dir)
-    parts = own.unionByName(own.withColumn("division", F.concat("division", F.lit(" (CONT'D) page 2"))))
-    return bids.merge_chunks(parts, "division", "amount", ["item", "vendor"])
-
-
-@query('SELECT division AS doc, "grouping", sub_group, item AS item_id, row_number() OVER (PARTITION BY division, "grouping", sub_group ORDER BY item) - 1 AS idx FROM template', BIDS)
-def boq_explode_nested(spark, sf_dir):
-    items = tables.template_items(spark, sf_dir)
-    subs = items.groupBy("division", "grouping", "sub_group").agg(F.sort_array(F.collect_list(F.struct(F.col("item").alias("item_id")))).alias("line_items"))
-    groups = subs.groupBy("division", "grouping").agg(F.collect_list(F.struct(F.col("sub_group").alias("sub_grouping_name"), "line_items")).alias("sub_groupings"))
-    groups = groups.withColumn("line_items", F.array().cast("array<struct<item_id:bigint>>"))
-    docs = groups.groupBy("division").agg(F.collect_list(F.struct(F.col("grouping").alias("grouping_name"), "sub_groupings", "line_items")).alias("grouping"))
-    docs = docs.select(F.col("division").alias("doc"), F.array(F.struct(F.col("division").alias("division_name"), "grouping")).alias("divisions"))
-    return bids.explode_boq(docs).select("doc", "grouping", "sub_group", "item_id", F.col("idx").cast("long").alias("idx"))
+from .register import ORACLE_SQL, QUERIES, query
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round(value, 2) END AS value FROM events")
@@ -213,16 +20,6 @@ def boq_safe_float(spark, sf_dir):
     return rows.select("event_id", text.safe_float(shown).alias("value"))
 
 
-# Labels to tell apart, in tests and queries.
-LABELS = ("SUB-TOTAL", "C/F", "B/FWD 1,200", "Page Total:", "Total for section 2", "carried to summary AED 10", "Excavation")
-
-
-@query("SELECT p_partkey, p_partkey % 7 >= 4 AND p_partkey % 7 <> 5 AS kept FROM part")
-def boq_filter_subtotals(spark, sf_dir):
-    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return load(spark, sf_dir, "part").select("p_partkey", (~text.is_subtotal(label)).alias("kept"))
-
-
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'summary' WHEN 1 THEN 'skip' ELSE 'content' END AS kind FROM part")
 def boq_sheet_classify(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, ("Bill Summary", "Cover page", "Bill 2", "Doors"))), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -267,30 +64,6 @@ def score_missing_mappings(spark, sf_dir):
     return scoring.missing_scores(tables.score_rows(spark, sf_dir))
 
 
-@query("SELECT DISTINCT criterion, (criterion + 1) * 2.5 AS weight, ((criterion + 1) * 2.5 / 70 * 100)::DOUBLE AS share FROM scores", SCORES)
-def score_coerce_weight(spark, sf_dir):
-    rows = tables.score_rows(spark, sf_dir).select("criterion", "weight").distinct()
-    shown = rows.withColumn("weight", scoring.coerce_weight(F.concat(F.replace(F.col("weight").cast("string"), F.lit("."), F.lit(",")), F.lit("%"))))
-    return shown.withColumn("share", F.col("weight") / 70 * 100)
-
-
-@query(", sums AS (SELECT sum(weight::DECIMAL(18,4))::DOUBLE AS sum FROM (SELECT DISTINCT criterion, weight FROM scores)) SELECT DISTINCT criterion, weight, CASE WHEN sum BETWEEN 80 AND 120 THEN weight ELSE CASE WHEN weight <= 1 THEN weight * 100 ELSE weight END END AS percent FROM scores, sums", SCORES)
-def score_scale_mode(spark, sf_dir):
-    return scoring.scale_weights(tables.score_rows(spark, sf_dir).select("criterion", "weight").distinct())
-
-
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 70 WHEN 1 THEN 70 WHEN 2 THEN 100 END AS points FROM documents")
-def score_grade_map(spark, sf_dir):
-    grade = F.element_at(F.array(*map(F.lit, ("7 - Good", "Good  Confidence", "compliant", "unknown"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return load(spark, sf_dir, "documents").select("doc_id", scoring.grade_score(grade).alias("points"))
-
-
-@query()
-def score_normalize_weights(spark, sf_dir):
-    rows = tables.score_rows(spark, sf_dir).select(F.col("scope").alias("rubric"), "criterion", "weight").distinct()
-    return scoring.normalized_rubrics(rows.groupBy("rubric").agg(F.transform(F.sort_array(F.collect_list(F.struct("criterion", "weight"))), lambda x: x["weight"]).alias("weights")))
-
-
 JOBS = """WITH jobs AS (SELECT o_orderkey AS job_id, o_orderpriority AS type, o_custkey AS user_id, o_orderdate AS created_at FROM orders),
 runs AS (SELECT l_orderkey AS job_id, l_linenumber AS attempt_no, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'completed' ELSE 'in_progress' END AS status, l_shipdate AS created_at, l_partkey AS part, l_suppkey AS supp, l_extendedprice AS artifact FROM lineitem),
 latest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY attempt_no DESC, created_at DESC, part, supp) = 1),
@@ -365,7 +138,7 @@ def org_union_distinct(spark, sf_dir):
     return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("org")).union(load(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-MEMBERS = """WITH members AS (SELECT l_suppkey % 50 AS project, l_partkey % 40 AS "user", CASE l_linenumber % 4 WHEN 0 THEN 'technical_team' WHEN 1 THEN 'commercial_team' WHEN 2 THEN 'package_lead' ELSE NULL END AS role, l_quantity > 49 AS owner FROM lineitem WHERE l_discount > 0.09),
+MEMBERS = """WITH members AS (SELECT l_suppkey % 50 AS project, l_partkey % 40 AS "user", CASE l_linenumber % 4 WHEN 0 THEN 'technical_team' WHEN 1 THEN 'commercial_team' WHEN 2 THEN 'package_lead' ELSE NULL END AS role, l_quantity > 49 AS owner FROM lineitem),
 best AS (SELECT project, "user", first(role ORDER BY CASE role WHEN 'package_lead' THEN 2 WHEN 'commercial_team' THEN 3 WHEN 'technical_team' THEN 4 END) FILTER (role IS NOT NULL) AS role, bool_or(owner) AS owner FROM members GROUP BY ALL)
 """
 
@@ -373,7 +146,7 @@ best AS (SELECT project, "user", first(role ORDER BY CASE role WHEN 'package_lea
 @query("""SELECT *, CASE WHEN owner THEN 'full' WHEN role = 'package_lead' THEN 'package' WHEN role = 'commercial_team' THEN 'commercial' WHEN role = 'technical_team' THEN 'technical' ELSE 'none' END AS access FROM best""", MEMBERS)
 def proj_access(spark, sf_dir):
     role = F.when(F.col("l_linenumber") % 4 == 0, "technical_team").when(F.col("l_linenumber") % 4 == 1, "commercial_team").when(F.col("l_linenumber") % 4 == 2, "package_lead")
-    rows = load(spark, sf_dir, "lineitem").filter("l_discount > 0.09").select((F.col("l_suppkey") % 50).alias("project"), (F.col("l_partkey") % 40).alias("user"), role.alias("role"), (F.col("l_quantity") > 49).alias("owner"))
+    rows = load(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("project"), (F.col("l_partkey") % 40).alias("user"), role.alias("role"), (F.col("l_quantity") > 49).alias("owner"))
     return jobs.access(rows)
 
 
@@ -440,7 +213,7 @@ def txt_dup_lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(text.drop_repeated_lines(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 400 THEN substring(text, 1, 200) || ' [...] ' || right(text, 200) ELSE text END AS text FROM documents")
+@query("WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN '[FALLBACK-EXTRACT] (empty content)' WHEN length(t) > 400 THEN '[FALLBACK-EXTRACT]' || chr(10) || substring(t, 1, 200) || chr(10) || '...' || chr(10) || right(t, 200) ELSE '[FALLBACK-EXTRACT]' || chr(10) || t END AS text FROM d")
 def txt_head_tail(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.head_tail(F.col("text"), 400).alias("text"))
 
@@ -472,9 +245,3 @@ def txt_weighted_mean(spark, sf_dir):
 @query()
 def txt_html_text(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
-
-
-@query()
-def fuzzy_nearest_name(spark, sf_dir):
-    nations = load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return fuzzy.nearest_names(load(spark, sf_dir, "supplier").select(F.lower(F.regexp_replace("s_name", "[^A-Za-z]+", " ")).alias("name")).distinct(), nations)

@@ -16,43 +16,58 @@ def exact_sum(column: Column, scale: int = 4) -> Column:
 
 
 def bid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vendor, vendor_ord, division, grouping, sub_group, item, qty, rate, market_rate, amount, extracted: the first
-    returned line of each vendor and item."""
-    lines = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").withColumn("vendor_ord", F.col("l_suppkey") % 5)
-    first = F.row_number().over(Window.partitionBy("vendor_ord", "l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey"))
-    lines = lines.withColumn("first", first).filter("first = 1")
-    return lines.join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("V"), F.col("vendor_ord").cast("string")).alias("vendor"),
+    """vendor, vendor_ord, division, grouping, sub_group, item, idx, description, qty, rate, market_rate, amount,
+    extracted, benchmark_rate, raw, ord: every line as an offer of one of 15 vendors; a vendor's lines with one item
+    follow each other as positions. Some lines have a text in place of prices, or neither."""
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    lines = load(spark, sf_dir, "lineitem").withColumn("vendor_ord", (F.col("l_suppkey") % 5 * 3 + flag).cast("int"))
+    position = F.row_number().over(Window.partitionBy("vendor_ord", "l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")) - 1
+    joined = lines.withColumn("idx", position).join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    priced = ~((F.col("l_linenumber") == 7) | (F.col("vendor_ord").isin(3, 4) & F.col("p_brand").endswith("1")))
+    return joined.select(
+        F.concat(F.lit("V"), F.lpad(F.col("vendor_ord").cast("string"), 2, "0")).alias("vendor"),
         "vendor_ord",
         F.col("p_brand").alias("division"),
         F.col("p_type").alias("grouping"),
         F.concat(F.lit("S"), (F.col("p_size") % 3).cast("string")).alias("sub_group"),
         F.col("p_partkey").alias("item"),
+        "idx",
+        F.col("p_name").alias("description"),
         F.col("l_quantity").alias("qty"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"),
+        F.when(priced, F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"),
         (F.col("p_retailprice") * (F.lit(0.75) + F.lit(5.0) * F.col("l_discount"))).alias("market_rate"),
-        F.col("l_extendedprice").alias("amount"),
+        F.when(priced & (F.col("l_linenumber") != 5), F.col("l_extendedprice")).alias("amount"),
         (F.col("l_extendedprice") * (F.lit(1.0) + F.col("l_tax"))).alias("extracted"),
         F.col("p_retailprice").alias("benchmark_rate"),
-    )
+        F.when(~priced & (F.col("vendor_ord") != 4), F.lit("Included")).alias("raw"),
+        "l_orderkey", "l_linenumber", "l_discount", "l_tax",
+    )
 
 
 def template_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two positions of each part."""
     return load(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("division"), F.col("p_type").alias("grouping"), F.concat(F.lit("S"), (F.col("p_size") % 3).cast("string")).alias("sub_group"), F.col("p_partkey").alias("item"), F.lit(0).alias("idx")
+        F.col("p_brand").alias("division"), F.col("p_type").alias("grouping"), F.concat(F.lit("S"), (F.col("p_size") % 3).cast("string")).alias("sub_group"), F.col("p_partkey").alias("item"), F.explode(F.array(F.lit(0), F.lit(1))).alias("idx")
     )
 
 
+def shifted_template(template: DataFrame) -> DataFrame:
+    """A template in which some items have no id."""
+    return template.withColumn("item", F.when(F.col("item") % 10 != 0, F.col("item")))
+
+
 def shifted_bids(bids: DataFrame) -> DataFrame:
-    """Bids some of whose lines stand in another place than in the template, so that every tier of a match occurs."""
-    place = (F.col("item") * 7 + F.col("vendor_ord")) % 6
+    """Bids some of whose lines stand in another place than in the template, so that every tier of a match occurs; with
+    lower-cased divisions, missing ids, and places that occur twice."""
+    place = (F.col("item") * 7 + F.col("vendor_ord")) % 7
     return bids.select(
-        "vendor", "vendor_ord", "item", "rate",
-        F.when(place == 4, F.lit("other")).otherwise(F.col("division")).alias("division"),
+        "vendor", "vendor_ord", "rate", "amount",
+        F.when(F.col("item") % 10 != 0, F.col("item")).alias("item"),
+        F.when(place == 4, F.lit("other")).when(place == 5, F.lower("division")).otherwise(F.col("division")).alias("division"),
         F.when(place == 3, F.lit("other")).otherwise(F.col("grouping")).alias("grouping"),
         F.when(place == 2, F.lit("other")).otherwise(F.col("sub_group")).alias("sub_group"),
-        F.when(place == 1, F.lit(1)).otherwise(F.lit(0)).alias("idx"),
-        F.col("item").alias("ord"),
+        F.when(place == 1, F.lit(9)).otherwise(F.floor(F.col("idx") / 2).cast("int")).alias("idx"),
+        (F.col("l_orderkey") * 1000000 + F.col("item") * 10 + F.col("l_linenumber")).alias("ord"),
     )
 
 

@@ -4,14 +4,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions import fuzzy, text
-from tallyspark.operators import bids, scoring
+from tallyspark.functions import fuzzy, numbers, text
+from tallyspark.operators import bids, documents, scoring
 from tallyspark.streaming import logs
 
 
+OFFER = "division string, grouping string, sub_group string, item long, idx int, vendor string, vendor_ord int, qty double, rate double, amount double, raw string, extracted double, ord long"
+
+
 def offers(spark, rates):
-    rows = [("D", "G", "S", 1, f"V{i}", i, 1.0, float(r), None) for i, r in enumerate(rates)]
-    return spark.createDataFrame(rows, "division string, grouping string, sub_group string, item long, vendor string, vendor_ord long, qty double, rate double, amount double")
+    return spark.createDataFrame([("D", "G", "S", 1, 0, f"V{i}", i, 1.0, None if r is None else float(r), None, None, 1.0, i) for i, r in enumerate(rates)], OFFER)
 
 
 @pytest.mark.parametrize("rates,bidder,variance", [((10, 10, 20), "V1", 100.0), ((0.005, 5), "V0", None), ((1, 100), "V0", 500.0)])
@@ -25,24 +27,81 @@ def test_outliers(spark, rates, severity):
     assert [r.severity for r in bids.warn_outliers(offers(spark, rates)).collect()] == severity
 
 
+def test_repeated_ids_are_compared_in_their_own_place(spark):
+    far = offers(spark, (100, 100, 100)).withColumn("division", F.lit("E"))
+    assert bids.warn_outliers(offers(spark, (1, 1, 1)).unionByName(far)).count() == 0
+    assert [r.variance_pct for r in bids.item_flags(offers(spark, (1, 1)).unionByName(far)).collect()] == [0.0, 0.0]
+
+
+def test_a_line_without_price_is_missing(spark):
+    own = offers(spark, (1, 2, None))
+    assert [r.vendor for r in bids.warn_missing(own, own.select(*bids.PLACE).distinct()).collect()] == ["V2"]
+
+
+def test_unpriced_places_stay(spark):
+    own = offers(spark, (3, None))
+    template = own.select(*bids.PLACE).distinct().unionByName(own.select(*bids.PLACE).distinct().withColumn("item", F.lit(9).cast("long")))
+    assert sorted((r.item, r.vendor, r.rate) for r in bids.fill_rates(own, template, "median").fillna(-1, ["rate"]).collect()) == [(1, "V0", 3.0), (1, "V1", 3.0), (9, "V0", -1.0), (9, "V1", -1.0)]
+
+
+def test_match_folds_case_and_null_ids_and_keeps_the_last_of_equal_places(spark):
+    rows = [("d", "g", "s", None, 0, "V", 0, 1.0, 5.0, 1.0, None, 1.0, 1), ("D", "G", "S", None, 0, "V", 0, 1.0, 7.0, 2.0, None, 1.0, 2), ("D", "H", "S", None, 0, "V", 0, 1.0, 9.0, 3.0, None, 1.0, 0)]
+    given = spark.createDataFrame(rows, OFFER)
+    template = spark.createDataFrame([("D", "G", "s", None, 0), ("d", "G", "s", None, 4), ("D", "G", "x", None, 0), ("D", "x", "x", None, 0), ("x", "G", "S", None, 0)], "division string, grouping string, sub_group string, item long, idx int")
+    got = {(r.division, r.grouping, r.sub_group, r.idx): (r.rate, r.amount, r.match_tier) for r in bids.match_cascade(template, given).collect()}
+    assert got == {("D", "G", "s", 0): (7.0, 2.0, 1), ("d", "G", "s", 4): (7.0, 2.0, 2), ("D", "G", "x", 0): (7.0, 2.0, 3), ("D", "x", "x", 0): (9.0, 3.0, 4), ("x", "G", "S", 0): (None, None, None)}
+
+
+def test_reconcile(spark):
+    rows = [("a", "V", 100.0, 0.0, 10, 6), ("b", "V", 100.0, 0.0, 10, 5), ("c", "V", None, 5.0, 1, 0), ("d", "V", 100.0, 97.0, 1, 0), ("e", "V", 100.0, 96.0, 1, 0)]
+    sums = spark.createDataFrame(rows, "division string, vendor string, extracted double, calculated double, items long, raw_only long")
+    assert {r.division: (r.variance_pct, r.passed) for r in bids.reconcile(sums).collect()} == {"a": (None, True), "b": (100.0, False), "c": (None, True), "d": (3.0, True), "e": (4.0, False)}
+
+
+def test_merged_chunks(spark):
+    rows = [("A", 0, 10.0, 4.0, 1), ("A (CONT'D) 2", 1, 20.0, 4.0, 1), ("A (CONT'D) 2", 1, 20.0, 5.0, 2), ("B", 0, None, 6.0, 1)]
+    got = bids.merge_chunks(spark.createDataFrame(rows, "division string, chunk int, stated double, amount double, item int"), ["item", "amount"])
+    assert {r.division: (r.total, r["items"]) for r in got.collect()} == {"A": (30.0, 2), "B": (6.0, 1)}
+
+
 def test_first_vendor_of_equal_totals(spark):
     rows = bids.with_bidders(bids.totals(offers(spark, (3, 3, 5, 5)), "division"), "division").first()
     assert (rows.low_bidder, rows.high_bidder) == ("V0", "V2")
 
 
+def test_rounding_is_that_of_the_binary_value(spark):
+    rng = random.Random(4)
+    given = [0.125, 0.375, 2.675, 1.005, 0.0, 1e9 + 0.005] + [rng.randint(0, 10**7) / 1000 for _ in range(3000)] + [rng.randint(0, 10**6) * rng.random() for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in given + [-x for x in given]], "x double").select(numbers.round_half_even(F.col("x"))).collect()
+    assert [r[0] for r in got] == [round(x, 2) for x in given + [-x for x in given]]
+
+
 def test_correct_items(spark):
     rows = spark.createDataFrame([(1, 2.0, 5.0, 10.1, ""), (2, 2.0, 5.0, 12.0, ""), (3, None, None, -10.0, ""), (4, 2.0, 5.0, None, ""), (5, 2.0, 5.0, 10.1, "Included")], "k int, qty double, rate double, amount double, raw string")
     assert {r.k: r.amount for r in bids.correct_items(rows).collect()} == {1: 10.0, 2: 12.0, 3: 10.0, 4: 10.0, 5: 10.1}
 
 
-def test_weights():
-    assert scoring.normalize_weights([1, 1, 1]) == [33.0, 33.5, 33.5]
+def plain_weights(weights, step=0.5, least=1.0):
+    total, floor = sum(weights), round(least / step)
+    steps = [max(floor, int(w / total * 100 / step + 0.5)) for w in weights]
+    off, at = round(100 / step) - sum(steps), 0
+    while off:
+        move = 1 if off > 0 else -1
+        if steps[at] + move >= floor:
+            steps[at] += move
+            off -= move
+        at = (at + 1) % len(steps)
+    return [x * step for x in steps]
+
+
+def test_weights(spark):
     rng = random.Random(1)
-    for _ in range(300):
-        out = scoring.normalize_weights([rng.random() ** 4 for _ in range(rng.randint(1, 100))])
-        assert sum(out) == 100 and min(out) >= 1
-    with pytest.raises(ValueError):
-        scoring.normalize_weights([1.0] * 101)
+    given = [[1.0, 1.0, 1.0]] + [[rng.random() ** 4 + 1e-9 for _ in range(rng.randint(1, 100))] for _ in range(40)]
+    got = scoring.normalized_rubrics(spark.createDataFrame([(str(i), w) for i, w in enumerate(given)] + [("none", []), ("many", [1.0] * 101)], "rubric string, weights array<double>")).collect()
+    rows = {r.rubric: r.normalized for r in got}
+    assert rows["0"] == [33.0, 33.5, 33.5] and rows["none"] is None and rows["many"] is None
+    for i, w in enumerate(given):
+        assert rows[str(i)] == plain_weights(w) and sum(rows[str(i)]) == 100
 
 
 def test_scalars(spark):
@@ -51,7 +110,9 @@ def test_scalars(spark):
     grades = spark.createDataFrame([("7",), ("10 - Fine",), ("good confidence",), ("Non–Compliant",), ("x",), ("11",)], "x string")
     assert [r[0] for r in grades.select(scoring.grade_score(F.col("x"))).collect()] == [70, 100, 70, 0, None, None]
     weights = spark.createDataFrame([("15%",), ("0,15",), ("٢٠%",), (None,)], "x string")
-    assert [r[0] for r in weights.select(scoring.coerce_weight(F.col("x"))).collect()] == [15.0, 0.15, 20.0, None]
+    assert [r[0] for r in weights.select(scoring.parsed_weight(F.col("x"))["value"]).collect()] == [15.0, 0.15, 20.0, None]
+    signed = spark.createDataFrame([("-5",), ("1e3",), ("- 5 %",)], "x string")
+    assert [r[0] for r in signed.select(scoring.coerce_weight(F.col("x"))).collect()] == [-5.0, 1000.0, 5.0]
 
 
 def brute_common(a, b):
@@ -83,3 +144,86 @@ def test_stream_counts_as_batch(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     running.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def plain_chunks(text, most):
+    if len(text) <= most:
+        return [(0, len(text))]
+    runs, start, used, held = [], 0, 0, False
+    for p in text.split("\n\n"):
+        more = len(p) + 2 * held
+        if used + more <= most:
+            used += more
+        else:
+            runs.append((start, start + used))
+            start, used = start + used + 2, len(p)
+        held = True
+    runs.append((start, start + used))
+    return [(s, min(s + most, e)) for a, e in runs for s, e in ([(x, e) for x in range(a, e, most)] if e - a > most else [(a, e)])]
+
+
+def test_paragraph_chunks(spark):
+    rng = random.Random(3)
+    texts = ["", "short", "x" * 50, "y" * 20 + "\n\n" + "z" * 3] + ["\n\n".join("w" * rng.randint(0, 30) for _ in range(rng.randint(1, 20))) for _ in range(60)]
+    got = {}
+    for r in documents.paragraph_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 20).orderBy("doc_id", "chunk").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.stop))
+    assert got == {i: plain_chunks(t, 20) for i, t in enumerate(texts)}
+
+
+def test_packed_batches(spark):
+    rng = random.Random(5)
+    sizes = [rng.randint(1, 15) for _ in range(200)]
+    batch, used, want = 0, 0, []
+    for n in sizes:
+        if used and used + n > 20:
+            batch, used = batch + 1, 0
+        used += n
+        want.append(batch)
+    got = documents.packed(spark.createDataFrame([("c", i, i, n) for i, n in enumerate(sizes)], "ctx string, ord int, doc int, tokens long"), 20)
+    assert [r.batch for r in got.orderBy("doc").collect()] == want
+
+
+def test_nested_documents(spark):
+    texts = ["a", "</End of File: x>", "<Start of File: x>", "b", "<Start of File: y>", "c", "</End of File: y>", "</End of File: x>", "d", "<Start of File: z>", "e"]
+    parts = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "ctx string, ord int, text string")
+    assert [r.doc_at for r in documents.parse_documents(parts).orderBy("ord").collect()] == [None, None, 2, 2, 2, 2, 2, 2, None, 9, 9]
+
+
+def test_shortened_texts(spark):
+    rows = spark.createDataFrame([("a\x00b  c",), ("one two three",), ("onetwothree four",), (None,)], "x string")
+    assert [r[0] for r in rows.select(text.shorten(F.col("x"), 8)).collect()] == ["a b c", "one two", "onetwoth", ""]
+
+
+def test_html_entities(spark):
+    page = "<p>Fish &amp; chips&nbsp;&#8364;5 &#x4e2d; &amp;lt; x&lt;y</p><script>no</script><!-- no -->"
+    assert spark.createDataFrame([(page,)], "x string").select(text.html_text(F.col("x"))).first()[0] == "Fish & chips €5 中 &lt; x<y"
+
+
+def test_nearest_names_against_brute_force(spark):
+    known = ["Argentina", "Brazil", "Tech_Specs_Final.pdf"]
+    names = ["BRAZIL", "Argntina", "tech specs final", "zzz", "Brasil!"]
+    got = {r.name: (r.best, r.score) for r in fuzzy.nearest_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(k,) for k in known], "name string")).collect()}
+    for n in names:
+        scored = max((100.0 if n.lower() == k.lower() else max(fuzzy.ratio(n.lower(), k.lower()), fuzzy.partial_ratio(n.lower(), k.lower()), fuzzy.token_sort_ratio(n.lower(), k.lower())), k) for k in known)
+        assert got[n] == (scored[1] if scored[0] >= 50 else None, scored[0])
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(rng.choices(words, k=80))) for i in range(12)]
+    passages = [(i, " ".join(docs[i][1].split()[10:30])) for i in (2, 5)] + [(7, " ".join(["x"] + docs[7][1].split()[40:55])), (9, "nothing like it at all")]
+    got = {r.passage_id: (r.doc_id, r.score) for r in fuzzy.locate_passages(spark.createDataFrame(passages, "passage_id int, passage string"), spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    want = {}
+    for p, t in passages:
+        score, doc = max((fuzzy.best_window(t, d.split())[0], -i) for i, d in docs)
+        if score >= 70:
+            want[p] = (-doc, score)
+    assert got == want
+
+
+def test_json_repair(spark):
+    rows = [('{"a": 1}',), ('x {"a": 1} y',), ('{"a": [1, {"b": "c',), ("none",), (None,), ('{"a": "}"',)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(text.tolerant_json(F.col("x"))).collect()]
+    assert got == ['{"a": 1}', '{"a": 1}', '{"a": [1, {"b": "c"}]}', None, None, '{"a": "}"}']
