@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -150,6 +151,12 @@ class TreeBpe(dict):
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+@lru_cache(1)
+def shared_bpe(rank_path: str, pattern: str) -> TreeBpe:
+    """One for each Python worker, from task to task."""
+    return TreeBpe(read_ranks(rank_path), pattern)
+
+
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian 32-bit, binary), decoded (binary): the operator's own outputs."""
     return _run(docs, rank_path, pattern, "doc_id long, ids binary, decoded binary", lambda i, ids, raw: (i, ids, raw))
@@ -165,7 +172,7 @@ def _run(docs: DataFrame, rank_path: str, pattern: str, schema: str, row) -> Dat
     names = [part.split()[0] for part in schema.split(", ")]
 
     def make():
-        bpe = TreeBpe(read_ranks(rank_path), pattern)
+        bpe = shared_bpe(rank_path, pattern)
 
         def each(columns):
             rows = []

@@ -16,7 +16,9 @@ no rows.
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialize, small_batches
 
 CAPACITY = 2048
-#: Chunks whose ids a task remembers.
-CACHE = 250_000
+#: Chunks whose ids a worker remembers, from task to task.
+CACHE = 300_000
 #: Rows that one task numbers within a length class: classes are dealt over buckets of about this size.
 RANK_BUCKET = 20_000
 
@@ -54,13 +56,17 @@ class WordIds(dict):
         if out is None:
             if len(self.parts) >= CACHE:
                 self.parts.clear()
-            out = self.parts[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            out = self.parts[text] = self.encoded(text)
         return out
 
+    def encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
         if len(chunk) > 200:
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.encoded(chunk)
         if core.isascii() and core.isalpha():
             out = self.part(core.lower()) + self.part(chunk[len(core) :])
         elif core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core):  # lower case may end in a mark
@@ -78,6 +84,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
+#: One for each Python worker.
+shared_words = lru_cache(1)(WordIds)
+
 PIECES = "doc_id long, pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
@@ -87,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     small_batches(docs.sparkSession)
 
     def make():
-        words = WordIds(tokenizer_path)
+        words = shared_words(tokenizer_path)
 
         def each(columns):
             out = []
