@@ -84,8 +84,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-#: One for each Python worker.
-shared_words = lru_cache(1)(WordIds)
+@lru_cache(1)
+def shared_words(path: str) -> WordIds:
+    """One for each Python worker, from task to task."""
+    return WordIds(path)
+
 
 PIECES = "doc_id long, pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
