@@ -38,6 +38,17 @@ RANK_BUCKET = 20_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def byte_marks() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable Latin-1 ones for themselves, the others
+    by the characters from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+BYTES = byte_marks()
+
+
 class WordIds(dict):
     """Chunk between ASCII spaces -> its ids as little-endian 32-bit integers. The tokenizer drops white space and
     never looks across it, so a text's ids are those of its chunks in order; nor across the edge between letters and
@@ -49,6 +60,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {"": b""}
 
     def part(self, text: str) -> bytes:
@@ -60,13 +72,19 @@ class WordIds(dict):
         return out
 
     def encoded(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        """Ids of a text; one of lower-case letters alone is a single word for the model as it is."""
+        if text.isalpha() and text.islower() and text == text.lower() and is_normalized("NFC", text):
+            word = text if text.isascii() else "".join(map(BYTES.__getitem__, text.encode()))
+            ids = [token.id for token in self.model.tokenize(word)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
         if len(chunk) > 200:
-            return self.encoded(chunk)
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if core.isascii() and core.isalpha():
             out = self.part(core.lower()) + self.part(chunk[len(core) :])
         elif core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core):  # lower case may end in a mark
