@@ -56,3 +56,17 @@ def test_pipeline(spark, tmp_path):
             at += length
         assert at <= packing.CAPACITY
     assert sum(p.length for p in pieces) >= sum(len((texts[d] or "").split()) + 1 for d in kept[3])
+
+
+def test_empty_tables_null_ids_and_clashing_columns(spark, tmp_path):
+    docs, labels = corpus(90, 5)
+    schema = "doc_id long, text string, row string, score string, _range string, label string"
+    rows = [(d[0], d[1], "r", "s", "x", "l") for d in docs] + [(None, "a null id that stays in the corpus", "r", "s", "x", "l")]
+    for name, given, marks in (("full", rows, labels), ("empty", [], []), ("unlabelled", rows[:6], [])):
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert any(p.doc_id is None for p in pieces) and any(p.doc_id == 2 for p in pieces)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    table = spark.read.parquet(f"{tmp_path}/unlabelled/documents.parquet")
+    assert corpus_pipeline.STAGES[0][1](spark, table, f"{tmp_path}/unlabelled").columns == table.columns
