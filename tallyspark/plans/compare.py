@@ -32,7 +32,7 @@ missing AS (SELECT * FROM gaps JOIN valid USING (division, "grouping", sub_group
 """
 SHIFTED = BIDS + """, shifted AS (SELECT vendor, rate, amount, CASE WHEN item % 10 <> 0 THEN item END AS item, CASE (item * 7 + vendor_ord) % 7 WHEN 4 THEN 'other' WHEN 5 THEN lower(division) ELSE division END AS division,
   CASE WHEN (item * 7 + vendor_ord) % 7 = 3 THEN 'other' ELSE "grouping" END AS "grouping", CASE WHEN (item * 7 + vendor_ord) % 7 = 2 THEN 'other' ELSE sub_group END AS sub_group, CASE WHEN (item * 7 + vendor_ord) % 7 = 1 THEN 9 ELSE idx // 2 END AS idx,
-  l_orderkey * 1000000 + item * 10 + l_linenumber AS ord FROM bids),
+  bids.item * 1000 + bids.idx AS ord FROM bids),
 hits AS (SELECT vendor, upper(coalesce(item::VARCHAR, '')) AS i, upper(division) AS d, upper("grouping") AS g, upper(sub_group) AS s, idx, first(rate ORDER BY ord DESC) AS rate, first(amount ORDER BY ord DESC) AS amount, min(ord) AS ord FROM shifted GROUP BY ALL),
 wanted AS (SELECT DISTINCT division, "grouping", sub_group, CASE WHEN item % 10 <> 0 THEN item END AS item, idx, vendor FROM template, vendors)
 """

@@ -188,14 +188,14 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("source").alias("ctx"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("ord"), text.token_estimate(F.length("text")).alias("tokens"))
 
 
-@query(DOCS + ", t AS (SELECT *, sum(tokens) OVER (PARTITION BY ctx) - 20000 AS excess, floor(tokens * 0.8::DOUBLE)::BIGINT AS saving FROM d), b AS (SELECT *, coalesce(sum(saving) OVER (PARTITION BY ctx ORDER BY tokens DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t WHERE tokens >= 100) SELECT ctx, doc, tokens, saving FROM b WHERE excess > 0 AND before < excess")
+@query(DOCS + ", t AS (SELECT *, sum(tokens) OVER (PARTITION BY ctx) - 2000 AS excess, floor(tokens * 0.8::DOUBLE)::BIGINT AS saving FROM d), b AS (SELECT *, coalesce(sum(saving) OVER (PARTITION BY ctx ORDER BY tokens DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t WHERE tokens >= 100) SELECT ctx, doc, tokens, saving FROM b WHERE excess > 0 AND before < excess")
 def txt_plan_large(spark, sf_dir):
-    return documents.plan_large(sized(spark, sf_dir), 20_000, 100)
+    return documents.plan_large(sized(spark, sf_dir), 2_000, 100)
 
 
-@query(DOCS + ", t AS (SELECT *, sum(tokens) OVER (PARTITION BY ctx) AS total, greatest(tokens - 12, 0) AS saving FROM d), b AS (SELECT *, total - coalesce(sum(saving) OVER (PARTITION BY ctx ORDER BY saving DESC, tokens DESC, ord DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM t) SELECT ctx, doc, saving FROM b WHERE rest > 30000 AND saving > 0")
+@query(DOCS + ", t AS (SELECT *, sum(tokens) OVER (PARTITION BY ctx) AS total, greatest(tokens - 12, 0) AS saving FROM d), b AS (SELECT *, total - coalesce(sum(saving) OVER (PARTITION BY ctx ORDER BY saving DESC, tokens DESC, ord DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM t) SELECT ctx, doc, saving FROM b WHERE rest > 3000 AND saving > 0")
 def txt_greedy_truncate(spark, sf_dir):
-    return documents.hard_cap(sized(spark, sf_dir), 30_000, 12)
+    return documents.hard_cap(sized(spark, sf_dir), 3_000, 12)
 
 
 @query(DOCS + ", b AS (SELECT *, sum(tokens) OVER (PARTITION BY ctx ORDER BY ord ROWS UNBOUNDED PRECEDING) AS used FROM d) SELECT ctx, doc, used FROM b WHERE used <= 15000")

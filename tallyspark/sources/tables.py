@@ -67,7 +67,7 @@ def shifted_bids(bids: DataFrame) -> DataFrame:
         F.when(place == 3, F.lit("other")).otherwise(F.col("grouping")).alias("grouping"),
         F.when(place == 2, F.lit("other")).otherwise(F.col("sub_group")).alias("sub_group"),
         F.when(place == 1, F.lit(9)).otherwise(F.floor(F.col("idx") / 2).cast("int")).alias("idx"),
-        (F.col("l_orderkey") * 1000000 + F.col("item") * 10 + F.col("l_linenumber")).alias("ord"),
+        (F.col("item") * 1000 + F.col("idx")).alias("ord"),
     )
 
 
