@@ -98,6 +98,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers, by sorting: for many 64-bit ones several times as fast as np.unique."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))] if len(x) else x
+
+
 def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of `width`-word shingles; shorter texts are one shingle, empty ones none."""
     n = len(word_hashes)

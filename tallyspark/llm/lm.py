@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashCache, arrow_schema, discard, id_remainder, materialize, mix64, small_batches, words_of
+from .common import HashCache, arrow_schema, discard, distinct, id_remainder, materialize, mix64, small_batches, words_of
 
 END = np.uint64(0x5EED0E4D)  # the end token's hash; words have hashes of their own
 START = np.uint64(0x57A27)
@@ -179,34 +179,42 @@ def counts(chunks: DataFrame, pairs: bool) -> DataFrame:
     return chunks.mapInArrow(partial(count_in_task, pairs=pairs), "key long, rows long").groupBy("key").agg(F.sum("rows").alias("rows"))
 
 
-def positions(keys: np.ndarray, level: np.ndarray | int) -> list[np.ndarray]:
-    """Bit positions within the key's block, by double hashing."""
-    mixed = mix64(keys + np.asarray(level, np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    a, b = mixed & np.uint64(0xFFFFFFFF), (mixed >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(i) * b) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for i in range(PROBES)]
+def steps(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key's probes begin within its block and how far apart they are, modulo 2^32: double hashing."""
+    mixed = mix64(keys + np.uint64(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+    return mixed.astype(np.uint32), (mixed >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def set_bits(bits: np.ndarray, blocks: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
     """Insert keys with each level up to their own; `blocks` are rows of `bits`."""
-    flat = bits.reshape(-1)
+    flat, base = bits.reshape(-1), blocks * (BLOCK_BITS // 8)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        part = levels >= level
-        base = blocks[part] * (BLOCK_BITS // 8)
-        for at in positions(keys[part], level):
-            np.bitwise_or.at(flat, base + (at >> 3), (1 << (at & 7)).astype(np.uint8))
+        part = np.flatnonzero(levels >= level)
+        keys, levels, base = keys[part], levels[part], base[part]
+        at, step = steps(keys, level)
+        for _ in range(PROBES):
+            bit = at & np.uint32(BLOCK_BITS - 1)
+            np.bitwise_or.at(flat, base + (bit >> np.uint32(3)), np.uint8(1) << (bit & np.uint32(7)).astype(np.uint8))
+            at += step
 
 
 def read_levels(bits: np.ndarray, blocks: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The level of each key: probes go on until a level is missing."""
+    flat, base = bits.reshape(-1), blocks * (BLOCK_BITS // 8)
     found, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
     for level in range(1, LEVELS + 1):
         if not len(alive):
             break
-        left = np.arange(len(alive))
-        for places in positions(keys[alive], level):
-            at = places[left]
-            hit = np.flatnonzero((bits[blocks[alive], at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            alive, left = alive[hit], left[hit]
+        at, step = steps(keys, level)
+        held, left = base, None  # the places of those whose probes have all hit; None: all
+        for probe in range(PROBES):
+            bit = at & np.uint32(BLOCK_BITS - 1)
+            hit = np.flatnonzero(flat[held + (bit >> np.uint32(3))] >> (bit & np.uint32(7)).astype(np.uint8) & np.uint8(1))
+            if len(hit) < len(at):
+                at, step, held, left = at[hit], step[hit], held[hit], hit if left is None else left[hit]
+            at = at + step
+        if left is not None:
+            alive, keys, base = alive[left], keys[left], base[left]
         found[alive] = level
     return found
 
@@ -289,7 +297,7 @@ FOUND = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("levels", pa.b
 def chunk_keys(row: dict, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sorted distinct keys that a chunk needs the levels of."""
     words = np.append(np.frombuffer(row["words"], np.uint64), END)
-    return np.unique(np.concatenate([word_keys(words), chunk_pairs(tokens, starts)]))
+    return distinct(np.concatenate([word_keys(words), chunk_pairs(tokens, starts)]))
 
 
 def ask(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
