@@ -113,7 +113,7 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i : n - width + 1 + i])
-    return np.unique(out)
+    return distinct(out)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
