@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import compare, documents, registry, relational
+from . import compare, documents, registry, relational, summaries
 from .register import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "compare", "documents", "registry", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "compare", "documents", "registry", "relational", "summaries"]

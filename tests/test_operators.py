@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import fuzzy, numbers, text
-from tallyspark.operators import bids, documents, scoring
+from tallyspark.operators import bids, documents, scoring, summaries
 from tallyspark.streaming import logs
 
 
@@ -227,3 +227,21 @@ def test_json_repair(spark):
     rows = [('{"a": 1}',), ('x {"a": 1} y',), ('{"a": [1, {"b": "c',), ("none",), (None,), ('{"a": "}"',)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(text.tolerant_json(F.col("x"))).collect()]
     assert got == ['{"a": 1}', '{"a": 1}', '{"a": [1, {"b": "c"}]}', None, None, '{"a": "}"}']
+
+
+def test_summary_sheets(spark):
+    lines = ["# columns: item | total", "| Section A: Site | | 1,000.50 |", "Section A: Site | 0", "Bill 3 - Roof | 20", "B | Paint | none", "b | PAINT | 0", "Masonry | 7 | 0.00", "GRAND TOTAL | 5,000", "Sub total | 9", "12 | 13", None]
+    sheet = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)] + [("e", 0, "finishes and masonry"), ("e", 1, "equipment | 4"), ("f", 0, None)], "doc string, line_no int, line string")
+    got = {(r.doc, r.division): r.total for r in summaries.division_totals(sheet).collect()}
+    assert got == {("d", "Section A: Site"): "1000.50", ("d", "Roof"): "20", ("d", "Paint"): "0", ("d", "MASONRY"): "7", ("e", "MASONRY"): "0", ("e", "EQUIPMENT"): "4"}
+    assert {tuple(r) for r in summaries.project_totals(sheet).collect()} == {("d", "5000"), ("e", "4.00")}
+    assert {tuple(r) for r in summaries.division_names(sheet).collect()} == {("d", "Section A: Site"), ("d", "Roof"), ("e", "FINISHES"), ("e", "MASONRY"), ("e", "EQUIPMENT")}
+
+
+def test_evidence_sources(spark):
+    docs = spark.createDataFrame([(1, "Tech Offer.pdf", 0, "rfp", None, "r"), (1, "tech offer.docx", 1, "tender", "a", "ta"), (1, "Tech Offer", 2, "tender", "b", "tb"), (2, "Other.pdf", 0, "rfp", None, "o"), (2, "Bare.pdf", 1, "rfp", None, None)], "package int, display string, ord int, context string, contractor string, url string")
+    rows = [(1, "a", "TECH OFFER.PDF"), (1, "b", "tech offer"), (1, "c", "Tech Ofer.pdf"), (2, "a", " other "), (2, "a", "bare.pdf"), (2, "a", "zzzz"), (2, None, None), (2, "a", ""), (2, "a", "zzzz")]
+    given = spark.createDataFrame(rows, "package int, contractor string, source string")
+    got = sorted((tuple(r) for r in summaries.evidence_sources(given, docs).collect()), key=str)
+    want = ["ta", "tb", "ta", "o", "bare.pdf", "zzzz", None, "", "zzzz"]
+    assert got == sorted((r + (w,) for r, w in zip(rows, want)), key=str)
