@@ -1,12 +1,15 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, in bulk-synchronous supersteps.
 
-Token counts are integers from 1 to `capacity`, so documents and gaps range-sorted by size fall into at most
-`capacity` classes each. A superstep takes the largest class of unplaced pieces, finds for it the successor gap class
-(the smallest gap that still fits), and matches the two class against class: conflicts between pieces that want the
-same gap are resolved by rank, the r-th piece taking the r-th gap. Matched gaps shrink and move to their new class,
-pieces left over sweep on to the next successor, and when no gap fits, new sequences open. The supersteps see only the
-class histogram (at most `capacity` rows, whatever the corpus size) and give runs "ranks a..b of this length go to
-sequences s.. at this offset"; every piece's rank and its place are computed in distributed tasks.
+Pieces and gaps (open sequences and the room left in them) are tables, ranked among those of equal size. A superstep takes
+the pieces of one band of lengths, a power of two to the next, from the longest on: pieces and gaps are range-sorted, a
+sweep finds for each class of pieces the successor gap class (the smallest gap that still fits), and conflicts between
+pieces that want the same class are resolved by rank: the r-th piece takes the r-th gap, by an equi-join on class and
+rank. What no gap fits opens new sequences. Then gaps are shrunk by what they took, written, and the next superstep
+begins. There are at most 12 supersteps for 2,048 tokens, whatever the rows.
+
+Sizes are integers from 1 to `capacity`, so the sweep is steered by the histograms of the two tables, of at most `capacity`
+rows whatever the corpus size. A gap may take several pieces in one superstep, in the order of the sweep, so the packing is
+that of best-fit decreasing, piece by piece.
 
 Rows: a null text counts as empty (one piece holding only the end id); null ids and repeated rows are packed like
 others; equal pieces are interchangeable, ties take any order; only `doc_id` and `text` are read; an empty table gives
@@ -18,19 +21,19 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, small_batches
+from .common import discard, map_rows, materialize, small_batches
 
 CAPACITY = 2048
 #: Chunks whose ids a worker remembers, from task to task.
 CACHE = 300_000
-#: Rows that one task numbers within a length class: classes are dealt over buckets of about this size.
+#: Rows of one size that a task numbers together: hot sizes are dealt over buckets of about this many.
 RANK_BUCKET = 20_000
 
 
@@ -132,75 +135,122 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), PIECES, make).select("doc_id", F.inline("pieces"))
 
 
-def plan_runs(histogram: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset), sorted: runs of equal pieces and where they go."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of (first sequence, count)
-    sizes: list[int] = []  # the gap classes in use, ascending
-    runs, sequences = [], 0
+def sweep(pieces: dict[int, int], gaps: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """One superstep over the class histograms (size -> count, at most `capacity` entries each): classes of pieces from
+    the largest on, each matched with its successor gap class, and with the next one once that is used up; where no gap
+    fits, sequences open. Gives rows (length, first rank, gap class, first rank in it, offset), sorted: from that rank on,
+    pieces of that length take the gaps of that class rank by rank. Class 0 are the opened sequences, whose number is
+    given too."""
+    open_gaps = {gap: [(gap, 0, count)] for gap, count in gaps.items()}  # gap now -> runs of (class at the start, rank, count)
+    sizes = sorted(open_gaps)
+    runs, opened = [], 0
 
-    def add(gap: int, first: int, count: int) -> None:
+    def add(gap: int, own: int, first: int, count: int) -> None:
         if gap and count:
-            if gap not in gaps:
-                gaps[gap] = []
+            if gap not in open_gaps:
+                open_gaps[gap] = []
                 bisect.insort(sizes, gap)
-            gaps[gap].append((first, count))
+            open_gaps[gap].append((own, first, count))
 
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
+    for length in sorted(pieces, reverse=True):
+        rank, left = 0, pieces[length]
         while left:
             at = bisect.bisect_left(sizes, length)
             if at < len(sizes):  # the successor class
                 gap = sizes[at]
-                first, count = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
+                own, first, count = open_gaps[gap].pop()
+                if not open_gaps[gap]:
+                    del open_gaps[gap], sizes[at]
                 taken = min(left, count)
-                runs.append((length, rank, first, capacity - gap))
-                add(gap, first + taken, count - taken)
-                add(gap - length, first, taken)
+                runs.append((length, rank, own, first, capacity - gap))
+                add(gap, own, first + taken, count - taken)
+                add(gap - length, own, first, taken)
                 rank, left = rank + taken, left - taken
             else:  # no gap fits: sequences open and fill with this class
                 each = capacity // length
-                opened = max(1, left // each)
+                more = max(1, left // each)
                 filled = min(each, left)
                 for k in range(filled):
-                    runs.append((length, rank, sequences, k * length))
-                    rank, left = rank + opened, left - opened
-                add(capacity - filled * length, sequences, opened)
-                sequences += opened
-    return np.array(runs, np.int64).reshape(-1, 4)
+                    runs.append((length, rank, 0, opened, k * length))
+                    rank, left = rank + more, left - more
+                add(capacity - filled * length, 0, opened, more)
+                opened += more
+    runs = np.array(runs, np.int64).reshape(-1, 5)
+    return runs[np.lexsort((runs[:, 1], runs[:, 0]))], opened
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Add rank: the position among pieces of equal length, from 0. A length that very many pieces share is dealt
-    over buckets, which are numbered apart and then offset by the counts of the buckets before."""
-    buckets = min(4096, max(64, pieces.count() // RANK_BUCKET))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("rows")).withColumn("before", F.sum("rows").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = dealt.withColumn("within", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")))
-    return numbered.join(before.select("length", "bucket", "before"), ["length", "bucket"]).withColumn("rank", F.col("within") - 1 + F.coalesce("before", F.lit(0))).drop("bucket", "before", "within")
+def histogram(df: DataFrame, size: str) -> dict[int, int]:
+    """Size -> rows; sizes are 1 to `capacity`, so that is the most that the driver gets."""
+    return {int(r[size]): r["rows"] for r in df.groupBy(size).agg(F.count("*").alias("rows")).collect()}
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32). `pieces` is read three times:
-    pass a written table."""
-    histogram = {int(r["length"]): r["rows"] for r in pieces.groupBy("length").agg(F.count("*").alias("rows")).collect()}  # at most `capacity` rows
-    runs = plan_runs(histogram, capacity)
+def ranked(df: DataFrame, size: str, row: str, counts: dict[int, int]) -> DataFrame:
+    """Add rank: the position among rows of equal size, from 0, in any order; `row` differs by row. A size that many
+    rows share is dealt over buckets, which are numbered apart and then offset by the counts of the buckets before."""
+    many = df.sparkSession.createDataFrame([(n, -(-rows // RANK_BUCKET)) for n, rows in counts.items()], f"{size} long, buckets long")
+    dealt = df.join(F.broadcast(many), size).withColumn("bucket", F.pmod(F.xxhash64(row), F.col("buckets"))).drop("buckets")
+    before = dealt.groupBy(size, "bucket").agg(F.count("*").alias("rows")).withColumn("before", F.sum("rows").over(Window.partitionBy(size).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = dealt.withColumn("within", F.row_number().over(Window.partitionBy(size, "bucket").orderBy(row)))
+    return numbered.join(before.select(size, "bucket", "before"), [size, "bucket"]).withColumn("rank", F.col("within") - 1 + F.coalesce("before", F.lit(0))).drop("bucket", "before", "within")
+
+
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+WANTED = "doc_id long, piece int, start long, length long, ids_crc32 long, gap long, rank long, offset long"
+
+
+def wanted_gaps(pieces: DataFrame, runs: np.ndarray) -> DataFrame:
+    """Each ranked piece with the class and rank of the gap that the sweep gives it, and its offset there."""
     keys = (runs[:, 0] << 44) + runs[:, 1]
-    order = np.argsort(keys, kind="stable")
-    keys, runs = keys[order], runs[order]
 
     def make():
         def each(columns):
             length, rank = (columns[c].to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             run = runs[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
-            kept = {c: columns[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            return kept | {"sequence_id": run[:, 2] + rank - run[:, 1], "offset": run[:, 3]}
+            return {c: columns[c] for c in PIECE} | {"gap": run[:, 2], "rank": run[:, 3] + rank - run[:, 1], "offset": run[:, 4]}
 
         return each
 
-    return map_rows(ranked(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", make)
+    return map_rows(pieces.select(*PIECE, "rank"), WANTED, make)
+
+
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32). `pieces` is read several times:
+    pass a written table."""
+    spark = pieces.sparkSession
+    counts = histogram(pieces, "length")
+    rows = ranked(pieces.withColumn("row", F.monotonically_increasing_id()), "length", "row", counts).drop("row")
+    rows = materialize(rows.repartitionByRange(F.desc("length"), "rank").sortWithinPartitions(F.desc("length"), "rank"), "ranked")
+    gaps, sizes, sequences, packed = None, {}, 0, []
+    for low in (1 << k for k in reversed(range(capacity.bit_length()))):  # lengths from low to 2 low - 1
+        band = {n: count for n, count in counts.items() if low <= n < 2 * low}
+        if not band:
+            continue
+        runs, opened = sweep(band, sizes, capacity)
+        there = spark.range(opened).select(F.lit(0).cast("long").alias("gap"), F.col("id").alias("rank"), (F.col("id") + sequences).alias("sequence_id"))
+        if gaps is not None and sizes:
+            there = there.unionByName(ranked(gaps, "gap", "sequence_id", sizes))
+        there = materialize(there, "there")
+        wanted = wanted_gaps(rows.filter(F.col("length").between(low, 2 * low - 1)), runs)
+        packed.append(materialize(wanted.join(there, ["gap", "rank"]).select(*PIECE, "sequence_id", "offset"), "packed"))
+        sequences += opened
+        rest = [n for n in counts if n < low]
+        if rest:
+            used = packed[-1].groupBy("sequence_id").agg(F.sum("length").alias("used"))
+            left = F.when(F.col("gap") == 0, capacity).otherwise(F.col("gap")) - F.coalesce("used", F.lit(0))
+            shrunk = there.join(used, "sequence_id", "left").select("sequence_id", left.cast("long").alias("gap")).filter(F.col("gap") >= min(rest))
+            discard(gaps)
+            gaps = materialize(shrunk, "gaps")
+            sizes = histogram(gaps, "gap")
+        discard(there)
+    discard(gaps)
+    discard(rows)
+    if not packed:
+        return materialize(pieces.select(*PIECE, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), "packed")
+    return reduce(DataFrame.unionByName, packed)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    return best_fit(materialize(token_pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    pieces = materialize(token_pieces(docs, tokenizer_path, capacity), "pieces")
+    packed = best_fit(pieces, capacity)
+    discard(pieces)
+    return packed

@@ -25,15 +25,17 @@ def best_fit_decreasing(lengths, capacity):
 
 
 def unroll(histogram, capacity):
-    runs = packing.plan_runs(histogram, capacity)
+    runs, opened = packing.sweep(histogram, {}, capacity)
     by = defaultdict(list)
-    for length, rank, seq, offset in runs.tolist():
-        by[length].append((rank, seq, offset))
+    for length, rank, gap, first, offset in runs.tolist():
+        assert gap == 0
+        by[length].append((rank, first, offset))
     out = []
     for length, count in histogram.items():
         rows = sorted(by[length])
         for (rank, seq, offset), end in zip(rows, [r[0] for r in rows[1:]] + [count]):
             out += [(length, seq + k, offset) for k in range(end - rank)]
+    assert {seq for _, seq, _ in out} == set(range(opened))
     return out
 
 
@@ -59,7 +61,22 @@ def test_plan_is_best_fit_decreasing():
             placed = unroll(Counter(lengths), capacity)
             assert Counter(x[0] for x in placed) == Counter(lengths)
             assert gapless(placed, capacity) == best_fit_decreasing(lengths, capacity)
-    assert len(packing.plan_runs({}, 9)) == 0
+    assert len(packing.sweep({}, {}, 9)[0]) == 0
+
+
+def test_sweep_takes_the_successor_gap_by_rank():
+    runs, opened = packing.sweep({5: 3}, {4: 9, 5: 1, 7: 1}, 10)
+    assert runs.tolist() == [[5, 0, 5, 0, 5], [5, 1, 7, 0, 3], [5, 2, 0, 0, 0]] and opened == 1
+
+
+def test_supersteps_pack_like_best_fit_decreasing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_BUCKET", 7)  # hot sizes are dealt over many buckets
+    rng = random.Random(5)
+    for capacity, lengths in ((50, [rng.randint(1, 50) for _ in range(400)] + [13] * 200), (8, [8, 8, 8]), (100, [1])):
+        rows = spark.createDataFrame([(None, 0, 0, n, 7) for n in lengths], "doc_id long, piece int, start long, length long, ids_crc32 long")
+        got = packing.best_fit(rows.repartition(3, "length"), capacity).collect()
+        assert sorted(r.length for r in got) == sorted(lengths)
+        assert gapless([(r.length, r.sequence_id, r.offset) for r in got], capacity) == best_fit_decreasing(lengths, capacity)
 
 
 def test_ids_are_the_tokenizers(spark):
