@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,9 @@ from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch; whole documents are long, so batches stay small.
 BATCH_ROWS = 512
+#: Bytes of text that are split into words at once.
+SLICE = 1_000_000
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -70,6 +74,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def word_slices(data: bytes) -> Iterator[list[bytes]]:
+    """A text's words [^\\x20\\x09-\\x0D]+, in lists of the words of about SLICE bytes."""
+    start = 0
+    while start < len(data):
+        end = SPACE.search(data, start + SLICE)
+        end = end.end() if end else len(data)
+        yield data[start:end].split()
+        start = end
+
+
 class HashCache(dict):
     """Word -> 64-bit hash; emptied when it has grown to its bound."""
 
