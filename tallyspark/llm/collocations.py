@@ -3,10 +3,11 @@ scored from the counts of its two parts in decimals, phrases that a one-word ext
 join, and the rest ranked by windows.
 
 A candidate's parts occur at least as often as it does, so grams are exploded level by level and only where their parts
-may be frequent: words first, then pairs of frequent words, then longer runs of frequent pairs. What is frequent is known
-to the tasks as a Bloom filter of at most `FILTER_BITS` bits; it answers yes for all that is frequent, so no occurrence
-of a candidate is missed, and a filter that is too small for its phrases only lets more rows through. A task counts its
-grams before they are exploded into rows, `BLOCK` words at a time.
+may be frequent: words first; then pairs of frequent words by 64-bit keys, which sieve out most pairs before any phrase is
+built; then phrases of 2 to `max_n` words whose pairs all passed, counted exactly. What is frequent is known to the tasks
+as a Bloom filter of at most `FILTER_BITS` bits; it answers yes for all that is frequent, so no occurrence of a candidate
+is missed, and equal keys or a filter that is too small only let more rows through. A task counts its grams before they
+are exploded into rows, `BLOCK` words at a time.
 
 A longer candidate that holds a phrase as often as the phrase occurs has parts of every length between that do so too, so
 looking at extensions by one word is enough.
@@ -19,7 +20,6 @@ table, there are no rows. Only `text` and `lang` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialize, small_batches
+from .common import arrow_schema, discard, materialize, mix64, small_batches
 
 MAX_N = 5
 LEAST = 100
@@ -36,7 +36,7 @@ PERCENT = 100
 TOP = 2_000
 FILTER_BITS = 1 << 26
 #: Words that a task holds, as 4-byte numbers, before it counts and emits them; distinct words that it names by numbers.
-BLOCK, NAMES = 4_000_000, 1_000_000
+BLOCK, NAMES = 3_000_000, 500_000
 #: Bytes of text that are split into words at once.
 SLICE = 4_000_000
 #: Languages whose totals are broadcast; more are joined.
@@ -46,8 +46,6 @@ LANGS = 10_000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz" + b"." * len(PIECE_ENDS))
 
-COUNTS = "lang string, words int, phrase string, f long"
-
 
 class Names(dict):
     """Word -> number; 0 stands for the end of a piece."""
@@ -74,132 +72,130 @@ def slices(folded: bytes) -> Iterator[bytes]:
         start = end
 
 
-def positions(keys: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys))
-    return hashes & np.uint64(bits - 1), hashes >> np.uint64(32) & np.uint64(bits - 1)
-
+def probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return keys & np.uint64(bits - 1), keys >> np.uint64(32) & np.uint64(bits - 1)
 
-class Frequent:
-    """The Bloom filter of frequent phrases; its keys are a language, a space and a phrase."""
 
-    def __init__(self, slots: np.ndarray):
-        self.slots = slots
+def holds(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the Bloom filter holds the keys."""
+    bit = lambda at: slots[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+    one, two = probes(keys, 64 * len(slots))
+    return (bit(one) & bit(two)).astype(bool)
 
-    def __call__(self, lang: bytes, phrases: pa.Array) -> np.ndarray:
-        keys = [lang + b" " + p for p in phrases.to_pylist()]
-        one, two = positions(keys, 64 * len(self.slots))
-        bit = lambda at: self.slots[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
-        return (bit(one) & bit(two)).astype(bool)
 
-
-def frequent_filter(counts: DataFrame) -> np.ndarray:
-    """The filter's 64-bit slots, gathered by hash aggregation: at most FILTER_BITS bits reach the driver."""
-    bits = 1 << 16
-    rows = counts.count()
+def bloom(keys: DataFrame) -> np.ndarray:
+    """The filter's 64-bit slots for the column `key`, gathered by hash aggregation: at most FILTER_BITS bits reach the
+    driver."""
+    bits, rows = 1 << 16, keys.count()
     while bits < min(16 * rows, FILTER_BITS):
         bits *= 2
-    key = F.xxhash64(F.concat_ws(" ", "lang", "phrase"))
-    both = counts.select(F.explode(F.array(key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1))).alias("bit"))
+    key = F.col("key")
+    both = keys.select(F.explode(F.array(key.bitwiseAND(bits - 1), F.shiftrightunsigned(key, 32).bitwiseAND(bits - 1))).alias("bit"))
     slots = both.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("set")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[slots.column("slot").to_numpy()] = slots.column("set").to_numpy().view(np.uint64)
     return out
 
 
-def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.unique(codes, return_inverse=True, return_counts=True)
+def word_rows(lang: bytes, a: np.ndarray, names: list[bytes], filters: list[np.ndarray], max_n: int) -> Iterator[list[pa.Array]]:
+    """words, phrase, f of one language's word numbers; its number of words as a row of 0 words without phrase."""
+    total = np.bincount(a, minlength=len(names))
+    seen = np.flatnonzero(total[1:]) + 1
+    yield [pa.array([0], pa.int32()), pa.nulls(1, pa.string()), pa.array([total[1:].sum()])]
+    yield [pa.array(np.ones(len(seen), np.int32)), pa.array(names, pa.binary()).take(pa.array(seen)).cast(pa.string()), pa.array(total[seen])]
 
 
-def grams(lang: bytes, a: np.ndarray, names: pa.Array, low: int, high: int, frequent: list[Frequent]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of one language's word numbers, for phrases of `low` to `high` words."""
-    if low == 1:
-        total = np.bincount(a, minlength=len(names))
-        seen = np.flatnonzero(total[1:]) + 1
-        yield 0, pa.nulls(1, pa.binary()), np.array([total[1:].sum()])
-        yield 1, names.take(pa.array(seen)), total[seen]
-        return
+def pairs(lang: bytes, a: np.ndarray, names: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs of frequent words start, and their keys."""
     seen = np.unique(a)
     seen = seen[seen > 0]
-    known = np.zeros(len(names), bool)
-    known[seen] = frequent[0](lang, names.take(pa.array(seen)))
+    keys, known = np.zeros(len(names), np.uint64), np.zeros(len(names), bool)
+    keys[seen] = np.fromiter((xxhash.xxh64_intdigest(lang + b" " + names[i], 42) for i in seen), np.uint64, len(seen))
+    known[seen] = holds(words, keys[seen])
     known = known[a]
-    at = np.flatnonzero(known[:-1] & known[1:])  # where a gram of n words starts
-    codes, place, times = counted(a[at].astype(np.int64) << 32 | a[at + 1])
-    phrases = pc.binary_join_element_wise(names.take(pa.array(codes >> 32)), names.take(pa.array(codes & 0xFFFFFFFF)), b" ")
-    if low == 2:
-        yield 2, phrases, times
-        return
-    good = frequent[1](lang, phrases)[place]
-    at, place = at[good], place[good]
-    pair = np.zeros(len(a) + 1, bool)
-    pair[at] = True
-    for n in range(3, high + 1):
-        good = pair[at + n - 2]
-        at, place = at[good], place[good]
-        codes, place, times = counted(place.astype(np.int64) << 32 | a[at + n - 1])
-        phrases = pc.binary_join_element_wise(phrases.take(pa.array(codes >> 32)), names.take(pa.array(codes & 0xFFFFFFFF)), b" ")
-        yield n, phrases, times
-
-
-def phrase_counts(docs: DataFrame, low: int, high: int, filters: list[np.ndarray]) -> DataFrame:
-    """COUNTS of the grams of `low` to `high` words whose parts the filters hold; with low 1 also each language's number
-    of words, as a row of 0 words without phrase."""
+    at = np.flatnonzero(known[:-1] & known[1:])
+    return at, mix64(keys[a[at]] * np.uint64(0x9E3779B97F4A7C15) + keys[a[at + 1]])
+
+
+def pair_rows(lang: bytes, a: np.ndarray, names: list[bytes], filters: list[np.ndarray], max_n: int) -> Iterator[list[pa.Array]]:
+    """key, f of the pairs of frequent words."""
+    keys, times = np.unique(pairs(lang, a, names, filters[0])[1], return_counts=True)
+    yield [pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))]
+
+
+def phrase_rows(lang: bytes, a: np.ndarray, names: list[bytes], filters: list[np.ndarray], max_n: int) -> Iterator[list[pa.Array]]:
+    """words, phrase, f of the phrases of 2 words or more whose pairs are all frequent."""
+    at, keys = pairs(lang, a, names, filters[0])
+    at = at[holds(filters[1], keys)]  # where a phrase of n words starts
+    start = np.zeros(len(a) + 1, bool)
+    start[at] = True
+    table = pa.array(names, pa.binary())
+    phrases, place = table, a[at].astype(np.int64)
+    for n in range(2, max_n + 1):
+        if n > 2:
+            good = start[at + n - 2]
+            at, place = at[good], place[good]
+        codes, place, times = np.unique(place << 32 | a[at + n - 1], return_inverse=True, return_counts=True)
+        phrases = pc.binary_join_element_wise(phrases.take(pa.array(codes >> 32)), table.take(pa.array(codes & 0xFFFFFFFF)), b" ")
+        yield [pa.array(np.full(len(codes), n, np.int32)), phrases.cast(pa.string()), pa.array(times.astype(np.int64))]
+
+
+def exploded(docs: DataFrame, columns: str, rows, filters: list[np.ndarray], max_n: int) -> DataFrame:
+    """lang and the given columns: what `rows` makes of each task's words, a language and a block at a time."""
     small_batches(docs.sparkSession)
-    schema = arrow_schema(COUNTS)
+    ddl = f"lang string, {columns}"
+    schema = arrow_schema(ddl)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # FILTER_BITS at most each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = [Frequent(x) for x in shared.value]
         names, held = Names(), {}
+        full = lambda: len(names) >= NAMES or sum(len(p) for parts in held.values() for p in parts) >= BLOCK
 
         def emit() -> Iterator[pa.RecordBatch]:
-            words = pa.array(list(names), pa.binary())
+            words = list(names)
             for lang, parts in held.items():
-                for n, phrases, times in grams(lang.encode(), np.concatenate(parts), words, low, high, frequent):
-                    size = len(phrases)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))), pa.array(np.full(size, n, np.int32)), phrases.cast(pa.string()), pa.array(times.astype(np.int64))], schema=schema)
+                a = np.concatenate(parts)
+                parts.clear()
+                for out in rows(lang.encode(), a, words, shared.value, max_n):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(out[0]), np.int64))), *out], schema=schema)
             names.__init__()
             held.clear()
 
-        def take(lang: str, folded: bytes) -> None:
-            parts = held.setdefault(lang, [])
-            parts += [names.numbers(folded), np.zeros(1, np.int32)]
-
         for batch in batches:
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                folded = text.encode("utf-8", "surrogatepass").translate(FOLD)
-                for part in slices(folded):
-                    rest = texts.setdefault(lang, [])
-                    rest.append(part)
-                    if sum(map(len, rest)) >= SLICE:
-                        take(lang, b".".join(rest))
-                        rest.clear()
-                        if sum(len(p) for parts in held.values() for p in parts) >= BLOCK or len(names) >= NAMES:
+                waiting = texts.setdefault(lang, [])
+                for part in slices(text.encode("utf-8", "surrogatepass").translate(FOLD)):
+                    waiting.append(part)
+                    if len(part) >= SLICE or sum(map(len, waiting)) >= SLICE:
+                        held.setdefault(lang, []).append(names.numbers(b".".join(waiting) + b"."))
+                        waiting.clear()
+                        if full():
                             yield from emit()
-            for lang, rest in texts.items():
-                take(lang, b".".join(rest))
-            if sum(len(p) for parts in held.values() for p in parts) >= BLOCK or len(names) >= NAMES:
+            for lang, waiting in texts.items():
+                held.setdefault(lang, []).append(names.numbers(b".".join(waiting) + b"."))
+            if full():
                 yield from emit()
         yield from emit()
 
-    given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ddl)
 
 
 def frequent_phrases(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """COUNTS of all phrases of 1 to max_n words that occur `least` times in their language, and lang, n."""
+    """lang, words, phrase, f of all phrases of 1 to max_n words that occur `least` times in their language, and lang, n."""
     often = F.col("f") >= least
-    first = materialize(phrase_counts(docs, 1, 1, []).filter(often | F.col("phrase").isNull()), "words")
+    counted = lambda rows, *by: rows.groupBy(*by).agg(F.sum("f").alias("f"))
+    first = counted(exploded(docs, "words int, phrase string, f long", word_rows, [], max_n), "lang", "words", "phrase")
+    first = materialize(first.filter(often | F.col("phrase").isNull()), "words")
+    words = first.filter(F.col("phrase").isNotNull())
+    filters = [bloom(words.select(F.xxhash64(F.concat_ws(" ", "lang", "phrase")).alias("key")))]
+    keys = materialize(counted(exploded(docs, "key long, f long", pair_rows, filters, max_n), "key").filter(often), "pairs")
+    filters.append(bloom(keys))
+    longer = counted(exploded(docs, "words int, phrase string, f long", phrase_rows, filters, max_n), "lang", "words", "phrase")
+    out = materialize(words.unionByName(longer.filter(often)), "frequent")
     totals = materialize(first.filter(F.col("phrase").isNull()).select("lang", F.col("f").alias("n")), "totals")
-    levels, filters = [first.filter(F.col("phrase").isNotNull())], []
-    for low, high in ((2, 2), (3, max_n)):
-        if low <= max_n:
-            filters.append(frequent_filter(levels[-1]))
-            levels.append(materialize(phrase_counts(docs, low, high, filters).filter(often), "phrases"))
-    out = materialize(reduce(DataFrame.unionByName, levels), "frequent")
-    for level in (first, *levels[1:]):
-        discard(level)
+    discard(first)
+    discard(keys)
     return out, totals
 
 

@@ -54,8 +54,8 @@ def test_small_filters_and_blocks_lose_nothing(spark, monkeypatch):
     rows = corpus(3)
     for name in ("BLOCK", "NAMES", "SLICE"):
         monkeypatch.setattr(co, name, 40)
-    full = co.frequent_filter
-    monkeypatch.setattr(co, "frequent_filter", lambda counts: full(counts) | co.np.uint64(2**64 - 1))  # a filter that holds everything
+    full = co.bloom
+    monkeypatch.setattr(co, "bloom", lambda keys: full(keys) | co.np.uint64(2**64 - 1))  # a filter that holds everything
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert {tuple(r) for r in co.collocations(docs, 5, 8, 100, 2000).collect()} == brute(rows, 5, 8, 100, 2000)
 
@@ -69,7 +69,7 @@ def test_a_hot_language_repeated_rows_and_a_long_text(spark):
 
 
 def test_products_pass_64_bits(spark):
-    counts = spark.createDataFrame([("en", 1, "a", 10**13), ("en", 1, "b", 10**13), ("en", 2, "a b", 10**13 - 1)], co.COUNTS)
+    counts = spark.createDataFrame([("en", 1, "a", 10**13), ("en", 1, "b", 10**13), ("en", 2, "a b", 10**13 - 1)], "lang string, words int, phrase string, f long")
     totals = spark.createDataFrame([("en", 10**16)], "lang string, n long")
     (row,) = co.scored(counts.filter("words > 1"), counts, totals).collect()
     assert row.score == 1000 * (10**13 - 1) * 10**16 // 10**26
