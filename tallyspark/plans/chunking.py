@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators import sections
+from tallyspark.functions import text
+from tallyspark.operators import budgets, documents, sections
 from tallyspark.sources.tables import load
 
 from .register import query
@@ -42,3 +43,78 @@ r AS (SELECT doc, name, tier, line_no AS start, lead(line_no) OVER (PARTITION BY
 def boq_division_segments(spark, sf_dir):
     out = sections.division_segments(*order_sheets(spark, sf_dir))
     return out.select("doc", "name", "tier", "start", "stop", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(text) AS joined, strlen(text) AS bytes, true AS fits FROM documents")
+def txt_budget_chunks(spark, sf_dir):
+    """Whole texts in pieces of at most 700 bytes and 150 tokens, which join to them."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text", budgets.cuts(F.col("text"), 700, 150).alias("cuts"))
+    rows = rows.select("doc_id", F.transform("cuts", lambda c: budgets.piece(F.col("text"), c)).alias("pieces"))
+    fits = F.forall("pieces", lambda p: (F.octet_length(p) <= 700) & (F.length(p) < 151 * 4) & (p != ""))
+    joined = F.array_join("pieces", "")
+    return rows.select("doc_id", F.sha2(joined, 256).alias("joined"), F.octet_length(joined).cast("long").alias("bytes"), fits.alias("fits"))
+
+
+@query()
+def txt_budget_chunk_cuts(spark, sf_dir):
+    return budgets.budget_chunks(load(spark, sf_dir, "documents"), 700, 150).select("doc_id", "chunk", "start", "stop")
+
+
+TURNS = "WITH RECURSIVE p AS (SELECT conv_id AS ctx, turn AS ord, row_number() OVER w AS pos, sum(length(text)) OVER w AS upto, length(text) AS own FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)), "
+
+
+@query(TURNS + """c AS (SELECT DISTINCT ctx, 0::BIGINT AS start, -1 AS chunk, 0::HUGEINT AS used FROM p UNION ALL
+ SELECT c.ctx, n.stop, c.chunk + 1, n.upto FROM c, LATERAL (SELECT max(pos) AS stop, max(upto) AS upto FROM p WHERE p.ctx = c.ctx AND pos > c.start AND (pos = c.start + 1 OR (p.upto - c.used) // 4 <= 150)) n WHERE n.stop IS NOT NULL),
+ r AS (SELECT ctx, chunk, lag(start) OVER (PARTITION BY ctx ORDER BY chunk) AS low, start AS high FROM c) SELECT p.ctx, ord, chunk FROM r JOIN p ON p.ctx = r.ctx AND pos > low AND pos <= high""")
+def txt_count_chunks(spark, sf_dir):
+    """Turns of each conversation in the longest runs of at most 150 tokens."""
+    return budgets.count_chunks(load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ctx"), F.col("turn").alias("ord"), "text"), 150)
+
+
+PLAN = """WITH RECURSIVE d AS (SELECT conv_id AS ctx, turn AS doc, greatest(length(text) // 4, 1) AS tokens, CASE WHEN turn % 5 = 4 THEN 7 END AS cached FROM conversations),
+ e AS (SELECT *, sum(coalesce(cached, tokens)) OVER (PARTITION BY ctx) - 150 AS excess, tokens > 200 OR tokens >= 90 AS large FROM d),
+ u AS (SELECT *, floor(CASE WHEN large THEN tokens * 0.8::DOUBLE ELSE 0 END)::BIGINT AS saves FROM e WHERE cached IS NULL AND excess > 0),
+ v AS (SELECT *, coalesce(sum(saves) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(saves) OVER (PARTITION BY ctx) AS every, row_number() OVER (PARTITION BY ctx, large ORDER BY tokens DESC, doc) AS pos FROM u WINDOW w AS (PARTITION BY ctx ORDER BY tokens DESC, doc)),
+ s AS (SELECT * FROM v WHERE NOT large AND every < excess),
+ k AS (SELECT ctx, pos, doc, tokens, 0 AS batch, tokens AS used, excess - every AS lacking FROM s WHERE pos = 1 UNION ALL
+  SELECT s.ctx, s.pos, s.doc, s.tokens, k.batch + CASE WHEN k.used + s.tokens > 100 THEN 1 ELSE 0 END, CASE WHEN k.used + s.tokens > 100 THEN s.tokens ELSE k.used + s.tokens END, k.lacking FROM k JOIN s ON s.ctx = k.ctx AND s.pos = k.pos + 1),
+ b AS (SELECT ctx, batch, any_value(lacking) AS lacking, floor(sum(tokens) * 0.7::DOUBLE)::BIGINT AS saved FROM k GROUP BY ALL),
+ o AS (SELECT * FROM b QUALIFY coalesce(sum(saved) OVER (PARTITION BY ctx ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < lacking)
+ SELECT ctx, doc, tokens, CASE WHEN before < excess THEN 'single' ELSE 'forced' END AS kind, NULL::INT AS batch FROM v WHERE large AND (before < excess OR tokens > 200)
+ UNION ALL SELECT k.ctx, doc, tokens, 'batch', k.batch FROM k JOIN o ON o.ctx = k.ctx AND o.batch = k.batch"""
+
+
+@query(PLAN)
+def txt_summary_plan(spark, sf_dir):
+    """Turns as documents of their conversation, brought to 150 tokens; every fifth has a summary."""
+    size = text.token_estimate(F.length("text"))
+    rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ctx"), F.col("turn").alias("ord"), F.col("turn").alias("doc"), size.alias("tokens"), F.when(F.col("turn") % 5 == 4, 7).alias("cached"))
+    return budgets.summary_plan(rows, 150, 90, ceiling=200, batch=100)
+
+
+def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as parts. In two of three the second turn begins the context and the fourth ends it; in one
+    of three there is no mark. A conversation of one turn that begins a context holds the mark within its text."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    begin = F.when(conv % 3 == 0, budgets.BEGIN_MARKS[0]).when(conv % 3 == 1, budgets.BEGIN_MARKS[1])
+    body = F.when((turn == 1) | (F.count(F.lit(1)).over(Window.partitionBy("conv_id")) == 1), F.concat("text", F.coalesce(begin, F.lit("")))).when((turn == 3) & (conv % 3 < 2), F.concat(F.lit(budgets.END_MARK), "text")).otherwise(F.col("text"))
+    return load(spark, sf_dir, "conversations").select(conv.alias("ctx"), turn.alias("ord"), F.when(turn == 2, "uri").otherwise("text").alias("kind"), body.alias("text"))
+
+
+MARKED = """WITH t AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+ m AS (SELECT conv_id AS ctx, turn AS ord, n, CASE WHEN turn = 2 THEN 'uri' ELSE 'text' END AS kind, CASE WHEN turn = 1 OR n = 1 THEN text || CASE conv_id % 3 WHEN 0 THEN '### BEGIN RFP-REFERENCE' WHEN 1 THEN '### BEGIN CONTRACTOR-SUBMISSION' ELSE '' END WHEN turn = 3 AND conv_id % 3 < 2 THEN '### END CONTRACTOR-SUBMISSION' || text ELSE text END AS text FROM t) """
+
+
+@query(MARKED + """, o AS (SELECT *, ctx % 3 < 2 AND (n = 1 OR max(ord) OVER (PARTITION BY ctx) >= 1 AND n > 1) AS marked, row_number() OVER (PARTITION BY ctx ORDER BY ord) AS pos FROM m)
+ SELECT ctx, ord, 0 AS piece, CASE WHEN marked AND n = 1 THEN 'prefix' WHEN marked AND ord < 1 THEN 'prefix' WHEN marked AND ord <= 3 THEN 'context' WHEN marked THEN 'suffix' WHEN pos = 1 THEN 'prefix' ELSE 'context' END AS region, CASE WHEN marked AND n = 1 THEN length(split_part(text, '### BEGIN', 1)) ELSE length(text) END AS chars FROM o
+ UNION ALL SELECT ctx, ord, 1, 'context', length(text) - length(split_part(text, '### BEGIN', 1)) FROM o WHERE marked AND n = 1""")
+def ctx_split_regions(spark, sf_dir):
+    return budgets.split_regions(marked_turns(spark, sf_dir)).select("ctx", "ord", "piece", "region", F.length("text").cast("long").alias("chars"))
+
+
+@query(MARKED + "SELECT ctx, sha256(string_agg(text, '' ORDER BY ord)) AS digest, count(*) + (any_value(n) = 1 AND any_value(ctx) % 3 < 2)::INT AS parts FROM m GROUP BY 1")
+def ctx_reassembled(spark, sf_dir):
+    """Conversations split and put together again: without documents inside, the parts are as they were."""
+    back = budgets.reassembled(budgets.split_regions(marked_turns(spark, sf_dir)))
+    joined = documents.joined_texts(back.select(F.col("ctx").alias("doc"), F.col("at").alias("ord"), "text"), "")
+    return joined.join(back.groupBy(F.col("ctx").alias("doc")).agg(F.count(F.lit(1)).alias("parts")), "doc").select(F.col("doc").alias("ctx"), F.sha2("text", 256).alias("digest"), "parts")
