@@ -53,20 +53,20 @@ def safe_float(text: Column) -> Column:
     return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
 
 
-# Labels of rows that carry a sum over, spaces written once.
+# Labels of rows that carry a sum over, by themselves and as a pattern before a currency, a colon and a figure.
 SUBTOTALS = (
-    "TO COLLECTION", "TO SUMMARY", "SUB-TOTAL", "SUBTOTAL", "SUB TOTAL", "C/F", "B/F", "CF", "BF", "C/FWD", "B/FWD", "CFWD", "BFWD", "CARRIED FORWARD", "BROUGHT FORWARD",
-    "PAGE TOTAL", "SHEET TOTAL", "TOTAL CARRIED", "TOTAL BROUGHT", "CARRIED TO SUMMARY", "CARRIED TO COLLECTION", "CARRIED TO BILL",
+    "TO COLLECTION", "TO COLLECTION AED", "TO SUMMARY", "SUB-TOTAL", "SUBTOTAL", "SUB TOTAL", "C/F", "B/F", "C/FWD", "B/FWD", "CARRIED FORWARD", "BROUGHT FORWARD",
+    "PAGE TOTAL", "SHEET TOTAL", "AMOUNT CARRIED", "AMOUNT BROUGHT", "TOTAL CARRIED", "TOTAL BROUGHT", "CARRIED TO SUMMARY", "CARRIED TO COLLECTION",
 )
+SUBTOTAL = r"TO COLLECTION|TO SUMMARY|SUB-?TOTAL|SUB\s+TOTAL|CARRIED FORWARD|BROUGHT FORWARD|C/?F(?:WD)?|B/?F(?:WD)?|PAGE TOTAL|SHEET TOTAL|TOTAL[\s\-]+(?:CARRIED|BROUGHT)\s|AMOUNT[\s\-]*(?:CARRIED|BROUGHT)[\s\-\w]*|CARRIED TO (?:SUMMARY|COLLECTION|BILL)"
+FIGURE = r"(\s+AED)?(\s*:?\s*[\d,\.]*)?"
 
 
 def is_subtotal(label: Column) -> Column:
-    """Whether a row's label only carries a sum over: a known label, or an amount carried or brought anywhere, then
-    perhaps a currency, a colon and a figure."""
-    upper = F.upper(F.trim(label))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(upper, r"\s*:?\s*[0-9,.]*$", ""), r"\s+AED$", ""), r"^SUB\s+TOTAL$", "SUB TOTAL")
-    carried = bare.rlike(r"^AMOUNT[\s-]*(CARRIED|BROUGHT)[\s\w-]*$")
-    return F.coalesce(bare.isin(*SUBTOTALS) | carried, F.lit(False))
+    """Whether a row's label only carries a sum over: a known label, or one of the patterns, then perhaps a currency, a
+    colon and a figure. A total carried or brought may have any spaces and hyphens between its words."""
+    upper = F.regexp_replace(F.upper(label), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(upper.isin(*SUBTOTALS) | upper.rlike(f"(?iU)^({SUBTOTAL}){FIGURE}$"), F.lit(False))
 
 
 def is_junk(description: Column, qty: Column, rate: Column, amount: Column, raw: Column) -> Column:
@@ -212,21 +212,22 @@ def scrub_json(raw: Column) -> Column:
     return F.regexp_replace(out, r"(?<!\\)[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
 
 
-def close_brackets(raw: Column) -> Column:
-    """A JSON text that was cut off, with what it left open closed: its last string, then its brackets."""
-    bare = F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*"', "")
-    open_string = F.contains(bare, F.lit('"'))
-    marks = F.regexp_extract_all(F.regexp_replace(bare, r'".*', ""), F.lit(r"[\[\]{}]"), 0)
-    ends = F.aggregate(marks, F.lit(""), lambda s, c: F.when(c == "{", F.concat(F.lit("}"), s)).when(c == "[", F.concat(F.lit("]"), s)).otherwise(F.substring(s, F.lit(2), F.length(s))))
-    return F.concat(F.regexp_replace(raw, r"[,\s]+$", ""), F.when(open_string, '"').otherwise(""), ends)
+def cut_to_brackets(raw: Column) -> Column:
+    """A JSON text that was cut off, up to its last bracket, with as many brackets as lack one added, square ones first;
+    null where more are closed than opened. Brackets within strings count like others."""
+    lacking = lambda one, other: F.length(F.replace(raw, F.lit(other), F.lit(""))) - F.length(F.replace(raw, F.lit(one), F.lit("")))
+    kept = F.regexp_extract(raw, r"(?s)^(.*[}\]])", 1)
+    left = lambda one, other: F.length(F.replace(kept, F.lit(other), F.lit(""))) - F.length(F.replace(kept, F.lit(one), F.lit("")))
+    sound = (lacking("{", "}") >= 0) & (lacking("[", "]") >= 0) & (kept != "")
+    return F.when(sound, F.concat(kept, F.repeat(F.lit("]"), left("[", "]")), F.repeat(F.lit("}"), left("{", "}"))))
 
 
 def tolerant_json(raw: Column) -> Column:
-    """A JSON object in a text: the text itself, else from the first brace to the last, else from the first with its
-    brackets closed; null where none of them parses."""
-    from_first = F.regexp_extract(raw, r"(?s)(\{.*)", 1)
-    candidates = (raw, F.regexp_extract(raw, r"(?s)(\{.*\})", 1), close_brackets(from_first))
-    return F.coalesce(*(F.when(F.coalesce(F.trim(c), F.lit("")).startswith("{") & F.try_parse_json(c).isNotNull(), c) for c in candidates))
+    """The JSON in a text: the text itself, else from its first brace to its last, else the text cut back to its last
+    bracket with what is open closed; null where none of them parses."""
+    bare = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    candidates = (bare, F.regexp_extract(bare, r"(?s)(\{.*\})", 1), cut_to_brackets(bare))
+    return F.coalesce(*(F.when((c != "") & F.try_parse_json(c).isNotNull(), c) for c in candidates))
 
 
 def unwrap_result(raw: Column, depth: int = 3) -> Column:

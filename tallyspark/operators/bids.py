@@ -90,6 +90,18 @@ def with_bidders(sums: DataFrame, *keys: str) -> DataFrame:
     return sums.join(best, list(keys), "left").select(*keys, "vendor", "total", "low_bidder", "high_bidder")
 
 
+def fast_totals(bids: DataFrame, left_out: tuple[str, ...] = ("TEMPLATE", "PTE")) -> DataFrame:
+    """division, vendor, total of the divisions in which any vendor's total isn't 0, with the low and the high bidder over
+    the vendors' totals of the whole project, 0 included and the names `left_out` not; the first vendor of a tie."""
+    sums = totals(bids, "division")
+    shown = sums.groupBy("division").agg(F.bool_or(F.col("total") != 0).alias("shown")).filter("shown").drop("shown")
+    counts = ~F.col("vendor").isin(*left_out)
+    every = Window.partitionBy()  # a row for each vendor
+    best = lambda pick, *key: pick("vendor", F.when(counts, F.struct(*key))).over(every)
+    project = totals(bids).select("vendor", best(F.min_by, "total", "vendor_ord").alias("low_bidder"), best(F.max_by, F.col("total"), -F.col("vendor_ord")).alias("high_bidder"))
+    return sums.join(shown, "division").join(project, "vendor").select("division", "vendor", "total", "low_bidder", "high_bidder")
+
+
 def sub_group_view(bids: DataFrame) -> DataFrame:
     """Totals by sub-group, without groupings whose only sub-group is GENERAL. The low side needs a total above 0, the
     high side doesn't; the first vendor of a tie."""
@@ -223,12 +235,16 @@ def normalized_flags(filled: DataFrame) -> DataFrame:
 def normalized_bids(bids: DataFrame, how: str = "median") -> DataFrame:
     """Contractors' prices made comparable: an override counts first, an included item has none, an unpriced one and one
     with an arithmetic error take the median or lowest of the place's valid prices, others stay; totals round to cents.
-    Rows also have `override`, `included` and `wrong`."""
+    Valid are all prices but of included items and wrong ones, 0 too; a place without any is filled with 0. `place` ranks
+    the totals, ties in the vendors' order. Rows also have `vendor_ord`, `override`, `included` and `wrong`."""
     value = {"median": F.median("amount"), "lowest": F.min("amount")}[how]
-    fill = bids.filter("amount > 0 AND NOT wrong").groupBy(*PLACE).agg(value.alias("fill"))
-    priced = F.when(F.col("override").isNotNull(), F.col("override")).when(F.col("included"), F.lit(None)).when(F.col("amount").isNull() | F.col("wrong"), F.col("fill")).otherwise(F.col("amount"))
+    fill = bids.filter("amount IS NOT NULL AND NOT included AND NOT wrong").groupBy(*PLACE).agg(value.alias("fill"))
+    filled = F.coalesce("fill", F.lit(0.0))
+    priced = F.when(F.col("override").isNotNull(), F.col("override")).when(F.col("included"), F.lit(None)).when(F.col("amount").isNull() | F.col("wrong"), filled).otherwise(F.col("amount"))
     rows = bids.join(fill, list(PLACE), "left").withColumn("price", priced)
-    return rows.groupBy("vendor").agg(F.round(F.sum(F.col("price").cast("decimal(18,4)")), 2).cast("double").alias("total"), F.count("price").alias("priced"))
+    total = F.round(F.sum(F.coalesce("price", F.lit(0.0)).cast("decimal(18,4)")), 2).cast("double")
+    sums = rows.groupBy("vendor", "vendor_ord").agg(total.alias("total"), F.count("price").alias("priced"))
+    return sums.withColumn("place", F.row_number().over(Window.orderBy("total", "vendor_ord"))).drop("vendor_ord")
 
 
 def correct_items(items: DataFrame) -> DataFrame:

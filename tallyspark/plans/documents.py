@@ -92,12 +92,14 @@ def txt_categories(spark, sf_dir):
     return lines(spark, sf_dir).select(*KEYS, F.array_join(text.categories(kind, key), ",").alias("categories"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN '{"a": [' || props || ']}' WHEN 3 THEN '{"a": {"x": ' || props || '}}' WHEN 4 THEN '{"d": [{"n": ' || props || '}]}' WHEN 7 THEN '[' || props || ']' END AS json FROM events""")
 def txt_json_repair(spark, sf_dir):
-    n = F.col("event_id") % 4
-    given = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("Here: "), "props", F.lit(" done."))).when(n == 2, F.concat(F.lit('[note] {"a": ['), "props", F.lit(', {"b": "cut } off'))).otherwise("no object")
-    rows = load(spark, sf_dir, "events").select("event_id", text.tolerant_json(given).alias("json"))
-    return rows.select("event_id", F.coalesce(F.get_json_object("json", "$.k"), F.get_json_object("json", "$.a[0].k")).alias("k"))
+    """Whole, wrapped, and cut in a string, after a colon, in a list's next object; no object; one cut inside a string that
+    holds a bracket, which isn't mended; a list."""
+    say = lambda before, after: F.concat(F.lit(before), F.col("props"), F.lit(after))
+    forms = F.array(F.col("props"), say("Here: ", " done."), say('{"a": [', ', {"b": "cut off'), say('{"a": {"x": ', '}, "b":'), say('{"d": [{"n": ', '}, {"n":'), F.lit("no object"), say('{"a": ', ', "b": "cut } off'), say(" [", "] "))
+    given = F.element_at(forms, (F.col("event_id") % 8 + 1).cast("int"))
+    return load(spark, sf_dir, "events").select("event_id", text.tolerant_json(given).alias("json"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, '[' || props || ', {\"pageNumber\": 3}' || chr(10) || ']' AS scrubbed FROM events")

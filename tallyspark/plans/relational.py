@@ -453,10 +453,10 @@ def boq_last_number(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numbers.last_number(line).alias("last"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 9 BETWEEN 0 AND 5 AS subtotal FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 12 IN (0, 1, 2, 3, 4, 5, 9, 10, 11) AS subtotal FROM lineitem")
 def boq_filter_subtotals(spark, sf_dir):
-    price, n = F.format_number("l_extendedprice", 2), F.col("l_suppkey") % 9
-    label = F.when(n == 0, F.concat(F.lit("B/Fwd "), price)).when(n == 1, F.concat(F.lit(" sub  total: "), price)).when(n == 2, F.concat(F.lit("Amount carried to summary AED "), price)).when(n == 3, "CFWD").when(n == 4, F.concat(F.lit("carried to bill aed: "), price)).when(n == 5, F.lit("Page Total:")).when(n == 6, F.concat(F.lit("Total for section "), F.col("l_linenumber").cast("string"))).when(n == 7, F.concat(F.lit("Page total of "), price)).otherwise(F.concat(F.lit("Excavation "), price))
+    price, n = F.format_number("l_extendedprice", 2), F.col("l_suppkey") % 12
+    label = F.when(n == 0, F.concat(F.lit("B/Fwd "), price)).when(n == 1, F.concat(F.lit(" sub  total: "), price)).when(n == 2, F.concat(F.lit("Amount carried to summary AED "), price)).when(n == 3, "CFWD").when(n == 4, F.concat(F.lit("carried to bill aed: "), price)).when(n == 5, F.lit("Page Total:")).when(n == 6, F.concat(F.lit("Total for section "), F.col("l_linenumber").cast("string"))).when(n == 7, F.concat(F.lit("Page total of "), price)).when(n == 9, F.concat(F.lit("TOTAL  CARRIED "), price)).when(n == 10, F.concat(F.lit("Total-Brought "), F.col("l_linenumber").cast("string"))).when(n == 11, F.concat(F.lit("total - carried  AED: "), price)).otherwise(F.concat(F.lit("Excavation "), price))
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.is_subtotal(label).alias("subtotal"))
 
 

@@ -226,7 +226,26 @@ def test_passages_against_brute_force(spark):
 def test_json_repair(spark):
     rows = [('{"a": 1}',), ('x {"a": 1} y',), ('{"a": [1, {"b": "c',), ("none",), (None,), ('{"a": "}"',)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(text.tolerant_json(F.col("x"))).collect()]
-    assert got == ['{"a": 1}', '{"a": 1}', '{"a": [1, {"b": "c"}]}', None, None, '{"a": "}"}']
+    assert got == ['{"a": 1}', '{"a": 1}', None, None, None, None]
+    cut = {'{"a":{"x":1},"b":': '{"a":{"x":1}}', '{"divs":[{"n":"x"},{"n":': '{"divs":[{"n":"x"}]}', '{"a": [1, {"b": 2}, "cut': '{"a": [1, {"b": 2}]}', '{"a": 1}]': '{"a": 1}', '{"a": [1]]': None, ' [1] ': "[1]"}
+    rows = spark.createDataFrame([(k,) for k in cut], "x string").select("x", text.tolerant_json(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == cut
+
+
+def test_subtotals(spark):
+    sure = ["TOTAL  CARRIED 5", "Total-Brought 10", "total - carried AED: 3,000.00", "C/F", "cfwd 7", "B/Fwd: 12.50", "SUB   TOTAL", "amount carried to the summary", "Carried to bill 3", " to collection aed ", "Total carried"]
+    other = ["Total for section 2", "Totalcarried 5", "Page total of 7", "CARRIED TO", "", None, "total carried forwards 5", "Excavation"]
+    rows = spark.createDataFrame([(x,) for x in sure + other], "x string").select("x", text.is_subtotal(F.col("x")).alias("y")).collect()
+    assert {r.x for r in rows if r.y} == set(sure)
+
+
+def test_normalized_bids(spark):
+    kinds = "division string, grouping string, sub_group string, item int, idx int, vendor string, vendor_ord int, amount double, override double, included boolean, wrong boolean"
+    place = lambda item, *more: ("d", "g", "s", item, 0, *more)
+    rows = [place(1, "A", 0, 10.0, None, True, False), place(1, "B", 1, 30.0, None, False, False), place(1, "C", 2, None, None, False, False), place(2, "A", 0, 5.0, None, False, True), place(2, "B", 1, None, None, False, False), place(2, "C", 2, None, 7.0, False, False), place(3, "A", 0, 0.0, None, False, False), place(3, "C", 2, 9.0, None, False, True)]
+    got = {r.vendor: (r.total, r.priced, r.place) for r in bids.normalized_bids(spark.createDataFrame(rows, kinds)).collect()}
+    # item 1 fills with 30, item 2 with 0 as it has no valid price, item 3 with 0, its lowest and median
+    assert got == {"A": (0.0, 2, 1), "B": (30.0, 2, 2), "C": (37.0, 3, 3)}
 
 
 def test_summary_sheets(spark):
