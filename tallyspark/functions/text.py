@@ -222,12 +222,18 @@ def cut_to_brackets(raw: Column) -> Column:
     return F.when(sound, F.concat(kept, F.repeat(F.lit("]"), left("[", "]")), F.repeat(F.lit("}"), left("{", "}"))))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value. The parser stops at the end of a value, so what stands around it tells
+    whether anything follows."""
+    return (F.trim(text) != "") & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+
+
 def tolerant_json(raw: Column) -> Column:
     """The JSON in a text: the text itself, else from its first brace to its last, else the text cut back to its last
     bracket with what is open closed; null where none of them parses."""
     bare = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
     candidates = (bare, F.regexp_extract(bare, r"(?s)(\{.*\})", 1), cut_to_brackets(bare))
-    return F.coalesce(*(F.when((c != "") & F.try_parse_json(c).isNotNull(), c) for c in candidates))
+    return F.coalesce(*(F.when(is_json(c), c) for c in candidates))
 
 
 def unwrap_result(raw: Column, depth: int = 3) -> Column:
