@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from tallyspark.functions import passages as passages_in
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence: one bit per character of `a`, updated for each of `b`."""
@@ -76,32 +80,54 @@ def nearest_names(names: DataFrame, known: DataFrame, accept: float = 70.0, doub
 def best_window(passage: str, words: list[str]) -> tuple[float, int, int]:
     """The ratio of the run of words most like a passage, and where it lies; of equal ones the first."""
     n, best = len(passage.split()), (0.0, 0, 0)
+    shown = lambda ws: " ".join(w for w in map(passages_in.fold, ws) if w)
     for i in range(len(words) - n + 1):
-        score = ratio(" ".join(words[i : i + n]), passage)
+        score = ratio(shown(words[i : i + n]), shown(passage.split()))
         if score > best[0]:
             best = (score, i, i + n)
     return best
 
 
-def locate_passages(passages: DataFrame, docs: DataFrame, width: int = 4, accept: float = 70.0) -> DataFrame:
-    """passage_id, doc_id, score, start, stop (words): the document that holds each passage's most similar run of words,
-    the smallest id of equal ones, from a score of `accept` on. Only documents that share a run of `width` words with a
-    passage are looked at, and in them the surroundings of those runs."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    runs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - width, F.lit(0))), lambda i: F.struct(F.xxhash64(F.slice(c, i + 1, width)).alias("run"), i.alias("at")))
-    left = passages.select("passage_id", words("passage").alias("pw")).select("passage_id", "pw", F.explode(runs("pw")).alias("r")).select("passage_id", "pw", "r.run", F.col("r.at").alias("at"))
-    right = docs.select("doc_id", words("text").alias("w"))
-    hits = right.select("doc_id", F.explode(runs("w")).alias("r")).select("doc_id", "r.run", F.col("r.at").alias("doc_at"))
-    # where a passage would begin in a document, by each run that they share
-    begins = hits.join(left.select("passage_id", "run", "at", F.size("pw").alias("n")), "run").select("passage_id", "n", "doc_id", F.greatest(F.col("doc_at") - F.col("at"), F.lit(0)).alias("begin")).distinct()
-    near = begins.join(right, "doc_id").select("passage_id", "doc_id", "begin", F.slice("w", F.greatest(F.col("begin") - 2, F.lit(0)) + 1, F.col("n") + 4).alias("piece"))
-
-    @pandas_udf("score double, start int, stop int")
-    def score(passage: pd.Series, piece: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_window(p, list(w)) for p, w in zip(passage, piece)], columns=["score", "start", "stop"])
-
-    shown = near.join(passages.select("passage_id", F.array_join(words("passage"), " ").alias("p")), "passage_id").withColumn("s", score("p", "piece"))
-    shift = F.greatest(F.col("begin") - 2, F.lit(0))
-    placed = shown.select("passage_id", "doc_id", F.col("s.score").alias("score"), (F.col("s.start") + shift).alias("start"), (F.col("s.stop") + shift).alias("stop")).filter(F.col("score") >= accept)
-    best = placed.groupBy("passage_id").agg(F.min_by(F.struct("doc_id", "score", "start", "stop"), F.struct(-F.col("score"), "doc_id", "start")).alias("b"))
+#: Characters of passages that go to every task at once; more passages make more passes over the documents.
+BLOCK_CHARS = 4_000_000
+
+
+def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0) -> DataFrame:
+    """passage_id, doc_id, score, start, stop (words): the document that holds each passage's most similar run of as many
+    words, without punctuation and whatever the case, from a ratio of `accept` on; of equal ones the smallest id's first.
+
+    Passages are the queries: they go to the documents in blocks of BLOCK_CHARS characters, and each task returns its best
+    run of each. Every run counts, see functions.passages. Null and empty passages, and documents shorter than a passage,
+    have none; a null doc_id isn't found."""
+    if accept <= 0:
+        raise ValueError("a ratio above 0")
+    kind = {"p": dict(passages.dtypes)["passage_id"], "d": dict(docs.dtypes)["doc_id"]}
+    sizes = passages.select("passage_id", "passage", F.length(F.coalesce("passage", F.lit(""))).alias("_chars")).filter("_chars > 0 AND passage_id IS NOT NULL")
+    blocks = sizes.withColumn("_block", F.floor((F.sum("_chars").over(Window.orderBy("passage_id", "passage").rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK_CHARS))
+    given = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    out = None
+    for (block,) in blocks.select("_block").distinct().orderBy("_block").collect():
+        rows = blocks.filter(F.col("_block") == block).select("passage_id", "passage").collect()
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+        def found(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            alphabet, ready = passages_in.prepare([text for _, text in shared.value])
+            best: dict[int, tuple] = {}
+            pairs = ((i, t) for frame in frames for i, t in zip(frame["doc_id"], frame["text"]))
+            for ids, held in passages_in.batches(pairs):
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                texts = passages_in.Texts([held[k] for k in order], alphabet)
+                for k, passage in enumerate(ready):
+                    least = best[k][0] if k in best else accept
+                    hit = passages_in.most_like(passage, texts, least)
+                    if hit:
+                        hit = (hit[0], ids[order[hit[1]]], hit[2], hit[2] + passage.n)
+                        best[k] = min(best.get(k, hit), hit, key=lambda h: (-h[0], h[1], h[2]))
+            yield pd.DataFrame([(shared.value[k][0], d, s, a, b) for k, (s, d, a, b) in best.items()], columns=["passage_id", "doc_id", "score", "start", "stop"])
+
+        part = given.mapInPandas(found, f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int")
+    best = out.groupBy("passage_id").agg(F.min_by(F.struct("doc_id", "score", "start", "stop"), F.struct(-F.col("score"), "doc_id", "start")).alias("b"))
     return best.select("passage_id", "b.*")
