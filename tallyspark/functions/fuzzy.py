@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from tallyspark.functions import passages as passages_in
+from tallyspark.functions.text import normalize_name
 
 
 def common_length(a: str, b: str) -> int:
@@ -48,33 +50,134 @@ def token_sort_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_sort_ratio(x, y) for x, y in zip(a, b)])
 
 
-#: Names of one list; a longer one isn't a list to pick from.
+#: Known names that go to every task at once, or belong to one group; of a list without groups more make more blocks.
 MOST_NAMES = 10_000
 
 
-def nearest_names(names: DataFrame, known: DataFrame, accept: float = 70.0, doubtful: float = 50.0) -> DataFrame:
-    """name, best, score, confidence (high, low or none): equal names, whatever their case, by a join; each of the rest
-    against the whole list, of which ValueError says where it is too long to go to every task."""
-    held = [r[0] for r in known.select("name").filter("name IS NOT NULL").distinct().orderBy("name").limit(MOST_NAMES + 1).collect()]
-    if len(held) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} known names")
-    lowered = [k.lower() for k in held]
+def name_score(a: str, b: str) -> float:
+    """How alike two folded names are: the best of three ratios."""
+    return 100.0 if a == b else max(ratio(a, b), partial_ratio(a, b), token_sort_ratio(a, b))
+
+
+class NameList:
+    """Known names, prepared so that few of them are compared with a name: the characters that two names share bound each
+    of the three ratios, names are compared by falling bounds, and the search ends where the bound is below the best."""
+
+    def __init__(self, keys: list[str], names: list[str]):
+        self.keys, self.names = keys, names
+        self.numbers = {c: i for i, c in enumerate(sorted(set("".join(keys))))}
+        self.counts = np.zeros((len(self.numbers), len(keys)), np.int32)
+        for k, key in enumerate(keys):
+            for c in key:
+                self.counts[self.numbers[c], k] += 1
+        self.length = np.array([len(k) for k in keys], np.int64)
+        self.tokens = np.array([len(" ".join(k.split())) for k in keys], np.int64)
+
+    def bounds(self, name: str) -> np.ndarray:
+        shared = np.zeros(len(self.keys), np.int64)
+        for c in set(name) & self.numbers.keys():
+            shared += np.minimum(self.counts[self.numbers[c]], name.count(c))
+        over = lambda top, under: np.where(under > 0, 200.0 * top / np.maximum(under, 1), 100.0)
+        short = np.minimum(self.length, len(name))
+        inside = np.minimum(shared, short)
+        # a window of the longer may be cut at its edges down to the characters that are shared
+        return np.maximum.reduce([over(shared, self.length + len(name)), over(inside, short + inside), over(shared, self.tokens + len(" ".join(name.split())))])
+
+    def best(self, name: str) -> tuple[float, str | None]:
+        """The score of the most similar known name; of equal ones the last by name."""
+        top: tuple[float, str | None] = (0.0, None)
+        bound = self.bounds(name)
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] < top[0] - 1e-9:
+                break
+            score = name_score(name, self.keys[k])
+            if top[1] is None or (score, self.names[k]) > top:
+                top = (score, self.names[k])
+        return top
+
+
+def nearest_names(names: DataFrame, known: DataFrame, accept: float = 70.0, doubtful: float = 50.0, by: str | None = None) -> DataFrame:
+    """name, best, score, confidence (high, low or none): the known name most like each name, of equal ones the last by
+    name. Names alike but for case, quotes and spaces are found by a join; the rest is compared with the known names of
+    the same `by` (then a column of the result too), of which one value may have MOST_NAMES, or with all of them, which go
+    to the tasks in blocks of MOST_NAMES. A null name is like nothing."""
+    keep = [by] if by else []
+    listed = known.filter("name IS NOT NULL").select(*keep, normalize_name(F.col("name")).alias("_key"), "name").distinct()
+    equal = listed.groupBy(*keep, "_key").agg(F.max("name").alias("_equal"))
+    joined = names.select(*keep, "name", F.coalesce(normalize_name(F.col("name")), F.lit("")).alias("_key")).join(equal, [*keep, "_key"], "left")
+    exact = joined.filter("_equal IS NOT NULL").select(*keep, "name", F.col("_equal").alias("best"), F.lit(100.0).alias("score"))
+    rest = joined.filter("_equal IS NULL").select(*keep, "name", "_key")
+    scored = nearest_in_groups(rest, listed, by) if by else nearest_in_blocks(rest, listed)
+    kind = F.when(F.col("score") >= accept, "high").when(F.col("score") >= doubtful, "low").otherwise("none")
+    return exact.unionByName(scored).select(*keep, "name", F.when(kind != "none", F.col("best")).alias("best"), "score", kind.alias("confidence"))
+
 
-    @pandas_udf("best string, score double")
-    def best_of(column: pd.Series) -> pd.DataFrame:
+def nearest_in_blocks(rest: DataFrame, listed: DataFrame) -> DataFrame:
+    """name, best, score over all known names, a block at a time: each sends MOST_NAMES names to the tasks, and its best
+    are kept if they are better than those before. A name is compared once, however often it occurs."""
+    order = Window.orderBy("name")
+    blocks = listed.withColumn("_block", F.floor((F.row_number().over(order) - 1) / MOST_NAMES))
+    session = rest.sparkSession
+    out = rest.select("_key").distinct().repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "_key").withColumn("b", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("best")))
+    for (block,) in blocks.select("_block").distinct().orderBy("_block").collect():
+        rows = blocks.filter(F.col("_block") == block).select("_key", "name").collect()
+        shared = session.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        out = out.withColumn("b", F.greatest("b", best_of(shared)("_key")))
+    return rest.join(out, "_key").select("name", "b.best", "b.score")
+
+
+def best_of(shared):
+    @pandas_udf("score double, best string")
+    def found(keys: pd.Series) -> pd.DataFrame:
+        listed = NameList(*shared.value)
+        distinct = {k: listed.best(k) for k in set(keys)}
+        return pd.DataFrame([distinct[k] for k in keys], columns=["score", "best"])
+
+    return found
+
+
+def nearest_in_groups(rest: DataFrame, listed: DataFrame, by: str) -> DataFrame:
+    """by, name, best, score over the known names of the same group."""
+    sized = listed.groupBy(by).agg(F.when(F.count(F.lit(1)) > MOST_NAMES, F.raise_error(F.lit(f"more than {MOST_NAMES} known names of one group"))).otherwise(F.sort_array(F.collect_list(F.struct("_key", "name")))).alias("_known"))
+    kinds = dict(rest.dtypes)
+
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, listed = object(), None
+        for frame in frames:
+            rows = []
+            for value, name, key, known in zip(frame[by], frame["name"], frame["_key"], frame["_known"]):
+                if listed is None or value != group:
+                    group, listed = value, NameList([k["_key"] for k in known], [k["name"] for k in known])
+                rows.append((value, name, *reversed(listed.best(key))))
+            yield pd.DataFrame(rows, columns=[by, "name", "best", "score"])
+
+    # a name is compared once in its group; groups of many names are dealt over tasks, each group's rows side by side
+    once = rest.select(by, "_key").distinct().withColumn("name", F.col("_key")).repartition(by, F.pmod(F.xxhash64("_key"), F.lit(16))).sortWithinPartitions(by)
+    best = once.join(sized, by).mapInPandas(found, f"`{by}` {kinds[by]}, name string, best string, score double").select(by, F.col("name").alias("_key"), "best", "score")
+    return rest.join(best, [by, "_key"], "left").select(by, "name", "best", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def promote_key(payload: Column, canonical: str, accept: float = 70.0) -> Column:
+    """A struct (payload, error): a map that has the key as it is; else with the key most like it, whatever their case,
+    under that name, from a ratio of `accept` on; else as it is, with an error that tells the best ratio. Of equally
+    similar keys the first counts."""
+
+    @pandas_udf("keys array<string>, ratio double")
+    def renamed(keys: pd.Series) -> pd.DataFrame:
         rows = []
-        for name in column:
-            scored = [(100.0 if name == k else max(ratio(name, k), partial_ratio(name, k), token_sort_ratio(name, k)), h) for k, h in zip(lowered, held)]
-            score, best = max(scored, default=(0.0, None))
-            rows.append((best, score))
-        return pd.DataFrame(rows, columns=["best", "score"])
-
-    equal = known.select(F.lower("name").alias("_key"), F.col("name").alias("_equal")).groupBy("_key").agg(F.max("_equal").alias("_equal"))
-    joined = names.withColumn("_key", F.lower("name")).join(equal, "_key", "left")
-    exact = joined.filter("_equal IS NOT NULL").select("name", F.col("_equal").alias("best"), F.lit(100.0).alias("score"))
-    rest = joined.filter("_equal IS NULL").select("name", best_of(F.coalesce("_key", F.lit(""))).alias("b")).select("name", "b.best", "b.score")
-    kind = F.when(F.col("score") >= accept, "high").when(F.col("score") >= doubtful, "low").otherwise("none")
-    return exact.unionByName(rest).select("name", F.when(kind != "none", F.col("best")).alias("best"), "score", kind.alias("confidence"))
+        for own in keys:
+            own = [] if own is None else list(own)
+            scores = [ratio(k.lower(), canonical.lower()) for k in own]
+            best = max(scores, default=0.0)
+            if canonical not in own and best >= accept:
+                own[scores.index(best)] = canonical
+            rows.append((own, best))
+        return pd.DataFrame(rows, columns=["keys", "ratio"])
+
+    found = renamed(F.map_keys(payload))
+    held = F.map_from_arrays(found["keys"], F.map_values(payload))
+    message = F.concat(F.lit(f"no key like {canonical}, at best "), F.round(found["ratio"], 1).cast("string"))
+    return F.struct(held.alias("payload"), F.when(~F.array_contains(found["keys"], canonical), message).alias("error"))
 
 
 def best_window(passage: str, words: list[str]) -> tuple[float, int, int]:

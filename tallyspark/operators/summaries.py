@@ -89,12 +89,13 @@ def evidence_sources(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     package with the same name but for case and extension, else the most similar name; of several, a tender of the
     contractor, then any tender, then the first. A source without a document stays as it is.
 
-    Names without an equal one are compared with the distinct names of all documents, whose number fuzzy.MOST_NAMES bounds."""
+    Names without an equal one are compared with the names of their own package, of which there may be
+    fuzzy.MOST_NAMES."""
     listed = docs.filter(F.trim("display") != "").select("package", text.stem(F.trim("display")).alias("_stem"), F.col("contractor").alias("_by"), F.col("context").alias("_context"), F.col("ord").alias("_ord"), "url")
     given = evidence.withColumn("_source", F.trim("source")).withColumn("_key", text.stem(F.col("_source")))
-    lacking = given.join(listed.select("package", F.col("_stem").alias("_key")).distinct(), ["package", "_key"], "left_anti").filter("_source <> ''").select(F.col("_key").alias("name")).distinct()
-    near = fuzzy.nearest_names(lacking, listed.select(F.col("_stem").alias("name")).distinct()).filter("best IS NOT NULL").select(F.col("name").alias("_key"), "best")
-    aimed = given.join(near, "_key", "left").withColumn("_stem", F.coalesce("best", "_key"))
+    lacking = given.join(listed.select("package", F.col("_stem").alias("_key")).distinct(), ["package", "_key"], "left_anti").filter("_source <> ''").select("package", F.col("_key").alias("name")).distinct()
+    near = fuzzy.nearest_names(lacking, listed.select("package", F.col("_stem").alias("name")), by="package").filter("best IS NOT NULL").select("package", F.col("name").alias("_key"), "best")
+    aimed = given.join(near, ["package", "_key"], "left").withColumn("_stem", F.coalesce("best", "_key"))
     of_bidder = listed.filter("_context = 'tender'").groupBy("package", "_stem", F.col("_by").alias("contractor")).agg(F.min_by(F.struct("url"), "_ord").alias("_own"))
     first = listed.groupBy("package", "_stem").agg(F.min_by(F.struct("url"), F.struct(~F.col("_context").eqNullSafe("tender"), "_ord")).alias("_any"))
     joined = aimed.join(of_bidder, ["package", "_stem", "contractor"], "left").join(first, ["package", "_stem"], "left")

@@ -372,3 +372,18 @@ def fuzzy_passage_locate(spark, sf_dir):
     """Passages of the benchmark in the documents that share words with them."""
     passages = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
     return fuzzy.locate_passages(passages, load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def fuzzy_nearest_part(spark, sf_dir):
+    """Every customer's name and segment against the names of all parts."""
+    names = load(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_mktsegment", "c_name").alias("name"))
+    return fuzzy.nearest_names(names.distinct(), load(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Budget|technical' WHEN 1 THEN 'Budget|technical' WHEN 2 THEN 'Budget|technical' WHEN 3 THEN 'Budget|TECH' ELSE '' END AS keys, CASE WHEN c_custkey % 5 < 3 THEN c_mktsegment END AS value, c_custkey % 5 >= 3 AS failed FROM customer")
+def fuzzy_promote_key(spark, sf_dir):
+    """Maps with the key, with two misspelt ones, with one too far from it, and without any."""
+    forms = F.array(*(F.create_map(F.lit(k), F.col("c_mktsegment"), F.lit("Budget"), F.lit("9")) for k in ("technical", "tehcnical", "TECHNICALS", "TECH")), F.create_map().cast("map<string,string>"))
+    rows = load(spark, sf_dir, "customer").select("c_custkey", fuzzy.promote_key(F.element_at(forms, (F.col("c_custkey") % 5 + 1).cast("int")), "technical").alias("p"))
+    return rows.select("c_custkey", F.array_join(F.array_sort(F.map_keys("p.payload")), "|").alias("keys"), F.try_element_at("p.payload", F.lit("technical")).alias("value"), F.col("p.error").isNotNull().alias("failed"))

@@ -200,29 +200,6 @@ def test_html_entities(spark):
     assert spark.createDataFrame([(page,)], "x string").select(text.html_text(F.col("x"))).first()[0] == "Fish & chips €5 中 &lt; x<y"
 
 
-def test_nearest_names_against_brute_force(spark):
-    known = ["Argentina", "Brazil", "Tech_Specs_Final.pdf"]
-    names = ["BRAZIL", "Argntina", "tech specs final", "zzz", "Brasil!"]
-    got = {r.name: (r.best, r.score) for r in fuzzy.nearest_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(k,) for k in known], "name string")).collect()}
-    for n in names:
-        scored = max((100.0 if n.lower() == k.lower() else max(fuzzy.ratio(n.lower(), k.lower()), fuzzy.partial_ratio(n.lower(), k.lower()), fuzzy.token_sort_ratio(n.lower(), k.lower())), k) for k in known)
-        assert got[n] == (scored[1] if scored[0] >= 50 else None, scored[0])
-
-
-def test_passages_against_brute_force(spark):
-    rng = random.Random(7)
-    words = [f"w{i}" for i in range(200)]
-    docs = [(i, " ".join(rng.choices(words, k=80))) for i in range(12)]
-    passages = [(i, " ".join(docs[i][1].split()[10:30])) for i in (2, 5)] + [(7, " ".join(["x"] + docs[7][1].split()[40:55])), (9, "nothing like it at all")]
-    got = {r.passage_id: (r.doc_id, r.score) for r in fuzzy.locate_passages(spark.createDataFrame(passages, "passage_id int, passage string"), spark.createDataFrame(docs, "doc_id int, text string")).collect()}
-    want = {}
-    for p, t in passages:
-        score, doc = max((fuzzy.best_window(t, d.split())[0], -i) for i, d in docs)
-        if score >= 70:
-            want[p] = (-doc, score)
-    assert got == want
-
-
 def test_json_repair(spark):
     rows = [('{"a": 1}',), ('x {"a": 1} y',), ('{"a": [1, {"b": "c',), ("none",), (None,), ('{"a": "}"',)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(text.tolerant_json(F.col("x"))).collect()]

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyspark.functions import fuzzy, passages
 
 WORDS = ["the", "lazy", "dog", "sleeps", "here", "now", "cat", "fox;", "Jumps,", "over", "-", "été", "a", "of", "contract", "liability", "shall", "not", "exceed", "(amount)"]
@@ -77,3 +79,65 @@ def test_skipped_runs_lose_nothing():
         for accept in (30.0, 70.0, rng.uniform(40, 100)):
             scored = [(-s, i, a) for i, (_, t) in enumerate(docs) for s, a, _ in [fuzzy.best_window(text, t.split())] if s >= accept]
             assert passages.most_like(passage, held, accept) == ((-min(scored)[0], *min(scored)[1:]) if scored else None)
+
+
+def nearest(name, known):
+    key = lambda t: " ".join((t or "").translate({ord(c): '"' for c in "’‘'"}).lower().split())
+    equal = [k for k in known if k is not None and key(k) == key(name)]
+    return max(((fuzzy.name_score(key(name), key(k)), k) for k in equal or known if k is not None), default=(0.0, None))
+
+
+def misspelt(rng, name):
+    out = list(name)
+    for _ in range(rng.randint(0, 4)):
+        at = rng.randrange(len(out) + 1)
+        out[at : at + rng.randint(0, 2)] = rng.choice(["", "x", " ", "é", "'"])
+    return "".join(out)
+
+
+def names(seed, n):
+    rng = random.Random(seed)
+    known = sorted({" ".join(rng.choices(["Tech", "Offer", "final", "BOQ", "rev_2", "Doors", "été", "a", "site works"], k=rng.randint(1, 5))) + rng.choice([".pdf", "", ".xlsx"]) for _ in range(n)})
+    return known, sorted({misspelt(rng, rng.choice(known)) for _ in range(n)} | {"", "zzz", "’Tech’ OFFER"})
+
+
+@pytest.mark.parametrize("block", [10_000, 7])
+def test_nearest_names_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(fuzzy, "MOST_NAMES", block)
+    known, given = names(block, 60)
+    listed = spark.createDataFrame([(k,) for k in [*known, known[0], None]], "name string")
+    got = {r.name: (r.score, r.best, r.confidence) for r in fuzzy.nearest_names(spark.createDataFrame([(n,) for n in [*given, None]], "name string"), listed).collect()}
+    for n in given:
+        score, best = nearest(n, known)
+        assert got[n] == (score, best if score >= 50 else None, "high" if score >= 70 else "low" if score >= 50 else "none"), n
+    assert set(got) == {*given, None} and got[None][1:] == (None, "none")
+    assert {r.best for r in fuzzy.nearest_names(listed, listed.limit(0)).collect()} == {None}
+
+
+def test_nearest_names_of_one_group(spark, monkeypatch):
+    known, given = names(3, 40)
+    listed = spark.createDataFrame([(k, i % 3) for i, k in enumerate(known)], "name string, package int")
+    asked = spark.createDataFrame([(n, p) for n in given for p in (0, 1, 7)], "name string, package int")
+    got = {(r.name, r.package): (r.score, r.best) for r in fuzzy.nearest_names(asked, listed, by="package").collect()}
+    assert len(got) == 3 * len(given)
+    for (n, p), (score, best) in got.items():
+        want = nearest(n, [k for i, k in enumerate(known) if i % 3 == p])
+        assert score == want[0] and best == (want[1] if score >= 50 else None)
+    monkeypatch.setattr(fuzzy, "MOST_NAMES", 5)
+    with pytest.raises(Exception, match="more than 5 known names"):
+        fuzzy.nearest_names(asked, listed, by="package").collect()
+
+
+def test_customers_against_parts(spark):
+    sf = "/root/testdata/sf0.001"
+    known = [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct().collect()]
+    given = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select(F.concat_ws(" ", "c_mktsegment", "c_name")).distinct().limit(40).collect()]
+    listed = fuzzy.NameList([k.lower() for k in known], known)
+    assert all(listed.best(n.lower()) == nearest(n, known) for n in given)
+
+
+def test_promoted_keys(spark):
+    rows = [({"tehcnical": "a", "budget": "1"},), ({"technical": "b", "tehcnical": "c"},), ({"x": "d"},), (None,), ({"Technicals": "e", "techx": "f"},)]
+    got = [(r.p.payload, r.p.error) for r in spark.createDataFrame(rows, "m map<string,string>").select(fuzzy.promote_key(F.col("m"), "technical").alias("p")).collect()]
+    assert [g[0] for g in got] == [{"technical": "a", "budget": "1"}, rows[1][0], rows[2][0], None, {"technical": "e", "techx": "f"}]
+    assert [g[1] is None for g in got] == [True, True, False, False, True]
