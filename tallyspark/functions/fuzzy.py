@@ -118,7 +118,7 @@ def nearest_in_blocks(rest: DataFrame, listed: DataFrame) -> DataFrame:
     order = Window.orderBy("name")
     blocks = listed.withColumn("_block", F.floor((F.row_number().over(order) - 1) / MOST_NAMES))
     session = rest.sparkSession
-    out = rest.select("_key").distinct().repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "_key").withColumn("b", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("best")))
+    out = rest.select("_key").distinct().repartition(int(session.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_key")).withColumn("b", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("best")))
     for (block,) in blocks.select("_block").distinct().orderBy("_block").collect():
         rows = blocks.filter(F.col("_block") == block).select("_key", "name").collect()
         shared = session.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
