@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import chunking, compare, documents, registry, relational, summaries
+from . import chunking, compare, documents, nested, registry, relational, summaries
 from .register import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chunking", "compare", "documents", "registry", "relational", "summaries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunking", "compare", "documents", "nested", "registry", "relational", "summaries"]
