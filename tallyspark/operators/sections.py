@@ -76,3 +76,47 @@ def division_segments(lines: DataFrame, names: DataFrame) -> DataFrame:
     parts = held.withColumn("start", place).filter("start IS NOT NULL").groupBy("doc", "start").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))).alias("_lines"))
     text = stripped(F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"))
     return starts.join(parts.select("doc", "start", text.alias("text")), ["doc", "start"]).filter("text <> ''").select("doc", "name", "tier", "start", "stop", "text")
+
+
+# Division names that a sheet's head may hold, in the order that decides; how much of a sheet is its head;
+# what a given name looks like that is only a sheet's code; a bill's and a bare header's forms.
+KNOWN = (
+    "SITE WORK", "SITEWORK", "SITE WORKS", "CONCRETE WORK", "CONCRETE WORKS", "CONCRETEWORK", "MASONRY", "MASONRY WORK", "METALWORK", "METAL WORK", "STRUCTURAL STEEL",
+    "WOODWORK", "WOOD WORK", "CARPENTRY", "JOINERY", "THERMAL & MOISTURE PROTECTION", "THERMAL AND MOISTURE PROTECTION", "WATERPROOFING", "INSULATION",
+    "DOORS AND WINDOWS", "DOORS & WINDOWS", "WINDOWS AND DOORS", "FINISHES", "FINISHING", "FINISH WORK", "ACCESSORIES", "SPECIALTIES", "EQUIPMENT", "SPECIAL EQUIPMENT",
+    "CONVEYING SYSTEM", "CONVEYING SYSTEMS", "ELEVATORS", "LIFTS", "MECHANICAL ENGINEERING", "MECHANICAL WORKS", "HVAC", "PLUMBING",
+    "ELECTRICAL ENGINEERING", "ELECTRICAL WORKS", "ELECTRICAL", "ALTERNATIVE", "ALTERNATIVES", "PROVISIONAL SUMS", "EXTERNAL WORKS", "LANDSCAPING",
+)
+HEAD_CHARS = 2000
+CODE = r"(?i)^[\d#].*[-]|^Bill\s*\d+$"
+BILL_NAME = r"BILL\s*(?:NO\.?)?\s*\d+\s*[-–:]\s*([A-Z][A-Z\s&]+)"
+BARE_NAME = r"(?m)^([A-Z]{4,}(?:\s+[A-Z&]{2,})*)\s*$"
+
+
+def resolved_divisions(sheets: DataFrame, names: DataFrame) -> DataFrame:
+    """doc, division, tier: a name for each sheet (doc, sheet_name, text, given), by the first that there is: 1 the given
+    name, unless it is a code; 2 the summary's only name that the text holds; 3 a known name in the sheet's head; 4 a
+    bill's name there; 5 a line of capitals there; 6 the sheet's own name. But for the second, the name gives way to the
+    summary's first one that equals it, holds it or is held by it, whatever the case. Summary names are rows (doc, ord,
+    name), at most MOST_NAMES of a document; empty ones don't count, and a sheet may have none."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "name", F.upper("name").alias("key"))))
+    listed = F.when(F.count(F.lit(1)) > MOST_NAMES, F.raise_error(F.lit(f"more than {MOST_NAMES} names of one document"))).otherwise(listed)
+    own = names.filter("name <> ''").groupBy("doc").agg(listed.alias("_names"))
+    rows = sheets.join(own, "doc", "left").withColumn("_names", F.coalesce("_names", F.array().cast(dict(own.dtypes)["_names"])))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.withColumns({"_upper": F.upper(text), "_head": F.upper(F.substring(text, 1, HEAD_CHARS)), "_given": stripped(F.coalesce("given", F.lit("")))})
+    filled = lambda c: F.when(c != "", c)
+    held = F.filter("_names", lambda n: F.contains("_upper", n["key"]))
+    chain = F.array(
+        F.struct(F.lit(1).alias("tier"), F.when((F.col("_given") != "") & ~F.col("_given").rlike(CODE), F.col("_given")).alias("name")),
+        F.struct(F.lit(2).alias("tier"), F.when(F.size(held) == 1, F.get(held, F.lit(0))["name"]).alias("name")),
+        F.struct(F.lit(3).alias("tier"), F.get(F.filter(F.array(*map(F.lit, KNOWN)), lambda k: F.contains("_head", k)), F.lit(0)).alias("name")),
+        F.struct(F.lit(4).alias("tier"), filled(stripped(F.regexp_extract("_head", BILL_NAME, 1))).alias("name")),
+        F.struct(F.lit(5).alias("tier"), filled(stripped(F.regexp_extract("_head", BARE_NAME, 1))).alias("name")),
+        F.struct(F.lit(6).alias("tier"), F.coalesce("sheet_name", F.lit("")).alias("name")),
+    )
+    rows = rows.withColumn("_pick", F.get(F.filter(chain, lambda c: c["name"].isNotNull()), F.lit(0)))
+    key = stripped(F.upper(F.col("_pick.name")))
+    alike = F.get(F.filter("_names", lambda n: F.contains(n["key"], key) | F.contains(key, n["key"])), F.lit(0))["name"]
+    name = F.when((F.col("_pick.tier") == 2) | (F.col("_pick.name") == ""), F.col("_pick.name")).otherwise(F.coalesce(alike, F.col("_pick.name")))
+    return rows.select("doc", name.alias("division"), F.col("_pick.tier").alias("tier"))

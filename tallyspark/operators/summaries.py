@@ -73,6 +73,26 @@ def project_totals(lines: DataFrame) -> DataFrame:
     return stated.join(summed, "doc", "full").select("doc", total.alias("total")).filter("total IS NOT NULL")
 
 
+# Words of a summary's heads, and what leads to a project's name after a bill's mark.
+HEAD_WORDS = ("# COLUMNS", "ITEM_ID", "DESCRIPTION")
+LEADS = r"(?i)(?:FOR|OF)\s+(.{5,})"
+
+
+def project_names(lines: DataFrame) -> DataFrame:
+    """doc, project: the first line that tells something else than a head or one of the summary's divisions: of a line that
+    begins with a section's or bill's mark what follows FOR or OF, of others the text without its figures."""
+    bare = bare_line(F.coalesce("line", F.lit("")))
+    known = division_totals(lines).groupBy("doc").agg(F.collect_set(F.upper("division")).alias("_known"))
+    rows = lines.select("doc", "line_no", bare.alias("_line")).filter(F.length("_line") >= 4).join(known, "doc", "left")
+    upper = F.upper("_line")
+    other = F.exists(F.array(*map(F.lit, HEAD_WORDS)), lambda w: F.contains(upper, w)) | F.coalesce(F.exists("_known", lambda d: F.contains(upper, d)), F.lit(False))
+    marked = upper.startswith("SECTION") | upper.startswith("BILL")
+    text = F.trim(F.regexp_replace("_line", r"[\d,.|]+", ""))
+    name = F.when(marked, F.nullif(bare_line(F.regexp_extract("_line", LEADS, 1)), F.lit(""))).when(F.length(text) > 4, text)
+    told = rows.select("doc", "line_no", F.when(~other, name).alias("project")).filter("project IS NOT NULL")
+    return told.groupBy("doc").agg(F.min_by("project", "line_no").alias("project"))
+
+
 def division_names(lines: DataFrame) -> DataFrame:
     """doc, division: the names that a summary's marked lines give, each once whatever its case, as first written; where
     no line is marked, the known names that the text holds."""

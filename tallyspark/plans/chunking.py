@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
@@ -118,3 +118,18 @@ def ctx_reassembled(spark, sf_dir):
     back = budgets.reassembled(budgets.split_regions(marked_turns(spark, sf_dir)))
     joined = documents.joined_texts(back.select(F.col("ctx").alias("doc"), F.col("at").alias("ord"), "text"), "")
     return joined.join(back.groupBy(F.col("ctx").alias("doc")).agg(F.count(F.lit(1)).alias("parts")), "doc").select(F.col("doc").alias("ctx"), F.sha2("text", 256).alias("digest"), "parts")
+
+
+@query("""SELECT o_orderkey AS doc, CASE o_orderkey % 8 WHEN 0 THEN 'Beta ' || o_orderkey WHEN 1 THEN 'Alpha works' WHEN 2 THEN 'Masonry and more' WHEN 3 THEN 'STONE & ROOF' WHEN 4 THEN 'GROUND FLOOR' WHEN 5 THEN 'Beta ' || o_orderkey WHEN 6 THEN 'Sheet ' || o_orderkey ELSE 'SITEWORK' END AS division,
+ CASE o_orderkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 7 THEN 3 ELSE 6 END AS tier FROM orders""")
+def boq_resolved_divisions(spark, sf_dir):
+    """A sheet for each order, named in each of the six ways, two of them in two."""
+    key = F.col("o_orderkey").cast("string")
+    sheet = lambda text, given=None, name=None: F.struct((text if isinstance(text, Column) else F.lit(text).cast("string")).alias("text"), (given if given is not None else F.lit(None).cast("string")).alias("given"), (name if name is not None else F.lit("S")).alias("sheet_name"))
+    forms = F.array(
+        sheet("masonry", F.concat(F.lit(" beta "), key, F.lit(" "))), sheet("finishes and alpha works only", F.lit("bill 7")), sheet(F.concat(F.lit("ALPHA WORKS and beta "), key, F.lit(" then masonry"))),
+        sheet("Bill No. 3 - stone & roof\n7"), sheet("7 x\nGROUND FLOOR\n8"), sheet("12", name=F.lit("beta")), sheet(None, name=F.concat(F.lit("Sheet "), key)), sheet("the siteworks", F.lit("#1-2")),
+    )
+    own = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.inline(F.array(F.element_at(forms, (F.col("o_orderkey") % 8 + 1).cast("int")))))
+    names = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.posexplode(F.array(F.lit("Alpha works"), F.concat(F.lit("Beta "), key), F.lit("Masonry and more"))).alias("ord", "name"))
+    return sections.resolved_divisions(own, names)

@@ -52,3 +52,12 @@ def score_evidence_sources(spark, sf_dir):
     source = F.when(key % 5 == 0, "zz").when(key % 2 == 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(".DOCX"))).otherwise(F.concat(F.lit("_"), "n_name", F.lit(".pdf")))
     evidence = orders.select("o_orderkey", F.lit(1).alias("package"), F.element_at(F.array(F.lit("z"), F.lit("x"), F.lit("y")), (key % 3 + 1).cast("int")).alias("contractor"), source.alias("source"))
     return summaries.evidence_sources(evidence, docs).select("o_orderkey", "found")
+
+
+@query("SELECT o_orderkey AS doc, CASE o_orderkey % 3 WHEN 0 THEN 'Quantities for Tower ' || o_orderkey WHEN 1 THEN 'Project  of the  north' ELSE 'roof details' END AS project FROM orders")
+def boq_summary_project_name(spark, sf_dir):
+    """A head, a title of three kinds, a division, and texts."""
+    key = F.col("o_orderkey")
+    title = F.when(key % 3 == 0, F.concat(F.lit("| Bill of Quantities for Tower "), key.cast("string"), F.lit(" |"))).when(key % 3 == 1, F.concat(F.lit("Project "), key.cast("string"), F.lit(" of the | north 5."))).otherwise("Section Z")
+    shown = F.array(F.lit("Item_id | Description"), F.lit("7 |"), title, F.lit("Section A: Roof | 5"), F.lit("see section a: roof for more"), F.lit("roof details"), F.concat(F.lit("Second text "), F.col("o_custkey").cast("string")))
+    return summaries.project_names(load(spark, sf_dir, "orders").select(key.alias("doc"), F.posexplode(shown).alias("line_no", "line")))

@@ -240,6 +240,43 @@ def test_segments_against_a_plain_loop(spark):
     assert got == want and {t for s in want.values() for _, t, _ in s} == {1, 2, 3}
 
 
+def plain_resolved(sheet, text, given, names):
+    def summary(name):
+        for k in names:
+            if name and k and (name.upper().strip() in k.upper() or k.upper() in name.upper().strip()):
+                return k
+        return name
+
+    text, given = text or "", (given or "").strip()
+    if given and not re.match(sections.CODE, given):
+        return summary(given), 1
+    held = [k for k in names if k and k.upper() in text.upper()]
+    if len(held) == 1:
+        return held[0], 2
+    head = text[:2000].upper()
+    for known in sections.KNOWN:
+        if known in head:
+            return summary(known), 3
+    if m := re.search(sections.BILL_NAME, head):
+        return summary(m[1].strip()), 4
+    if m := re.search(sections.BARE_NAME, head):
+        return summary(m[1].strip()), 5
+    return summary(sheet or ""), 6
+
+
+def test_resolved_divisions_against_a_plain_chain(spark):
+    rng = random.Random(8)
+    parts = ["Alpha works", "beta", "Masonry", "site work", "Bill 4: roofs & more", "GROUND FLOOR", "12 | 5", "Lifts", "x", "\n", "\n", "  "]
+    sheets = [(i, rng.choice(["S1", "beta", "", None]), rng.choice([None, "", "x" * 2000 + "masonry"]) if rng.random() < 0.2 else "".join(rng.choices(parts, k=rng.randint(0, 5))), rng.choice([None, None, "", " beta ", "Bill 7", "#1-x", "1 - a", "Roofs"])) for i in range(250)]
+    names = {i: rng.sample(["Alpha", "BETA", "beta two", "Roofs & more", "ground floor", "", "Masonry works"], rng.randint(0, 4)) for i in range(250)}
+    df = spark.createDataFrame([(*s, 1) for s in sheets], "doc int, sheet_name string, text string, given string, tier int")
+    listed = spark.createDataFrame([(i, k, n) for i, ns in names.items() for k, n in enumerate(ns)], "doc int, ord int, name string")
+    got = {r.doc: (r.division, r.tier) for r in sections.resolved_divisions(df.drop("tier"), listed).collect()}
+    want = {i: plain_resolved(s, t, g, names[i]) for i, s, t, g in sheets}
+    assert got == want and {t for _, t in want.values()} == {1, 2, 3, 4, 5, 6}
+    assert sections.resolved_divisions(df.limit(0).drop("tier"), listed).collect() == []
+
+
 def test_long_lists_and_nulls(spark, monkeypatch):
     lines = spark.createDataFrame([(1, 0, "Roof"), (1, 1, None), (1, 2, "Doors")], "doc int, line_no int, line string")
     names = spark.createDataFrame([(1, 0, "roof"), (1, 1, None), (1, 2, "doors")], "doc int, ord int, name string")
