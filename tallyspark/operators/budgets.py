@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tallyspark.functions.cutting import budget_cuts, counted_cuts, prefix_chunks
-from tallyspark.operators.documents import close_tag, open_tag, packed, parse_documents
+from tallyspark.operators.documents import close_tag, hard_cap, open_tag, packed, parse_documents
+from tallyspark.sources.scratch import written
 
 MEDIA_TOKENS = 512
 
@@ -70,7 +71,7 @@ def count_chunks(parts: DataFrame, most: int, count: Callable[[list[str | None]]
     return parts.select("ctx", "ord", "text").groupBy("ctx").applyInPandas(chunked, f"ctx {kind['ctx']}, ord {kind['ord']}, chunk int")
 
 
-def summary_plan(docs: DataFrame, target: int, least: int, ceiling: int = 0, batch: int = 50_000, alone: float = 0.8, together: float = 0.7) -> DataFrame:
+def summary_plan(docs: DataFrame, target: int | Column, least: int | Column, ceiling: int | Column = 0, batch: int = 50_000, alone: float = 0.8, together: float = 0.7) -> DataFrame:
     """ctx, doc, tokens, kind, batch: what to summarise so that a context's tokens come down to the target. Documents with
     a summary (`cached`, its tokens) count by that and stay.
 
@@ -82,7 +83,8 @@ def summary_plan(docs: DataFrame, target: int, least: int, ceiling: int = 0, bat
     before = largest.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
     counted = F.when(F.col("cached").isNotNull(), F.greatest("cached", F.lit(1))).otherwise(F.col("tokens"))
-    forced = F.lit(ceiling > 0) & (F.col("tokens") > ceiling)
+    target, least, ceiling = (x if isinstance(x, Column) else F.lit(x) for x in (target, least, ceiling))
+    forced = (ceiling > 0) & (F.col("tokens") > ceiling)
     rows = docs.withColumn("_excess", F.sum(counted).over(context) - target)
     rows = rows.filter((F.col("_excess") > 0) & F.col("cached").isNull()).withColumns({"_forced": forced, "_large": forced | (F.col("tokens") >= least)})
     saves = F.when(F.col("_large"), F.floor(F.col("tokens") * alone)).otherwise(0)
@@ -97,6 +99,75 @@ def summary_plan(docs: DataFrame, target: int, least: int, ceiling: int = 0, bat
     return chosen.unionByName(dealt.join(kept, ["ctx", "batch"]).select("ctx", "doc", "tokens", F.lit("batch").alias("kind"), "batch"))
 
 
+# The settings below which passes don't go, and those of the emergency.
+LEAST_CHUNK, LEAST_SUMMARY, LEAST_CEILING, LEAST_SINGLE = 30_000, 3_000, 10_000, 1_000
+
+
+def summarised(tokens: Column, kind: Column, summary: Column) -> Column:
+    """What a document is expected to take once it is summarised: a fifth alone, at most the summary's size, 3 tenths in a
+    batch."""
+    alone = F.least(F.floor(tokens * 0.2).cast("long"), summary)
+    return F.least(tokens, F.greatest(F.lit(1), F.when(kind == "batch", F.floor(tokens * 0.3).cast("long")).otherwise(alone)))
+
+
+def squeezed(
+    docs: DataFrame, target: int, hard: int, chunk: int = 500_000, summary: int = 8_000, ceiling: int = 0, batch: int = 50_000, passes: int = 10, stall: float = 0.03, placeholder: int = 12, shrink: Callable[[Column, Column, Column], Column] = summarised
+) -> DataFrame:
+    """ctx, ord, doc, tokens, passes, outcome: the documents of each context brought to the target in passes that plan,
+    summarise and count again, with settings that tighten by how far the context is over. Outcomes: `fits` the target;
+    `hard`, under the hard limit when a pass from the third on saves less than `stall`, or when the passes are used up, of
+    which the last aims at the hard limit; `emergency`, after one more pass with the least settings; `capped`, where the
+    largest savings give way to placeholders of `placeholder` tokens. `shrink` estimates a document's tokens after a pass
+    from its tokens, its kind in the plan and the summary's size; a context keeps its best pass.
+
+    All contexts go through a pass together, those that are done aside; a pass ends with a checkpoint, so plans don't grow
+    and a lost executor costs no earlier pass. There are `passes` + 2 at most, whatever the table."""
+    context = Window.partitionBy("ctx")
+    total = lambda c="tokens": F.sum(c).over(context)
+    kept = [*docs.select("ctx", "ord", "doc", "tokens").columns, "best", "first", "chunk", "summary", "ceiling", "passes", "outcome"]
+
+    def tightened(rows: DataFrame, step: int) -> DataFrame:
+        over = F.col("_total") / F.lit(max(1, target))
+        factor = F.greatest(F.lit(0.05), 1.0 / F.greatest(F.lit(1.0), over) * F.lit(0.7 ** (step - 1)))
+        scaled = lambda of, least: F.greatest(F.lit(least), F.floor(of * factor)).cast("long")
+        return rows.withColumns({"chunk": scaled(F.lit(chunk), LEAST_CHUNK), "summary": scaled(F.lit(summary), LEAST_SUMMARY), "ceiling": F.when(F.col("ceiling") > 0, scaled(F.col("ceiling"), LEAST_CEILING)).otherwise(F.col("ceiling"))})
+
+    def compressed(rows: DataFrame, goal: int) -> DataFrame:
+        """The rows with their tokens after a pass, and `_total` as it was before."""
+        least = F.greatest(F.lit(LEAST_SINGLE), F.floor(F.col("chunk") / 100))
+        plan = summary_plan(rows.withColumn("cached", F.lit(None).cast("long")), goal, least, F.col("ceiling"), batch).select("ctx", "doc", "kind")
+        joined = rows.join(plan, ["ctx", "doc"], "left")
+        return joined.withColumn("tokens", F.when(F.col("kind").isNotNull(), shrink(F.col("tokens"), F.col("kind"), F.col("summary"))).otherwise(F.col("tokens")).cast("long")).drop("kind")
+
+    start = docs.select("ctx", "ord", "doc", F.col("tokens").cast("long").alias("tokens"), F.col("tokens").cast("long").alias("best"))
+    settings = {"chunk": F.lit(chunk).cast("long"), "summary": F.lit(summary).cast("long"), "ceiling": F.lit(ceiling).cast("long"), "passes": F.lit(0), "first": total()}
+    state = start.withColumns(settings).withColumn("outcome", F.when(F.col("first") <= target, "fits"))
+    for step in range(1, passes + 1):
+        rows = state.filter("outcome IS NULL").withColumn("_total", total())
+        if step > 1:
+            rows = tightened(rows, step)
+        else:
+            far = F.col("_total") > 5.0 * max(1, target)
+            hurried = tightened(rows, 1)
+            rows = rows.filter(~far).unionByName(hurried.filter(far))
+        rows = compressed(rows, hard if step == passes else target).withColumns({"_after": total(), "_best": total("best")})
+        rows = rows.withColumns({"best": F.when(F.col("_after") < F.col("_best"), F.col("tokens")).otherwise(F.col("best")), "passes": F.lit(step)})
+        stalls = F.lit(step >= 3) & (1 - F.col("_after") / F.greatest(F.col("_total"), F.lit(1)) < stall)
+        ends = F.when(F.col("_after") <= target, "fits").when(stalls | F.lit(step == passes), F.when(F.least("_after", "_best") <= hard, "hard").otherwise("over"))
+        state = written(state.filter("outcome IS NOT NULL").select(kept).unionByName(rows.withColumn("outcome", ends).select(kept)))
+        if state.filter("outcome IS NULL").isEmpty():
+            break
+    # where the target is met the pass counts as it is, else the best one
+    state = state.withColumn("tokens", F.when(F.col("outcome") == "fits", F.col("tokens")).otherwise(F.col("best")))
+    over = state.filter("outcome = 'over'").withColumns({"_total": total(), "chunk": F.lit(LEAST_CHUNK).cast("long"), "summary": F.lit(LEAST_SUMMARY).cast("long"), "ceiling": F.lit(max(LEAST_CEILING, ceiling)).cast("long")})
+    last = compressed(over, hard).withColumn("_after", total())
+    last = last.withColumn("tokens", F.when(F.col("_after") < F.col("_total"), F.col("tokens")).otherwise(F.col("best")))
+    last = written(last.withColumn("outcome", F.when(total() <= hard, "emergency").otherwise("capped")).select(kept))
+    capped = hard_cap(last.filter("outcome = 'capped'").select("ctx", "ord", "doc", "tokens"), hard, placeholder).select("ctx", "doc", F.lit(True).alias("_gone"))
+    last = last.join(capped, ["ctx", "doc"], "left").withColumn("tokens", F.when(F.col("_gone"), F.lit(placeholder).cast("long")).otherwise(F.col("tokens")))
+    return state.filter("outcome <> 'over'").select(kept).unionByName(last.select(kept)).select("ctx", "ord", "doc", "tokens", "passes", "outcome")
+
+
 def split_regions(parts: DataFrame, begin: tuple[str, ...] = BEGIN_MARKS, end: str = END_MARK) -> DataFrame:
     """Parts with `region` (prefix, context, suffix) and `piece`. The context begins with the first part that holds a mark
     of its beginning and ends with the first one after it that holds the mark of its end, or else with the parts; parts

@@ -92,6 +92,19 @@ def txt_summary_plan(spark, sf_dir):
     return budgets.summary_plan(rows, 150, 90, ceiling=200, batch=100)
 
 
+def shrinks_badly(tokens: Column, kind: Column, summary: Column) -> Column:
+    """Summaries of long documents that save only a hundredth."""
+    return F.when(tokens > 25_000, F.floor(tokens * 0.99).cast("long")).otherwise(budgets.summarised(tokens, kind, summary))
+
+
+@query()
+def ctx_squeezed(spark, sf_dir):
+    """The lines of each order as documents of up to 50,000 tokens, brought to 40,000, or at least to 60,000."""
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    docs = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ctx"), at.alias("ord"), (F.col("l_quantity").cast("int") * 1000 + F.col("l_partkey") % 7).alias("tokens")).withColumn("doc", F.col("ord"))
+    return budgets.squeezed(docs, 40_000, 60_000, ceiling=30_000, shrink=shrinks_badly)
+
+
 def marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as parts. In two of three the second turn begins the context and the fourth ends it; in one
     of three there is no mark. A conversation of one turn that begins a context holds the mark within its text."""

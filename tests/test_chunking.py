@@ -153,6 +153,76 @@ def test_summary_plan_against_a_plain_loop(spark):
     assert budgets.summary_plan(df.limit(0), 1, 1).collect() == []
 
 
+def plain_squeeze(docs, target, hard, chunk, summary, ceiling, batch, passes, stall, placeholder, shrink):
+    """docs: [(ord, name, tokens)]."""
+    total = lambda ds: sum(t for _, _, t in ds)
+
+    def tighten(now, step, over):
+        f = max(0.05, 1.0 / max(1.0, over) * 0.7 ** (step - 1))
+        return max(30_000, int(chunk * f)), max(3_000, int(summary * f)), max(10_000, int(now[2] * f)) if now[2] > 0 else now[2]
+
+    def compress(ds, goal, now):
+        plan = {name: kind for name, kind, _ in plain_plan([(*d, None) for d in ds], goal, max(1000, now[0] // 100), now[2], batch)}
+        return [(o, n, shrink(t, plan[n], now[1]) if n in plan else t) for o, n, t in ds]
+
+    if total(docs) <= target:
+        return docs, 0, "fits"
+    now, best, last = (chunk, summary, ceiling), docs, docs
+    if total(docs) / target > 5:
+        now = tighten(now, 1, total(docs) / target)
+    for step in range(1, passes + 1):
+        before = total(last)
+        if step > 1:
+            now = tighten(now, step, before / target)
+        last = compress(last, hard if step == passes else target, now)
+        if total(last) < total(best):
+            best = last
+        if total(last) <= target:
+            return last, step, "fits"
+        if step >= 3 and 1 - total(last) / max(1, before) < stall:
+            break
+    if total(best) <= hard:
+        return best, step, "hard"
+    urgent = compress(best, hard, (30_000, 3_000, max(10_000, ceiling)))
+    if total(urgent) < total(best):
+        best = urgent
+    if total(best) <= hard:
+        return best, step, "emergency"
+    left = total(best)
+    out = {n: t for _, n, t in best}
+    for o, n, t in sorted(best, key=lambda d: (-max(0, d[2] - placeholder), -d[2], -d[0])):
+        if left <= hard or t <= placeholder:
+            break
+        out[n], left = placeholder, left - (t - placeholder)
+    return [(o, n, out[n]) for o, n, _ in best], step, "capped"
+
+
+@pytest.mark.parametrize("setting", [dict(target=40_000, hard=60_000, ceiling=30_000), dict(target=9_000, hard=12_000, ceiling=0, passes=3), dict(target=30_000, hard=31_000, ceiling=20_000, passes=5, stall=0.2)])
+def test_squeeze_against_a_plain_loop(spark, setting):
+    rng = random.Random(setting["target"])
+    setting = dict(chunk=500_000, summary=8_000, batch=20_000, passes=10, stall=0.03, placeholder=12) | setting
+    docs = [(c, o, f"d{o}", rng.choice([40, 700, 3_000, 9_999, 15_000, 28_000, 50_000]) + rng.randint(0, 50)) for c in range(40) for o in range(rng.randint(1, 9))]
+
+    def shrink(tokens, kind, summary):
+        if tokens > 12_000:
+            return int(tokens * 0.99)
+        return min(tokens, max(1, int(tokens * 0.3) if kind == "batch" else min(int(tokens * 0.2), summary)))
+
+    def column(tokens, kind, summary):
+        return F.when(tokens > 12_000, F.floor(tokens * 0.99).cast("long")).otherwise(budgets.summarised(tokens, kind, summary))
+
+    got = {}
+    for r in budgets.squeezed(spark.createDataFrame(docs, "ctx int, ord int, doc string, tokens int"), shrink=column, **setting).collect():
+        got.setdefault(r.ctx, (set(), r.passes, r.outcome))[0].add((r.ord, r.doc, r.tokens))
+    want = {}
+    for c in range(40):
+        rows, step, outcome = plain_squeeze([d[1:] for d in docs if d[0] == c], shrink=shrink, **setting)
+        want[c] = (set(rows), step, outcome)
+    assert got == want
+    assert {"fits", "capped"} <= {o for _, _, o in want.values()}
+    assert setting["target"] != 40_000 or "hard" in {o for _, _, o in want.values()}
+
+
 A, B, END = *budgets.BEGIN_MARKS, budgets.END_MARK
 
 
