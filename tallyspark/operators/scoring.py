@@ -102,17 +102,27 @@ def zero_flags(rows: DataFrame) -> DataFrame:
     return rows.groupBy("contractor").agg(share.alias("zero_share"), (share > 0.5).alias("flagged"))
 
 
+#: Criteria of one evaluation; more are an error.
+MOST_CRITERIA = 10_000
+
+
+def answer_grid(rows: DataFrame, *criterion: str) -> DataFrame:
+    """Each contractor with each criterion that anybody answers. The criteria are counted before they go to every task;
+    ValueError where they are too many for one evaluation."""
+    criteria = rows.select(*criterion).distinct()
+    if criteria.limit(MOST_CRITERIA + 1).count() > MOST_CRITERIA:
+        raise ValueError(f"more than {MOST_CRITERIA} criteria")
+    return rows.select("contractor").distinct().crossJoin(F.broadcast(criteria))
+
+
 def approvals(rows: DataFrame, least: float) -> DataFrame:
     """Share of the whole contractor x criterion grid that reaches a score, rounded half up to whole percent."""
-    criteria = rows.select("scope", "criterion").distinct()
-    grid = rows.select("contractor").distinct().crossJoin(criteria)
-    joined = grid.join(rows, ["contractor", "scope", "criterion"], "left")
+    joined = answer_grid(rows, "scope", "criterion").join(rows, ["contractor", "scope", "criterion"], "left")
     return joined.groupBy("contractor").agg(F.floor(F.count_if(F.col("score") >= least) / F.count("*") * 100 + 0.5).cast("long").alias("approved_pct"))
 
 
 def missing_scores(rows: DataFrame) -> DataFrame:
-    criteria = rows.select("scope", "criterion").distinct()
-    return rows.select("contractor").distinct().crossJoin(criteria).join(rows, ["contractor", "scope", "criterion"], "left_anti")
+    return answer_grid(rows, "scope", "criterion").join(rows, ["contractor", "scope", "criterion"], "left_anti")
 
 
 def normalize_weights(weights: Column, step: float = 0.5, least: float = 1.0) -> Column:
@@ -149,9 +159,7 @@ def normalized_rubrics(rows: DataFrame) -> DataFrame:
 
 def weighted_totals(rows: DataFrame) -> DataFrame:
     """Each contractor's sum of score x weight / 100 over all criteria; a missing score counts 0."""
-    criteria = rows.select("scope", "criterion", "weight").distinct()
-    grid = rows.select("contractor").distinct().join(criteria)
-    scored = grid.join(rows.select("contractor", "scope", "criterion", "score"), ["contractor", "scope", "criterion"], "left")
+    scored = answer_grid(rows, "scope", "criterion", "weight").join(rows.select("contractor", "scope", "criterion", "score"), ["contractor", "scope", "criterion"], "left")
     return scored.groupBy("contractor").agg(exact_sum(F.coalesce("score", F.lit(0.0)) * F.col("weight") / 100).alias("total"))
 
 
