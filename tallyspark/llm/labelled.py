@@ -16,7 +16,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = marked.filter(id_remainder("doc_id", modulus) != held_out).withColumn("mark", F.xxhash64("doc_id"))
     chosen = known.orderBy("mark", "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(chosen, "doc_id")
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     once = rows.groupBy("doc_id", "label", "mark").agg(F.min("text").alias("text"))
     return once.select("mark", F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"), F.pmod(F.shiftright("mark", 7), F.lit(10)).cast("int").alias("part"))
 

@@ -2,9 +2,10 @@
 
 Features: densities of a lexicon (a short fixed list, and words and word beginnings that the training labels mark),
 how near its words stand to second-person words, rates of capitals, punctuation, obfuscated and stretched words.
-The lexicon, the trees and the calibration are learned from three different parts of a bounded sample of training
-rows (`FIT_ROWS`); every document is scored over its whole text. Where the part for the calibration lacks one of the
-labels, the calibration is fitted on the trees' part as well.
+All of it is learned from a bounded sample of training rows (`FIT_ROWS`) by cross-fitting, so that few labels go as far
+as they can: a row's features come from the lexicon of the other folds, the trees learn from these, and the calibration
+from margins of trees that haven't seen the row's fold; the lexicon that scores is that of all folds. Every document is
+scored over its whole text.
 
 Rows: a null or empty text has all features 0 and is scored like any other; a null id isn't held out; repeated rows are
 scored each; without training rows of both labels every score is the share of label 1 (0 if there is none). Only
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ddl_of, discard, free_name, map_rows, materialize, small_batches
@@ -25,6 +26,8 @@ from .labelled import held_out_flag, training_rows
 FIT_ROWS = 20_000
 #: Most terms of a learned lexicon.
 LEXICON = 500
+#: Folds of the cross-fitting, and standard errors by which a term's log-odds must differ from 0.
+FOLDS, SURE = 5, 2.0
 THRESHOLD = 0.7
 CACHE = 200_000
 
@@ -49,27 +52,41 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, int]:
-    """Terms that stand in far more documents of label 1: STRONG or MILD by log-odds. One count per document."""
+def learn_lexicons(rows: DataFrame, most: int = LEXICON) -> list[dict[str, int]]:
+    """Terms that stand in far more documents of label 1, STRONG or MILD by log-odds: for each fold those of all other
+    folds, and last those of all rows. One count per document; a term must be told from chance (`SURE` standard errors)."""
 
     def make():
         def each(columns):
             terms = [sorted({t for w in set(WORD(text.lower())) if len(w) > 2 for t in terms_of(w)}) for text in columns["text"].to_pylist()]
-            return {"label": columns["label"], "terms": terms}
+            return {"label": columns["label"], "fold": columns["fold"], "terms": terms}
 
         return each
 
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = totals.get(1, 0), totals.get(0, 0)
-    lexicon = dict.fromkeys(INSULTS, STRONG)
-    if ones and zeros:
-        counted = map_rows(rows.select("text", "label"), "label int, terms array<string>", make).select("label", F.explode("terms").alias("term"))
-        counted = counted.groupBy("term").agg(F.sum("label").alias("ones"), F.count("*").alias("all"))
-        odds = F.log((F.col("ones") + 0.5) / (ones + 1.0)) - F.log((F.col("all") - F.col("ones") + 0.5) / (zeros + 1.0))
-        found = counted.filter(F.col("ones") >= max(4, ones // 100)).withColumn("odds", odds).filter(F.col("odds") > 1.5)
-        for r in found.orderBy(F.desc("odds"), "term").limit(most).collect():
-            lexicon[r["term"]] = STRONG if r["odds"] > 3.5 else MILD
-    return lexicon
+    lexicons = [dict.fromkeys(INSULTS, STRONG) for _ in range(FOLDS + 1)]
+    totals = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    views = []
+    for left_out in range(FOLDS + 1):
+        views.append(tuple(sum(n for (fold, label), n in totals.items() if fold != left_out and label == which) for which in (1, 0)))
+    if not all(ones and zeros for ones, zeros in views):
+        return lexicons
+    counted = map_rows(rows.select("text", "label", "fold"), "label int, fold int, terms array<string>", make).select("label", "fold", F.explode("terms").alias("term"))
+    per_fold = [F.sum(F.when(F.col("fold") == k, which).otherwise(0)).alias(f"{name}{k}") for k in range(FOLDS) for name, which in (("ones", F.col("label")), ("all", F.lit(1)))]
+    counted = counted.groupBy("term").agg(F.sum("label").alias("ones"), F.count("*").alias("all"), *per_fold).filter("ones > 1")
+
+    def view(left_out: int):
+        """(fold left out, ones, zeros of the others)"""
+        ones, every = (F.col(c) if left_out == FOLDS else F.col(c) - F.col(f"{c}{left_out}") for c in ("ones", "all"))
+        return F.struct(F.lit(left_out).alias("left_out"), ones.alias("one"), (every - ones).alias("zero"), F.lit(views[left_out][0]).alias("ones"), F.lit(views[left_out][1]).alias("zeros"))
+
+    seen = counted.select("term", F.explode(F.array(*map(view, range(FOLDS + 1)))).alias("v")).select("term", "v.*")
+    odds = F.log((F.col("one") + 0.5) / (F.col("ones") + 1.0)) - F.log((F.col("zero") + 0.5) / (F.col("zeros") + 1.0))
+    error = F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))
+    found = seen.filter((F.col("one") > 1) & (F.col("one") * 100 >= F.col("ones"))).withColumn("odds", odds).filter((F.col("odds") > 1.5) & (F.col("odds") > SURE * error))
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("left_out").orderBy(F.desc(F.col("odds") / error), "term"))).filter(F.col("rank") <= most)
+    for r in best.select("left_out", "term", "odds").collect():  # at most `most` for each lexicon
+        lexicons[r["left_out"]][r["term"]] = STRONG if r["odds"] > 3.5 else MILD
+    return lexicons
 
 
 class Featurizer(dict):
@@ -209,31 +226,33 @@ class Toxicity:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, most: int = FIT_ROWS) -> Toxicity:
-    rows = materialize(training_rows(docs, labels, "toxic", modulus, held_out, most), "toxicity-rows")
-    lexicon = learn_lexicon(rows.filter("part < 4"))
+    rows = training_rows(docs, labels, "toxic", modulus, held_out, most).withColumn("fold", (F.col("part") % FOLDS).cast("int"))
+    rows = materialize(rows.drop("part"), "toxicity-rows")
+    lexicons = learn_lexicons(rows)
 
     def make():
-        own = Featurizer(lexicon)
+        own = [Featurizer(lexicon) for lexicon in lexicons[:FOLDS]]
 
         def each(columns):
-            return {c: columns[c] for c in ("mark", "doc_id", "label", "part")} | {"x": [own.row(t).tolist() for t in columns["text"].to_pylist()]}
+            x = [own[fold].row(t).tolist() for t, fold in zip(columns["text"].to_pylist(), columns["fold"].to_pylist())]
+            return {c: columns[c] for c in ("mark", "doc_id", "label", "fold")} | {"x": x}
 
         return each
 
     # at most `most` rows of features
-    got = map_rows(rows.filter("part >= 4").select("mark", "doc_id", "text", "label", "part"), "mark long, doc_id long, label int, part int, x array<double>", make).toArrow()
+    got = map_rows(rows.select("mark", "doc_id", "text", "label", "fold"), "mark long, doc_id long, label int, fold int, x array<double>", make).toArrow()
     discard(rows)
     got = got.sort_by([("mark", "ascending"), ("doc_id", "ascending")])
-    y, part = got.column("label").to_numpy().astype(float), got.column("part").to_numpy()
+    y, fold = got.column("label").to_numpy().astype(float), got.column("fold").to_numpy()
     x = np.array(got.column("x").to_pylist()).reshape(len(y), len(FEATURES))
-    learn, check = part < 8, part >= 8
     prior = float(y.mean()) if len(y) else 0.0
-    if len(set(y[learn])) < 2:
-        return Toxicity(lexicon, None, None, prior)
-    trees = Boosted().fit(x[learn], y[learn])
-    if len(set(y[check])) < 2:
-        check = learn | check
-    return Toxicity(lexicon, trees, isotonic(trees.margin(x[check]), y[check]), prior)
+    if len(set(y)) < 2:
+        return Toxicity(lexicons[-1], None, None, prior)
+    trees, margin = Boosted().fit(x, y), np.zeros(len(y))
+    for k in sorted(set(fold.tolist())):
+        others = fold != k
+        margin[~others] = (Boosted().fit(x[others], y[others]) if others.any() else trees).margin(x[~others])
+    return Toxicity(lexicons[-1], trees, isotonic(margin, y), prior)
 
 
 def scorer(model: Toxicity, score: str):

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tallyspark.llm import subword, toxicity
+from tallyspark.llm.common import table
 
 
 def corpus(n=700):
@@ -212,3 +213,28 @@ def test_isotonic_rises():
 def test_features_of_obfuscated_words():
     row = dict(zip(toxicity.FEATURES, toxicity.Featurizer({"idiot": toxicity.STRONG}).row("you are an 1d1ot, id1ot! idiot")))
     assert row["strong"] > 0 and row["near_person"] > 0 and row["obfuscated_hits"] > 0
+
+
+def auc(scores, truth):
+    """The share of pairs of a row of label 1 and one of label 0 that the scores put in order; ties count half."""
+    ones, zeros = ([s for s, t in zip(scores, truth) if t == which] for which in (1, 0))
+    return np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    assert labels.filter("toxic IS NOT NULL").count() < 500
+    got = toxicity.score_documents(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels, "doc_id").filter("toxic IS NOT NULL").select("score", "toxic", "predicted").collect()
+    assert auc([r.score for r in got], [r.toxic for r in got]) >= 0.9
+    assert not [r for r in got if r.predicted > r.toxic]
+
+
+def test_lexicons_leave_their_fold_out(spark):
+    rows = [(f"plain words number{i % 7} " + ("grumbo" if i % 4 == 0 else "") + (f" only{i % 5}" if i % 4 == 0 else ""), int(i % 4 == 0), i % 5) for i in range(200)]
+    lexicons = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"))
+    assert all("grumbo" in lexicon and "plain" not in lexicon and "number1" not in lexicon for lexicon in lexicons)
+    for fold in range(5):
+        assert [f"only{k}" in lexicons[fold] for k in range(5)] == [k != fold for k in range(5)]
+    assert all(f"only{k}" in lexicons[-1] for k in range(5))
+    few = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"), 1)
+    assert all(len(lexicon) <= len(toxicity.INSULTS) + 1 for lexicon in few)
