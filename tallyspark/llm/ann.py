@@ -4,7 +4,9 @@ Centroids, codebooks and the share of the lists that a query probes are fitted o
 of it trains, and on the other half the share is taken at which `COVERED` of the true neighbours lie in the probed lists.
 Every vector is indexed. A query probes the lists whose centroids have the largest inner products with it, ranks their
 members by asymmetric distance tables, and the best are ranked again by the exact double-precision inner product on the
-original vectors.
+original vectors. An exact check follows: how far a vector lies from what its codes say bounds its product, and so do a
+list's radius and longest vector those of the list. Members and lists that these bounds don't rule out are compared with
+the query too, so no row is missed, whatever the rows are; the sample only decides how much is left to the check.
 
 Neighbouring lists are gathered into blocks of at most `BLOCK_ROWS` members, and a longer list is dealt over several
 blocks; queries are dealt over parts of about `GROUP_QUERIES`. A task's group is one block of members and one part of
@@ -39,8 +41,10 @@ COVERED = 0.955
 MEASURED = 512
 #: A query's lists hold at least so many rows.
 LEAST_ROWS = 800
-#: How many of a block's candidates are ranked exactly, per query.
+#: How many of a block's candidates are ranked exactly, per query, before the others are held against the last of them.
 RERANK = 200
+#: What single-precision sums may be off, as a part of the lengths, and pairs whose products are taken at once.
+SLACK, PAIRS = 1e-5, 65_536
 BLOCK_ROWS = 8_192
 #: Queries of one group, and of one slice of it for which distance tables are held.
 GROUP_QUERIES = 8_192
@@ -80,6 +84,7 @@ class Index:
         self.edges = np.linspace(0, sample.shape[1], parts + 1).astype(int)
         codes = min(CODES, len(train))
         self.books = [kmeans(np.ascontiguousarray(residual[:, a:b]), codes, 6) for a, b in zip(self.edges, self.edges[1:])]
+        self.reach = float(np.sqrt((self.centers**2).sum(1)).max(initial=0) + np.sqrt(sum((b**2).sum(1).max(initial=0) for b in self.books)))
         self.share = self.measure(held, k)
 
     def measure(self, held: np.ndarray, k: int) -> float:
@@ -102,16 +107,23 @@ class Index:
             reached.append(np.take_along_axis(upto, np.take_along_axis(place, at[true], 1), 1).ravel())
         return float(np.quantile(np.concatenate(reached), COVERED) / len(held))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's list and codes, its distance from the list's centroid, and from what list and codes say."""
         at = nearest(x, self.centers)
         residual = x - self.centers[at]
-        return at, np.stack([nearest(residual[:, a:b], book) for book, a, b in zip(self.books, self.edges, self.edges[1:])], 1).astype(np.uint8)
+        codes = np.stack([nearest(residual[:, a:b], book) for book, a, b in zip(self.books, self.edges, self.edges[1:])], 1).astype(np.uint8)
+        left = residual - np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
+        return at, codes, lengths(residual), lengths(left)
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Inner products of each query's parts with each code."""
         return [(q[:, a:b] @ book.T).astype(np.float32) for book, a, b in zip(self.books, self.edges, self.edges[1:])]
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(1))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array<double>) of the rows that take part."""
     whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -150,34 +162,52 @@ def lay_out(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, number
 
 
-def best_of_block(index: Index, ids: np.ndarray, v: np.ndarray, lists: np.ndarray, codes: np.ndarray, own: np.ndarray, q: np.ndarray, probes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, member and exact product of each query's `k` best in a block whose members are sorted by (list, id).
-    `probes` says for each query which of the block's lists it probes."""
+def approximate(index: Index, ids: np.ndarray, v: np.ndarray, lists: np.ndarray, codes: np.ndarray, off: np.ndarray, q: np.ndarray, open_: np.ndarray, k: int) -> np.ndarray:
+    """Which of a block's open members (sorted by list) may be among each query's `k` best, by distance tables: the exact
+    products of those that look best rule out all whose bound is lower."""
     names, starts = np.unique(lists, return_index=True)
-    near = np.full((len(q), len(ids)), -np.inf, np.float32)
+    near = np.full((len(q), len(v)), -np.inf, np.float32)
     tables, coarse = index.tables(q), (q @ index.centers[names].T).astype(np.float32)
-    for at, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(ids)])):
-        rows = np.flatnonzero(probes[:, at])
+    for at, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(v)])):
+        rows = np.flatnonzero(open_[:, lo:hi].any(1))
         if len(rows):
             score = np.repeat(coarse[rows, at, None], hi - lo, 1)
             for j, table in enumerate(tables):
                 score += table[rows][:, codes[lo:hi, j]]
             near[rows, lo:hi] = score
-    near[own[:, None] == ids[None, :]] = -np.inf
+    near[~open_] = -np.inf
+    if len(v) <= max(RERANK, k) or len(np.unique(ids)) < len(ids):  # an id with several vectors counts once among k
+        return open_
+    best = np.argpartition(-near, RERANK - 1, 1)[:, : max(RERANK, k)]
     every = np.arange(len(q))[:, None]
-    if len(ids) > RERANK:
-        best = np.argpartition(-near, RERANK - 1, 1)[:, :RERANK]
-        last = near[every, best].min(1)
-        for i in np.flatnonzero((near >= last[:, None]).sum(1) > RERANK):  # ties at the edge go to the smaller id
-            if last[i] > -np.inf:
-                best[i] = np.lexsort((ids, -near[i]))[:RERANK]
-    else:
-        best = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
-    exact = np.where(near[every, best] > -np.inf, np.einsum("bd,brd->br", q, v[best]), -np.inf)
-    order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
-    found, exact = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
-    good = exact > -np.inf
-    return np.broadcast_to(own[:, None], found.shape)[good], found[good], exact[good]
+    exact = np.where(open_[every, best], np.einsum("bd,brd->br", q, v[best]), -np.inf)
+    edge = -np.partition(-exact, k - 1, 1)[:, k - 1]
+    length = lengths(q)[:, None]
+    return open_ & ~(near + length * (off + SLACK * (index.reach + off)) < edge[:, None])
+
+
+def best_of_block(ids: np.ndarray, v: np.ndarray, own: np.ndarray, q: np.ndarray, open_: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, member and exact product of each query's `k` best open members of a block, but for those below `least`."""
+    need = np.flatnonzero(open_.any(0))
+    ids, v, open_ = ids[need], v[need], open_[:, need]
+    product = np.where(open_, q @ v.T, -np.inf)
+    edge = least.copy()
+    if len(ids) > k and len(np.unique(ids)) == len(ids):
+        edge = np.maximum(edge, -np.partition(-product, k - 1, 1)[:, k - 1])
+    # a matrix product rounds by its place, so equal vectors are told apart only by sums that don't
+    slack = 1e-12 * lengths(q) * lengths(v).max(initial=0)
+    at, member = np.nonzero(open_ & ~(product < (edge - slack)[:, None]))
+    exact = np.concatenate([np.einsum("pd,pd->p", q[at[lo : lo + PAIRS]], v[member[lo : lo + PAIRS]]) for lo in range(0, len(at), PAIRS)] or [np.empty(0)])
+    order = np.lexsort((-exact, ids[member], at))
+    at, found, exact = at[order], ids[member[order]], exact[order]
+    once = np.ones(len(at), bool)
+    once[1:] = (at[1:] != at[:-1]) | (found[1:] != found[:-1])
+    at, found, exact = at[once], found[once], exact[once]
+    order = np.lexsort((found, -exact, at))
+    at, found, exact = at[order], found[order], exact[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    good = (place < k) & (exact >= least[at])
+    return own[at[good]], found[good], exact[good]
 
 
 def search(vectors: DataFrame, modulus: int = 20, k: int = 20, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -195,61 +225,86 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = 20, group_queries: in
         for batch in batches:
             if batch.num_rows:
                 v = matrix(batch.column("v"))
-                at, codes = shared.value.encode(v)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "codes"])
+                at, codes, far, off = shared.value.encode(v)
+                columns = [pa.array([x.tobytes() for x in v], pa.binary()), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(far), pa.array(lengths(v))]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *columns], names=["vec_id", "v", "list", "codes", "off", "far", "length"])
 
-    indexed = materialize(every.mapInArrow(encode, "vec_id long, v binary, list int, codes binary"), "index")
-    filled = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
-    counts = np.array([filled.get(i, 0) for i in range(len(shared.value.centers))])
+    indexed = materialize(every.mapInArrow(encode, "vec_id long, v binary, list int, codes binary, off double, far double, length double"), "index")
+    filled = {r["list"]: r for r in indexed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("length").alias("length")).collect()}  # at most LISTS rows
+    counts, radius, longest = (np.array([filled[i][c] if i in filled else 0 for i in range(len(shared.value.centers))]) for c in ("n", "far", "length"))
     first, number = lay_out(counts, block_rows)
     wanted = max(LEAST_ROWS + 20 * k, int(np.ceil(shared.value.share * counts.sum())))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query once for each block that holds lists to probe, with those lists."""
+        """Each query once for each block that holds lists to probe, with those lists: the nearest ones, or where there is
+        a least product, the others that it doesn't rule out."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(-(stacked(batch.column("v").to_pylist(), np.float64) @ shared.value.centers.T), 1, kind="stable")
+            q, least = stacked(batch.column("v").to_pylist(), np.float64), batch.column("least").to_numpy(zero_copy_only=False)
+            score = q @ shared.value.centers.T
+            order = np.argsort(-score, 1, kind="stable")
             before = np.cumsum(counts[order], 1) - counts[order]
+            taken = np.empty(order.shape, bool)
+            np.put_along_axis(taken, order, before < wanted, 1)
+            length = lengths(q)[:, None]
+            bound = np.minimum(score + length * radius, length * longest) + SLACK * length * (shared.value.reach + longest)
+            taken = np.where(np.isnan(least)[:, None], taken, ~taken & ~(bound < least[:, None])) & (counts > 0)
             probes = []
-            for o, n in zip(order, before):
-                lists = np.sort(o[(n < wanted) & (counts[o] > 0)])
+            for row in taken:
+                lists = np.flatnonzero(row)
                 at, start = np.unique(first[lists], return_index=True)
                 groups = zip(at.tolist(), np.split(lists.astype(np.int32), start[1:]))
                 probes.append([{"block": b, "lists": own.tobytes()} for a, own in groups for b in range(a, a + int(number[own[0]]))])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(probes, pa.list_(pa.struct([("block", pa.int32()), ("lists", pa.binary())])))], names=["query_id", "q", "probes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "least")), pa.array(probes, pa.list_(pa.struct([("block", pa.int32()), ("lists", pa.binary())])))], names=["query_id", "q", "least", "probes"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members with their block; a list of several is dealt over them by the ids."""
         for batch in batches:
             at = batch.column("list").to_numpy()
             block = first[at] + (batch.column("mark").to_numpy() % number[at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "list", "codes")), pa.array(block.astype(np.int32))], names=["vec_id", "v", "list", "codes", "block"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "list", "codes", "off")), pa.array(block.astype(np.int32))], names=["vec_id", "v", "list", "codes", "off", "block"])
 
     queries = indexed.filter(F.col("vec_id") % modulus == 0).select("vec_id", "v")
-    probed = queries.mapInArrow(probe, "query_id long, q binary, probes array<struct<block:int,lists:binary>>").select("query_id", "q", F.inline("probes"))
-    probed, parts = deal_queries(probed, queries.count(), group_queries)
-    members = indexed.withColumn("mark", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))).mapInArrow(place, "vec_id long, v binary, list int, codes binary, block int")
-    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """A block's members against a part of the queries that probe it."""
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values(["list", "vec_id"], kind="stable")
-            ids, lists = right["vec_id"].to_numpy(), right["list"].to_numpy()
-            v, codes = stacked(right["v"], np.float64), stacked(right["codes"], np.uint8)
-            names = np.unique(lists)
-            own, q = left["query_id"].to_numpy(), stacked(left["q"], np.float64)
-            probes = np.stack([np.isin(names, np.frombuffer(x, np.int32)) for x in left["lists"]])
-            for lo in range(0, len(own), SLICE):
-                at = slice(lo, lo + SLICE)
-                out.append(best_of_block(shared.value, ids, v, lists, codes, own[at], q[at], probes[at], k))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
-
-    found = probed.groupBy("block", "part").cogroup(members.groupBy("block", "part")).applyInPandas(match, "query_id long, vec_id long, score double")
-    best = materialize(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    asked = queries.count()
+    members = indexed.withColumn("mark", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))).mapInArrow(place, "vec_id long, v binary, list int, codes binary, off double, block int")
+
+    def matching(checks: bool):
+        def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """A block's members against a part of the queries that probe it."""
+            out = []
+            if len(left) and len(right):
+                right = right.sort_values(["list", "vec_id"], kind="stable")
+                ids, lists = right["vec_id"].to_numpy(), right["list"].to_numpy()
+                v, codes, off = stacked(right["v"], np.float64), stacked(right["codes"], np.uint8), right["off"].to_numpy()
+                names, which = np.unique(lists, return_inverse=True)
+                own, q, least = left["query_id"].to_numpy(), stacked(left["q"], np.float64), left["least"].fillna(-np.inf).to_numpy()
+                probes = np.stack([np.isin(names, np.frombuffer(x, np.int32)) for x in left["lists"]])
+                for lo in range(0, len(own), SLICE):
+                    at = slice(lo, lo + SLICE)
+                    open_ = probes[at][:, which] & (own[at, None] != ids[None, :])
+                    if not checks:
+                        open_ = approximate(shared.value, ids, v, lists, codes, off, q[at], open_, k)
+                    out.append(best_of_block(ids, v, own[at], q[at], open_, least[at], k))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+
+        return match
+
+    def matched(queries: DataFrame, checks: bool) -> DataFrame:
+        probed = queries.mapInArrow(probe, "query_id long, q binary, least double, probes array<struct<block:int,lists:binary>>").select("query_id", "q", "least", F.inline("probes"))
+        probed, parts = deal_queries(probed, asked, group_queries)
+        dealt = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return probed.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(matching(checks), "query_id long, vec_id long, score double")
+
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    best = materialize(ranked(matched(queries.withColumn("least", F.lit(None).cast("double")), False)), "found")
+    if wanted < counts.sum():
+        # lists that weren't probed, against the least product that still counts
+        last = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        left = queries.join(last, "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        probed, best = best, materialize(ranked(best.select("query_id", "vec_id", "score").unionByName(matched(left, True))), "found")
+        discard(probed)
     discard(indexed)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.select("query_id", "rank", "vec_id", "score")

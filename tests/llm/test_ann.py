@@ -96,3 +96,32 @@ def test_equal_vectors_in_several_blocks(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [r.vec_id for r in ann.search(df, block_rows=64).filter("query_id = 0").orderBy("rank").collect()]
     assert got == [i for i, _ in brute(rows)[0]]
+
+
+@pytest.mark.parametrize("kind", ["lengths", "outliers", "several vectors"])
+def test_exact_on_other_rows(spark, kind):
+    """Vectors of very different lengths, outliers that the centroids don't know, and ids with many vectors."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 24))
+    if kind == "lengths":
+        x *= np.exp(2 * rng.normal(size=(6000, 1)))
+    if kind == "outliers":
+        x[:, :] = 0.01 * x + rng.normal(size=24)
+        x[rng.choice(6000, 200, False)] = 3 * rng.normal(size=(200, 24))
+    x = x.astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    if kind == "several vectors":
+        rows += [(7001, (x[20 * j] * (2 + j / 100)).astype(np.float32).tolist()) for j in range(300)]
+    ids, every = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block_rows=2048).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for i in range(0, 6000, 20):
+        score = np.where(ids == i, -np.inf, every @ x[i])
+        best = []
+        for j in np.lexsort((ids, -score)):
+            if ids[j] not in best:
+                best.append(int(ids[j]))
+            if len(best) == 20:
+                break
+        assert got[i] == best
