@@ -24,12 +24,23 @@ def amount_of() -> Column:
     return F.coalesce("amount", F.col("qty") * F.col("rate"))
 
 
-def with_vendors(rows: DataFrame, bids: DataFrame) -> DataFrame:
-    """Each row once for each vendor of the bids; ValueError where they are too many for one tender."""
+def vendors_of(bids: DataFrame) -> Column:
+    """The vendors of the bids as an array; ValueError where they are too many for one tender."""
     names = [r[0] for r in bids.select("vendor").distinct().orderBy("vendor").limit(MOST_VENDORS + 1).collect()]
     if len(names) > MOST_VENDORS:
         raise ValueError(f"more than {MOST_VENDORS} vendors")
-    return rows.withColumn("vendor", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    return F.array(*map(F.lit, names)).cast("array<string>")
+
+
+def placed(bids: DataFrame) -> DataFrame:
+    """Bids whose place is known in full; others are in no template's place."""
+    return bids.dropna(subset=list(PLACE))
+
+
+def places(template: DataFrame, sums: DataFrame, how: str = "left") -> DataFrame:
+    """The template's places with the bids' figures by place. Neither side is broadcast: Spark's estimate of a template is
+    that of the compressed parts it comes from."""
+    return template.select(*PLACE).hint("merge").join(sums, list(PLACE), how)
 
 
 def folded(rows: DataFrame) -> DataFrame:
@@ -43,19 +54,23 @@ def match_cascade(template: DataFrame, bids: DataFrame, by_sub_group: bool = Tru
     grouping; else in the division.
 
     A line's place keeps the position of its first and the figures of its last occurrence; later tiers take the first
-    position. All tiers imply equal vendor, division and id, so one equi-join finds the candidates of them all.
+    position. All tiers imply equal division and id, so one equi-join finds the candidates of them all; both sides are
+    dealt by these once, each place of the template is there once, and the vendors without any candidate come last.
     """
-    keys = [f"_{k}" for k in PLACE[:4]]
-    lines = folded(bids).groupBy("vendor", *keys, "idx").agg(F.max_by(F.struct("rate", "amount"), "ord").alias("hit"), F.min("ord").alias("ord"))
-    lines = lines.select("vendor", "_division", "_item", F.col("_grouping").alias("_g"), F.col("_sub_group").alias("_s"), F.col("idx").alias("_i"), "hit", "ord")
-    joined = folded(with_vendors(template.select(*PLACE), bids)).join(lines, ["vendor", "_division", "_item"], "left")
+    keys, by = [f"_{k}" for k in PLACE[:4]], ["_division", "_item"]
+    lines = folded(bids).filter("vendor IS NOT NULL").repartition(*by).groupBy("vendor", *keys, "idx").agg(F.max_by(F.struct("rate", "amount"), "ord").alias("hit"), F.min("ord").alias("ord"))
+    lines = lines.select("vendor", *by, F.col("_grouping").alias("_g"), F.col("_sub_group").alias("_s"), F.col("idx").alias("_i"), "hit", "ord")
+    joined = folded(template.select(*PLACE)).repartition(*by).distinct().hint("merge").join(lines, by, "left")
     grouping, sub_group = F.col("_g") == F.col("_grouping"), F.col("_s") == F.col("_sub_group")
     tier = F.when(grouping & sub_group & (F.col("_i") == F.col("idx")), 1)
     if by_sub_group:
         tier = tier.when(grouping & sub_group, 2).when(grouping, 3).when(F.col("_g").isNotNull(), 4)
     else:
         tier = tier.when(grouping, 2).when(F.col("_g").isNotNull(), 3)
-    found = joined.withColumn("tier", tier).groupBy(*PLACE, "vendor").agg(F.min_by(F.struct("hit", "tier"), F.struct("tier", "ord")).alias("b"))
+    found = joined.withColumn("tier", tier).groupBy(*by, *PLACE, "vendor").agg(F.min_by(F.struct("hit", "tier"), F.struct("tier", "ord")).alias("b"))
+    found = found.groupBy(*by, *PLACE).agg(F.collect_list(F.when(F.col("vendor").isNotNull(), F.struct("vendor", "b"))).alias("_own"))
+    others = F.transform(F.array_except(vendors_of(bids), F.transform("_own", lambda o: o["vendor"])), lambda v: F.struct(v.alias("vendor"), F.lit(None).alias("b")))
+    found = found.select(*PLACE, F.inline(F.concat("_own", others)))
     return found.select(*PLACE, "vendor", F.col("b.hit.rate").alias("rate"), F.col("b.hit.amount").alias("amount"), F.col("b.tier").alias("match_tier"))
 
 
@@ -177,16 +192,22 @@ def warn_total_mismatch(sums: DataFrame, percent: float = 10.0) -> DataFrame:
     return sums.filter((F.col("extracted") > 0) & (F.col("calculated") > 0)).withColumn("gap_pct", gap).filter(F.col("gap_pct") > percent).select("division", "vendor", "extracted", "calculated", "gap_pct")
 
 
+def priced() -> Column:
+    """The vendors of a place with a rate or amount."""
+    return F.collect_set(F.when(F.col("rate").isNotNull() | F.col("amount").isNotNull(), F.col("vendor")))
+
+
 def unpriced(bids: DataFrame, template: DataFrame) -> DataFrame:
     """Places and vendors without a rate or amount."""
-    priced = bids.filter("rate IS NOT NULL OR amount IS NOT NULL").select(*PLACE, "vendor")
-    return with_vendors(template.select(*PLACE), bids).join(priced, [*PLACE, "vendor"], "left_anti")
+    found = places(template, placed(bids).groupBy(*PLACE).agg(priced().alias("_priced")))
+    lacking = F.array_except(vendors_of(bids), F.coalesce("_priced", F.array().cast("array<string>")))
+    return found.select(*PLACE, F.explode(lacking).alias("vendor"))
 
 
 def warn_missing(bids: DataFrame, template: DataFrame) -> DataFrame:
     """Places that at least two vendors price, and the vendors that don't."""
-    valid = bids.filter("rate > 0").groupBy(*PLACE).agg(F.count("*").alias("n_valid")).filter("n_valid >= 2")
-    return unpriced(bids, template.select(*PLACE).join(valid, list(PLACE), "left_semi")).join(valid, list(PLACE))
+    valid = placed(bids).groupBy(*PLACE).agg(F.count_if(F.col("rate") > 0).alias("n_valid"), priced().alias("_priced")).filter("n_valid >= 2")
+    return places(template, valid, "inner").select(*PLACE, F.explode(F.array_except(vendors_of(bids), "_priced")).alias("vendor"), "n_valid")
 
 
 def warn_outliers(bids: DataFrame) -> DataFrame:
@@ -219,10 +240,13 @@ def discrepancy(sums: DataFrame) -> DataFrame:
 def fill_rates(bids: DataFrame, template: DataFrame, how: str) -> DataFrame:
     """Every place and vendor with its rate, or that of `how` (mean, median, lowest) over the positive ones; null where
     nobody prices the place."""
-    value = {"mean": exact_sum(F.col("rate"), 8) / F.count("*"), "median": F.median("rate"), "lowest": F.min("rate")}[how]
-    fill = bids.filter("rate > 0").groupBy(*PLACE).agg(value.alias("fill"))
-    grid = with_vendors(template.select(*PLACE), bids).join(fill, list(PLACE), "left")
-    rows = grid.join(bids.select(*PLACE, "vendor", "rate"), [*PLACE, "vendor"], "left")
+    rate = F.when(F.col("rate") > 0, F.col("rate"))
+    value = {"mean": exact_sum(rate, 8) / F.count(rate), "median": F.median(rate), "lowest": F.min(rate)}[how]
+    own = F.collect_list(F.when(F.col("vendor").isNotNull(), F.struct("vendor", "rate")))
+    found = places(template, placed(bids).groupBy(*PLACE).agg(value.alias("fill"), own.alias("_own")))
+    held = F.coalesce("_own", F.array().cast("array<struct<vendor:string,rate:double>>"))
+    others = F.array_except(vendors_of(bids), F.transform(held, lambda o: o["vendor"]))
+    rows = found.select(*PLACE, "fill", F.inline(F.concat(held, F.transform(others, lambda v: F.struct(v.alias("vendor"), F.lit(None).cast("double").alias("rate"))))))
     return rows.select(*PLACE, "vendor", F.coalesce("rate", "fill").alias("rate"), F.col("rate").isNull().alias("filled"))
 
 

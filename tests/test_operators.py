@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,29 @@ def test_evidence_sources(spark):
     got = sorted((tuple(r) for r in summaries.evidence_sources(given, docs).collect()), key=str)
     want = ["ta", "tb", "ta", "o", "bare.pdf", "zzzz", None, "", "zzzz"]
     assert got == sorted((r + (w,) for r, w in zip(rows, want)), key=str)
+
+
+def nodes(df):
+    """The names of a plan's operators, as first planned."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_grids_of_a_compressed_template_are_not_broadcast(spark, tmp_path):
+    """A template that is small as a file, but not as rows: neither it nor its grid with the vendors goes to the driver."""
+    spark.range(3000).selectExpr("'D' AS division", "'G' AS grouping", "'s' AS sub_group", "id AS item", "0 AS idx").write.parquet(str(tmp_path / "t"))
+    template = spark.read.parquet(str(tmp_path / "t")).withColumn("idx", F.explode(F.array(F.lit(0), F.lit(1))))
+    given = spark.range(6000).selectExpr("'D' AS division", "'G' AS grouping", "'s' AS sub_group", "id AS item", "0 AS idx", "concat('V', id % 3) AS vendor", "cast(id AS int) AS vendor_ord", "1.0D AS qty", "2.0D AS rate", "null AS amount", "id AS ord")
+    given = given.withColumn("amount", F.col("amount").cast("double"))
+    for df in (bids.warn_missing(given, template), bids.unpriced(given, template), bids.fill_rates(given, template, "mean"), bids.match_cascade(template, given)):
+        assert "Broadcast" not in nodes(df)
+
+
+def test_grids_keep_repeated_and_unnamed_rows(spark):
+    """Repeated places of a template, repeated bids, a bid without a vendor and one without an id."""
+    kinds = "division string, grouping string, sub_group string, item long, idx int, vendor string, rate double, amount double, ord long"
+    row = lambda item, vendor, rate, ord: ("D", "G", "s", item, 0, vendor, rate, None, ord)
+    given = spark.createDataFrame([row(1, "a", 2.0, 0), row(1, "a", 4.0, 1), row(1, None, 9.0, 2), row(None, "b", 5.0, 3)], kinds)
+    template = spark.createDataFrame([("D", "G", "s", 1, 0), ("D", "G", "s", 1, 0), ("D", "G", "s", None, 0)], kinds.split(", vendor")[0])
+    assert Counter(tuple(r)[3:] for r in bids.fill_rates(given, template, "lowest").collect()) == Counter({(1, 0, "a", 2.0, False): 2, (1, 0, "a", 4.0, False): 2, (1, 0, "b", 2.0, True): 2, (1, 0, None, 2.0, True): 2, (None, 0, None, None, True): 1, (None, 0, "a", None, True): 1, (None, 0, "b", None, True): 1})
+    assert Counter(tuple(r)[3:] for r in bids.unpriced(given, template).collect()) == Counter({(1, 0, "b"): 2, (1, 0, None): 2, (None, 0, "a"): 1, (None, 0, "b"): 1, (None, 0, None): 1})
+    assert {tuple(r)[3:] for r in bids.match_cascade(template, given).collect()} == {(1, 0, "a", 4.0, None, 1), (1, 0, "b", None, None, None), (1, 0, None, None, None, None), (None, 0, "a", None, None, None), (None, 0, "b", 5.0, None, 1), (None, 0, None, None, None, None)}
