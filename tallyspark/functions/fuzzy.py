@@ -200,20 +200,30 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
     words, without punctuation and whatever the case, from a ratio of `accept` on; of equal ones the smallest id's first.
 
     Passages are the queries: they go to the documents in blocks of BLOCK_CHARS characters, and each task returns its best
-    run of each. Every run counts, see functions.passages. Null and empty passages, and documents shorter than a passage,
+    run of each. Every run counts, see functions.passages; a first look at runs that share words with a passage only tells
+    what its best one reaches at least, so that most others are ruled out. Documents are dealt over all tasks. Null and empty passages, and documents shorter than a passage,
     have none; a null doc_id isn't found."""
     if accept <= 0:
         raise ValueError("a ratio above 0")
     kind = {"p": dict(passages.dtypes)["passage_id"], "d": dict(docs.dtypes)["doc_id"]}
     sizes = passages.select("passage_id", "passage", F.length(F.coalesce("passage", F.lit(""))).alias("_chars")).filter("_chars > 0 AND passage_id IS NOT NULL")
     blocks = sizes.withColumn("_block", F.floor((F.sum("_chars").over(Window.orderBy("passage_id", "passage").rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK_CHARS))
-    given = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    session = docs.sparkSession
+    given = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
     out = None
     for (block,) in blocks.select("_block").distinct().orderBy("_block").collect():
         rows = blocks.filter(F.col("_block") == block).select("passage_id", "passage").collect()
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        shared = session.sparkContext.broadcast([tuple(r) for r in rows])
 
-        def found(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def guesses(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            texts = [text for _, text in shared.value]
+            places, ready = passages_in.places_of(texts), passages_in.prepare(texts)[1]
+            for frame in frames:
+                yield pd.DataFrame(list(passages_in.guessed(places, ready, list(frame["text"]), ratio).items()), columns=["k", "score"])
+
+        reached = {r.k: r.score for r in given.mapInPandas(guesses, "k int, score double").groupBy("k").agg(F.max("score").alias("score")).collect()}
+
+        def found(frames: Iterator[pd.DataFrame], shared=shared, reached=reached) -> Iterator[pd.DataFrame]:
             alphabet, ready = passages_in.prepare([text for _, text in shared.value])
             best: dict[int, tuple] = {}
             pairs = ((i, t) for frame in frames for i, t in zip(frame["doc_id"], frame["text"]))
@@ -221,7 +231,7 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
                 order = sorted(range(len(ids)), key=ids.__getitem__)
                 texts = passages_in.Texts([held[k] for k in order], alphabet)
                 for k, passage in enumerate(ready):
-                    least = best[k][0] if k in best else accept
+                    least = max(accept, reached.get(k, 0.0), best[k][0] if k in best else 0.0)
                     hit = passages_in.most_like(passage, texts, least)
                     if hit:
                         hit = (hit[0], ids[order[hit[1]]], hit[2], hit[2] + passage.n)
@@ -231,6 +241,6 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
         part = given.mapInPandas(found, f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int")
+        out = session.createDataFrame([], f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int")
     best = out.groupBy("passage_id").agg(F.min_by(F.struct("doc_id", "score", "start", "stop"), F.struct(-F.col("score"), "doc_id", "start")).alias("b"))
     return best.select("passage_id", "b.*")

@@ -3,7 +3,7 @@
 A ratio of 70 lets so many characters differ that no shared word or run of characters is certain, so every run is looked
 at, but few are compared: the characters that a run and a passage have in common bound their longest common subsequence
 (LCS), and so does the LCS of a run nearby, as it grows by the characters that come in at most. LCSs are computed for many
-runs at once, one bit for a passage's character in 64-bit limbs, as numpy vectors over the runs.
+runs at once, one bit for a passage's character in limbs of 63 bits, as numpy vectors over the runs.
 """
 
 from __future__ import annotations
@@ -15,9 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 
 NOT_WORD = re.compile(r"[^\w\s]")
-#: Runs compared at once.
-RUNS = 20_000
-FULL = np.uint64(2**64 - 1)
+#: Runs compared between two looks at the best, and those that a processor's cache holds at once.
+RUNS, LANES = 20_000, 4_000
+#: Kinds of characters that are counted apart; of more, some count as one, which only loosens a bound.
+KINDS = 64
+#: Bits of a limb, below the one that takes the carry.
+BITS = 63
+FULL = np.uint64(2**BITS - 1)
+#: By how much a product of a ratio may be too large.
+SLACK = 1e-6
+#: Words that a passage and a run share in a row where a good run is guessed, and runs tried for a passage and batch.
+SHARED, GUESSES = 3, 20
 
 
 def fold(word: str) -> str:
@@ -40,7 +48,7 @@ class Alphabet(dict):
 @dataclass
 class Passage:
     """n: its words as given; length: of its folded text; bits: by limb and character, where the character stands in it;
-    counts: by character."""
+    counts: by kind of character."""
 
     n: int
     text: str
@@ -52,6 +60,11 @@ class Passage:
         return len(self.text)
 
 
+def kind_of(number):
+    """A character's kind, or those of an array: 0 for those that no passage has."""
+    return (number - 1) % KINDS + (number > 0)
+
+
 def prepare(texts: list[str | None]) -> tuple[Alphabet, list[Passage]]:
     """The passages' alphabet and their tables."""
     folded = [folded_words(t or "") for t in texts]
@@ -59,11 +72,11 @@ def prepare(texts: list[str | None]) -> tuple[Alphabet, list[Passage]]:
     alphabet = Alphabet({c: i + 1 for i, c in enumerate(sorted(set("".join(shown))))})
     out = []
     for words, text in zip(folded, shown):
-        bits = np.zeros((max(1, -(-len(text) // 64)), len(alphabet) + 1), np.uint64)
-        counts = np.zeros(len(alphabet) + 1, np.int64)
+        bits = np.zeros((max(1, -(-len(text) // BITS)), len(alphabet) + 1), np.uint64)
+        counts = np.zeros(min(len(alphabet), KINDS) + 1, np.int32)
         for i, c in enumerate(text):
-            bits[i // 64, alphabet[c]] |= np.uint64(1 << (i % 64))
-            counts[alphabet[c]] += 1
+            bits[i // BITS, alphabet[c]] |= np.uint64(1 << (i % BITS))
+            counts[kind_of(alphabet[c])] += 1
         out.append(Passage(len(words), text, bits, counts))
     return alphabet, out
 
@@ -90,35 +103,56 @@ class Texts:
             at += len(shown) + 1
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
         self.chars, self.first, self.last, self.doc, self.word = join(chars, np.int16), join(first, np.int64), join(last, np.int64), join(doc, np.int64), join(word, np.int64)
-        # characters before each place, by number
-        self.before = np.zeros((len(alphabet) + 1, len(self.chars) + 1), np.int32)
-        for c in range(1, len(alphabet) + 1):
-            np.cumsum(self.chars == c, out=self.before[c, 1:])
+        # characters before each place where a word begins or ends, by kind
+        self.cuts = np.unique(np.concatenate([self.first, self.last]))
+        kinds, rows = min(len(alphabet), KINDS) + 1, len(self.cuts) + 1
+        part = np.repeat(np.arange(rows), np.diff(np.concatenate([[0], self.cuts, [len(self.chars)]])))
+        numbers = self.chars.astype(np.int64)
+        held = np.bincount(part * kinds + np.where(numbers > 0, kind_of(numbers), 0), minlength=rows * kinds)
+        self.before = np.cumsum(held.astype(np.int32).reshape(rows, kinds), axis=0, dtype=np.int32)
+        self.at_first, self.at_last = np.searchsorted(self.cuts, self.first), np.searchsorted(self.cuts, self.last)
+
+    def shared(self, passage: Passage, first: np.ndarray) -> np.ndarray:
+        """Characters, whatever their order, that the passage and each run have in common at most; runs by their first
+        words."""
+        out = np.zeros(len(first), np.int64)
+        for k in range(0, len(first), RUNS):
+            words = first[k : k + RUNS]
+            begin, end = self.at_first[words], np.maximum(self.at_last[words + passage.n - 1], self.at_first[words])
+            out[k : k + RUNS] = np.minimum(self.before[end, 1:] - self.before[begin, 1:], passage.counts[1:]).sum(axis=1)
+        return out
 
 
 def common(passage: Passage, chars: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """LCS of the passage with each range of characters."""
-    limbs = len(passage.bits)
-    rows = [np.full(len(start), FULL) for _ in range(limbs)]
-    for j in range(int((stop - start).max(initial=0))):
+    out = np.empty(len(start), np.int64)
+    for k in range(0, len(start), LANES):
+        out[k : k + LANES] = common_of_lanes(passage, chars, start[k : k + LANES], stop[k : k + LANES])
+    return out
+
+
+def common_of_lanes(passage: Passage, chars: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    limbs, size = len(passage.bits), stop - start
+    rows = np.full((limbs, len(start)), FULL)
+    hit, total, carry = np.empty_like(rows), np.empty_like(rows), np.empty(len(start), np.uint64)
+    every, top = int(size.min(initial=0)), np.uint64(BITS)
+    for j in range(int(size.max(initial=0))):
         at = start + j
-        seen = np.where(at < stop, chars[np.minimum(at, len(chars) - 1)], 0)
-        carry = None
-        for k in range(limbs):
-            row = rows[k]
-            hit = row & passage.bits[k][seen]
-            total = row + hit
-            over = total < row
-            if carry is not None:
-                total = total + carry
-                over |= total < carry
-            rows[k] = total | (row ^ hit)
-            carry = over.astype(np.uint64)
+        seen = chars[at] if j < every else np.where(at < stop, chars[np.minimum(at, len(chars) - 1)], 0)
+        np.take(passage.bits, seen, axis=1, out=hit, mode="clip")
+        hit &= rows
+        np.add(rows, hit, out=total)
+        for k in range(1, limbs):
+            np.right_shift(total[k - 1], top, out=carry)
+            total[k] += carry
+        rows ^= hit
+        rows |= total
+        rows &= FULL
     out = np.zeros(len(start), np.int64)
     for k, row in enumerate(rows):
-        size = min(64, passage.length - 64 * k)
-        if size > 0:
-            out += np.bitwise_count(~row & np.uint64((1 << size) - 1))
+        own = min(BITS, passage.length - BITS * k)
+        if own > 0:
+            out += np.bitwise_count(~row & np.uint64((1 << own) - 1))
     return out
 
 
@@ -129,31 +163,37 @@ def most_like(passage: Passage, texts: Texts, accept: float) -> tuple[float, int
     if m == 0 or len(texts.first) < n:
         return None
     begin = np.flatnonzero(texts.doc[: len(texts.doc) - n + 1] == texts.doc[n - 1 :])
+    if not len(begin):
+        return None
     start, stop = texts.first[begin], texts.last[begin + n - 1]
     stop = np.maximum(stop, start)
     size = stop - start
-    bound = np.zeros(len(begin), np.int64)
-    for c in np.flatnonzero(passage.counts):
-        bound += np.minimum(passage.counts[c], texts.before[c][stop] - texts.before[c][start])
     score = np.full(len(begin), -1.0)
     best = accept
+    bound = np.full(len(begin), m, np.int64)
+
+    def possible(runs: np.ndarray) -> np.ndarray:
+        return runs[200.0 * bound[runs] >= best * (m + size[runs]) - SLACK]
+
+    def compare(runs: np.ndarray) -> None:
+        nonlocal best
+        for k in range(0, len(runs), RUNS):
+            part = possible(runs[k : k + RUNS])
+            if len(part):
+                bound[part] = common(passage, texts.chars, start[part], stop[part])
+                score[part] = 200.0 * bound[part] / (m + size[part])
+                best = max(best, score[part].max())
+
     # first runs some words apart, then those between that these leave possible
     step = max(1, m // 17)
-    anchors = np.arange(len(begin)) % step == 0
-    for which in (anchors, ~anchors):
-        possible = np.flatnonzero(which & (200.0 * bound >= best * (m + size)))
-        for k in range(0, len(possible), RUNS):
-            part = possible[k : k + RUNS]
-            part = part[200.0 * bound[part] >= best * (m + size[part])]
-            if not len(part):
-                continue
-            found = common(passage, texts.chars, start[part], stop[part])
-            score[part] = 200.0 * found / (m + size[part])
-            best = max(best, score[part].max())
-            if which is anchors:
-                bound[part] = found
-        if which is anchors:
-            tighten(bound, texts.doc[begin], start, stop, np.flatnonzero(anchors), step)
+    anchors = np.arange(0, len(begin), step)
+    bound[anchors] = texts.shared(passage, begin[anchors])
+    compare(possible(anchors))
+    tighten(bound, texts.doc[begin], start, stop, anchors, step)
+    rest = possible(np.arange(len(begin)))
+    rest = rest[rest % step > 0]
+    bound[rest] = np.minimum(bound[rest], texts.shared(passage, begin[rest]))
+    compare(possible(rest))
     at = np.argmax(score)
     return (float(score[at]), int(texts.doc[begin[at]]), int(texts.word[begin[at]])) if score[at] >= accept else None
 
@@ -167,7 +207,34 @@ def tighten(bound: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndar
         np.minimum(bound, np.where(fits, bound[near] + comes, bound), out=bound)
 
 
-def batches(texts: Iterator[tuple[int, str | None]], chars: int = 2_000_000) -> Iterator[tuple[list[int], list[str | None]]]:
+def places_of(texts: list[str | None]) -> dict[tuple[str, ...], list[tuple[int, int]]]:
+    """(passage, word) where each SHARED words in a row of the passages stand."""
+    out: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for k, text in enumerate(texts):
+        words = folded_words(text or "")
+        for i, run in enumerate(zip(*(words[j:] for j in range(SHARED)))):
+            out.setdefault(run, []).append((k, i))
+    return out
+
+
+def guessed(places: dict, ready: list[Passage], texts: list[str | None], ratio) -> dict[int, float]:
+    """The best ratio of each passage with a few of the runs that share words in a row with it: what its best run reaches
+    at least."""
+    best, tried = {}, [0] * len(ready)
+    for text in texts:
+        words, seen = folded_words(text or ""), set()
+        for i, run in enumerate(zip(*(words[j:] for j in range(SHARED)))):
+            for k, at in places.get(run, ()):
+                begin, n = i - at, ready[k].n
+                if begin < 0 or begin + n > len(words) or (k, begin) in seen or tried[k] == GUESSES or best.get(k) == 100.0:
+                    continue
+                seen.add((k, begin))
+                tried[k] += 1
+                best[k] = max(best.get(k, 0.0), ratio(" ".join(w for w in words[begin : begin + n] if w), ready[k].text))
+    return best
+
+
+def batches(texts: Iterator[tuple[int, str | None]], chars: int = 1_000_000) -> Iterator[tuple[list[int], list[str | None]]]:
     """Texts with their ids, about `chars` characters at a time."""
     ids, held, size = [], [], 0
     for i, text in texts:

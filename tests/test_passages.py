@@ -141,3 +141,25 @@ def test_promoted_keys(spark):
     got = [(r.p.payload, r.p.error) for r in spark.createDataFrame(rows, "m map<string,string>").select(fuzzy.promote_key(F.col("m"), "technical").alias("p")).collect()]
     assert [g[0] for g in got] == [{"technical": "a", "budget": "1"}, rows[1][0], rows[2][0], None, {"technical": "e", "techx": "f"}]
     assert [g[1] is None for g in got] == [True, True, False, False, True]
+
+
+def test_a_ratio_that_rounds_up_still_counts():
+    """The best ratio so far is what another run must reach, though its product with the lengths may round up."""
+    for m in range(2, 24):
+        for s in range(2, 24):
+            shared = min(m, s) - 1
+            passage, word = "a" * shared + "b" * (m - shared), "a" * shared + "c" * (s - shared)
+            alphabet, (ready,) = passages.prepare([passage])
+            held = passages.Texts([word], alphabet)
+            least = fuzzy.ratio(passage, word)
+            assert passages.most_like(ready, held, least) == (least, 0, 0), (m, s)
+
+
+def test_guessed_ratios_are_reached():
+    docs, texts = sample(5, 40)
+    ready = passages.prepare([t for _, t in texts])[1]
+    held = [t for _, t in docs]
+    guessed = passages.guessed(passages.places_of([t for _, t in texts]), ready, held, fuzzy.ratio)
+    assert guessed
+    for k, score in guessed.items():
+        assert score <= max(fuzzy.best_window(texts[k][1], t.split())[0] for t in held)
