@@ -35,7 +35,7 @@ DEPTH = 256
 COLUMNS, PAD = 64, 60
 #: Width and height of the screen that media rules are judged by.
 SCREEN = {"width": 1280, "height": 800}
-#: Places of one page at which selectors of several parts are tried; beyond that, what only such rules hide shows.
+#: Places of one page at which selectors of several parts are tried one by one; beyond that, all are matched together.
 LOOKS = 2_000_000
 #: List levels that indent.
 INDENTS = 16
@@ -225,6 +225,57 @@ def matches(parts: list[Compound], children: list[bool], path: list[Node]) -> bo
     return True
 
 
+class Together:
+    """All of a page's selectors matched at once, by a bit for each of their parts: the parts that an element ends a match
+    of, and those that its ancestors do. `ranked` are (rank, parts, children), of which the highest rank that matches is
+    found. Elements come in document order, so only the states of a path are held."""
+
+    #: Kinds of elements whose fitting parts are kept.
+    KEPT = 500
+
+    def __init__(self, ranked: list[tuple]):
+        self.ranks, self.places, self.path, self.kept = {}, {}, [], {}
+        starts, child, below, ends = [], [], [], []
+        at = 0
+        for rank, parts, children in sorted(ranked, key=lambda r: r[0]):
+            for k, part in enumerate(reversed(parts)):
+                (starts if k == 0 else child if children[len(children) - k] else below).append(at)
+                told = next((mark + v for name, mark in (("id", "#"), ("class", ".")) for n, test, v, case in part.conditions if n == name and not case and test == ("" if mark == "#" else "~")), part.tag or "*")
+                self.places.setdefault(told, {}).setdefault((part.tag, *part.conditions), (part, []))[1].append(at)
+                at += 1
+            ends.append(at - 1)
+            self.ranks[at - 1] = rank
+        self.size = at // 8 + 1
+        self.starts, self.child, self.below, self.ends = map(self.bits, (starts, child, below, ends))
+
+    def bits(self, places: list[int]) -> int:
+        held = bytearray(self.size)
+        for at in places:
+            held[at >> 3] |= 1 << (at & 7)
+        return int.from_bytes(held, "little")
+
+    def fitting(self, node: Node) -> int:
+        own = node.attributes or {}
+        kind = node.tag, tuple(own.items())
+        if kind not in self.kept:
+            if len(self.kept) >= self.KEPT:
+                self.kept.clear()
+            names = {"*", node.tag, "#" + own.get("id", ""), *("." + c for c in own.get("class", "").split())}
+            self.kept[kind] = self.bits([at for name in names for part, places in self.places.get(name, {}).values() if part.fits(node) for at in places])
+        return self.kept[kind]
+
+    def best(self, path: list[Node]) -> tuple | None:
+        held = self.path
+        while held and not (len(held) <= len(path) and held[-1][0] is path[len(held) - 1]):
+            held.pop()
+        for node in path[len(held) :]:
+            _, parent, above = held[-1] if held else (None, 0, 0)
+            own = self.fitting(node) & (self.starts | above << 1 & self.below | parent << 1 & self.child)
+            held.append((node, own, above | own))
+        found = held[-1][1] & self.ends
+        return self.ranks[found.bit_length() - 1] if found else None
+
+
 class Node:
     __slots__ = ("attributes", "children", "foreign", "tag")
 
@@ -249,7 +300,7 @@ class Tree:
     def __init__(self, html: str):
         self.root = Node("html")
         self.stack, self.open, self.styles, self.longer = [self.root], {"html": 1}, {}, {}
-        self.order, self.looks = 0, LOOKS
+        self.order, self.looks, self.together = 0, LOOKS, None
         self.every = bool(ASKING(html))
         self.build(html)
 
@@ -418,6 +469,13 @@ class Tree:
                 for what, (important, value) in found.items():
                     own[what] = max(own.get(what, ((),)), ((important, weight, self.order), value))
 
+    def matched_together(self) -> dict[str, Together]:
+        """By what they declare, the selectors that aren't told by a name alone."""
+        if self.together is None:
+            every = [rule for own in self.longer.values() for rule in own.values()]
+            self.together = {what: Together([(ranks[what], parts, children) for parts, children, ranks in every if what in ranks]) for what in ("display", "visibility")}
+        return self.together
+
     def shown(self, node: Node, parent_shown: bool, path: list[Node]) -> tuple[bool | None, str | None]:
         """Whether a node's own text shows, which what is in it inherits (None if nothing in it does), and its display as
         styles state it. `path` ends with the node and has its ancestors before."""
@@ -439,6 +497,10 @@ class Tree:
                     if any(ranked > best.get(what, ((),)) for what, ranked in ranks.items()) and matches(parts, children, path):
                         for what, ranked in ranks.items():
                             best[what] = max(best.get(what, ((),)), ranked)
+            if self.looks <= 0:
+                for what, all_of in self.matched_together().items():
+                    best[what] = max(best.get(what, ((),)), all_of.best(path) or ((),))
+                best = {what: ranked for what, ranked in best.items() if ranked != ((),)}
         if attributes and attributes.get("style"):
             for what, (important, value) in declarations(CSS_NOISE.sub("", attributes["style"])).items():
                 best[what] = max(best.get(what, ((),)), ((important, (2, 0, 0), 0), value))

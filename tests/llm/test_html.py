@@ -5,7 +5,8 @@ from html.parser import HTMLParser
 
 import pytest
 
-from tallyspark.llm.html import BLOCK, IMPLIED, Node, matches, render, render_pages, selector_of
+from tallyspark.llm import html as html_module
+from tallyspark.llm.html import BLOCK, IMPLIED, Node, Together, matches, render, render_pages, selector_of
 
 CASES = [
     (None, ""),
@@ -186,3 +187,35 @@ def test_selectors_against_trying_every_ancestor():
         assert matches(parts, children, path) == want, (text, [(n.tag, n.attributes) for n in path])
         seen.add((want, len(parts)))
     assert len(seen) == 12
+
+
+def test_selectors_beyond_the_places_tried_one_by_one(monkeypatch):
+    css = ".a .b{display:none} .a > .c{visibility:hidden} .a > .c .d{visibility:visible} i[x=q] b{display:none} .e .b{display:inline}"
+    body = "".join("<div class=a><p><span class=b>no</span> yes<p class=e><span class=b>shown</span></div><div class=a><div class=c>no<u class=d>seen</u></div></div><i x=q><b>no</b>r</i><i x=z><b>s</b></i>" for _ in range(3))
+    want = render(f"<style>{css}</style>{body}")
+    assert "no" not in want.split() and want.split().count("shown") == 3
+    for looks in (0, 1, 7, 40):
+        monkeypatch.setattr(html_module, "LOOKS", looks)
+        assert render(f"<style>{css}</style>{body}") == want
+    monkeypatch.undo()
+    page = "<style>" + "".join(f".x{i} .a{{color:red;display:inline}}" for i in range(2000)) + ".y .a{display:none}</style><div class=y>" + "".join("<p><b class=a>hidden</b>s</p>" for _ in range(1500)) + "</div>"
+    assert "hidden" not in render(page)
+
+
+def test_selectors_together_against_one_by_one():
+    rng = random.Random(4)
+    rules = []
+    for k in range(60):
+        text = rng.choice(["a", ".x", "*", "[class~=y]"])
+        for _ in range(rng.randint(0, 4)):
+            text += rng.choice([" ", ">"]) + rng.choice(["a", "b", ".x", ".y", "a.x", "*", "#i", "b[id]"])
+        parts, children, _, _ = selector_of(text)
+        rules.append(((k,), parts, children))
+    for n in (1, 7, 60):
+        some = rng.sample(rules, n)
+        together = Together(some)
+        path = []
+        for _ in range(3000):
+            del path[rng.randint(0, len(path)) :]
+            path.append(Node(rng.choice("ab"), {"class": rng.choice(["x", "y", "x y"]), **({"id": "i"} if rng.random() < 0.2 else {})}))
+            assert together.best(path) == max((r for r, parts, children in some if matches(parts, children, path)), default=None)
