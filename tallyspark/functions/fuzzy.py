@@ -59,41 +59,181 @@ def name_score(a: str, b: str) -> float:
     return 100.0 if a == b else max(ratio(a, b), partial_ratio(a, b), token_sort_ratio(a, b))
 
 
+#: Pairs of names that are compared at once, names that are looked up at once, and bytes of one table of bits.
+PAIRS, NAMES_AT_ONCE, TABLE = 4_000, 2_000, 16_000_000
+#: By how much a computed bound may be too low.
+SLACK = 1e-9
+
+
+class Strings:
+    """Strings as rows of character numbers, 0 beyond their ends and for characters outside of the alphabet."""
+
+    def __init__(self, texts: list[str], alphabet: dict[str, int]):
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.codes = np.zeros((len(texts), int(self.length.max(initial=0)) + 1), np.int32)
+        for row, text in zip(self.codes, texts):
+            row[: len(text)] = [alphabet.get(c, 0) for c in text]
+
+
+def bits_of(codes: np.ndarray, limbs: int, kinds: int) -> np.ndarray:
+    """By limb, string and character, where the character stands in the string."""
+    out = np.zeros((limbs, len(codes), kinds), np.uint64)
+    for i in range(codes.shape[1] - 1):
+        rows = np.flatnonzero(codes[:, i])
+        out[i // passages_in.BITS, rows, codes[rows, i]] |= np.uint64(1 << (i % passages_in.BITS))
+    return out
+
+
+def pair_pieces(a: Strings, x: np.ndarray, kinds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs in pieces of few enough different strings of `a`: their places, the bits of those strings, and by pair
+    which of them is its own."""
+    limbs = max(1, -(-(a.codes.shape[1] - 1) // passages_in.BITS))
+    order, most = np.argsort(x, kind="stable"), max(1, TABLE // (8 * limbs * kinds))
+    own, at = np.unique(x, return_inverse=True)
+    for k in range(0, len(own), most):
+        part = order[np.searchsorted(at[order], k) : np.searchsorted(at[order], k + most)]
+        table = bits_of(a.codes[own[k : k + most]], limbs, kinds)
+        for p in range(0, len(part), PAIRS):
+            yield part[p : p + PAIRS], table, at[part[p : p + PAIRS]] - k
+
+
+def scan(table: np.ndarray, which: np.ndarray, length: np.ndarray, codes: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray, each=None) -> np.ndarray:
+    """LCS of strings, as bits, with `size` characters of others from `start` on; `each` gets it after each character."""
+    limbs, bits = len(table), passages_in.BITS
+    rows = np.full((limbs, len(which)), passages_in.FULL)
+    own = np.clip(length - bits * np.arange(limbs)[:, None], 0, bits).astype(np.uint64)
+    mask = (np.uint64(1) << own) - np.uint64(1)
+    counted = lambda: np.bitwise_count(~rows & mask).sum(axis=0, dtype=np.int64)
+    for j in range(int(size.max(initial=0))):
+        at = np.minimum(start + j, codes.shape[1] - 1)
+        hit = table[:, which, np.where(j < size, codes[row, at], 0)] & rows
+        total = rows + hit
+        for k in range(1, limbs):
+            total[k] += total[k - 1] >> np.uint64(bits)
+        rows = ((rows ^ hit) | total) & passages_in.FULL
+        if each:
+            each(j + 1, counted)
+    return counted()
+
+
+def pair_ratios(a: Strings, x: np.ndarray, b: Strings, y: np.ndarray, kinds: int) -> np.ndarray:
+    """ratio of each pair."""
+    out = np.empty(len(x))
+    for part, table, which in pair_pieces(a, x, kinds):
+        m, s = a.length[x[part]], b.length[y[part]]
+        found = scan(table, which, m, b.codes, y[part], np.zeros(len(part), np.int64), s)
+        out[part] = np.where(m + s > 0, 200.0 * found / np.maximum(m + s, 1), 100.0)
+    return out
+
+
+def pair_partial_ratios(a: Strings, x: np.ndarray, b: Strings, y: np.ndarray, kinds: int) -> np.ndarray:
+    """partial_ratio of each pair, none of `a` longer than that of `b`: all windows are scanned side by side, those that
+    begin before the longer as the beginnings of its first one."""
+    out = np.empty(len(x))
+    for part, table, which in pair_pieces(a, x, kinds):
+        m, s = a.length[x[part]], b.length[y[part]]
+        best = np.where((m == 0) & (s == 0), 100.0, 0.0)
+        begins = np.arange(len(part))
+
+        def beginning(n: int, counted) -> None:
+            now = 200.0 * counted() / np.maximum(m + n, 1)
+            best[:] = np.where(n <= m, np.maximum(best, now), best)
+
+        scan(table, which, m, b.codes, y[part], np.zeros(len(part), np.int64), m, beginning)
+        windows = np.where(m > 0, s, 0)
+        pair = np.repeat(begins, windows)
+        start = np.arange(len(pair)) - np.repeat(np.cumsum(windows) - windows, windows)
+        for k in range(0, len(pair), 8 * PAIRS):
+            p, at = pair[k : k + 8 * PAIRS], start[k : k + 8 * PAIRS]
+            size = np.minimum(m[p], s[p] - at)
+            np.maximum.at(best, p, 200.0 * scan(table, which[p], m[p], b.codes, y[part][p], at, size) / (m[p] + size))
+        out[part] = best
+    return out
+
+
 class NameList:
     """Known names, prepared so that few of them are compared with a name: the characters that two names share bound each
-    of the three ratios, names are compared by falling bounds, and the search ends where the bound is below the best."""
+    of the three ratios, names are compared by falling bounds, and the search ends where the bound is below the best. Many
+    names are looked up at once, the pairs as numpy vectors."""
 
     def __init__(self, keys: list[str], names: list[str]):
         self.keys, self.names = keys, names
-        self.numbers = {c: i for i, c in enumerate(sorted(set("".join(keys))))}
-        self.counts = np.zeros((len(self.numbers), len(keys)), np.int32)
-        for k, key in enumerate(keys):
-            for c in key:
-                self.counts[self.numbers[c], k] += 1
-        self.length = np.array([len(k) for k in keys], np.int64)
-        self.tokens = np.array([len(" ".join(k.split())) for k in keys], np.int64)
-
-    def bounds(self, name: str) -> np.ndarray:
-        shared = np.zeros(len(self.keys), np.int64)
-        for c in set(name) & self.numbers.keys():
-            shared += np.minimum(self.counts[self.numbers[c]], name.count(c))
+        self.numbers = {c: i + 1 for i, c in enumerate(sorted(set("".join(keys))))}
+        self.kinds = len(self.numbers) + 1
+        self.plain, self.sorted = Strings(keys, self.numbers), Strings([" ".join(sorted(k.split())) for k in keys], self.numbers)
+        self.counts = self.counted(self.plain)
+        self.place = np.empty(len(names), np.int64)  # of equal scores the last name counts
+        self.place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        self.by_place = np.argsort(self.place)
+
+    def counted(self, strings: Strings) -> np.ndarray:
+        out = np.zeros((self.kinds, len(strings.codes)), np.int32)
+        for column in strings.codes.T:
+            np.add.at(out, (column, np.arange(len(column))), 1)
+        return out[1:]
+
+    def bounds(self, plain: Strings, tokens: Strings) -> np.ndarray:
+        """By name and known name, what their score is at most."""
+        own = self.counted(plain)
+        shared = np.zeros((len(plain.codes), len(self.keys)), np.int64)
+        for c in np.flatnonzero(own.any(axis=1)):
+            shared += np.minimum(own[c][:, None], self.counts[c][None, :])
         over = lambda top, under: np.where(under > 0, 200.0 * top / np.maximum(under, 1), 100.0)
-        short = np.minimum(self.length, len(name))
+        a, b = plain.length[:, None], self.plain.length[None, :]
+        short = np.minimum(a, b)
         inside = np.minimum(shared, short)
         # a window of the longer may be cut at its edges down to the characters that are shared
-        return np.maximum.reduce([over(shared, self.length + len(name)), over(inside, short + inside), over(shared, self.tokens + len(" ".join(name.split())))])
+        return np.maximum.reduce([over(shared, a + b), over(inside, short + inside), over(shared, tokens.length[:, None] + self.sorted.length[None, :])])
+
+    def scores(self, plain: Strings, tokens: Strings, x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """name_score of pairs of names that aren't equal."""
+        out = np.maximum(pair_ratios(self.plain, k, plain, x, self.kinds), pair_ratios(self.sorted, k, tokens, x, self.kinds))
+        longer = plain.length[x] > self.plain.length[k]  # of equal ones the windows are the known name's
+        for which, part in ((longer, (self.plain, k, plain, x)), (~longer, (plain, x, self.plain, k))):
+            at = np.flatnonzero(which)
+            if len(at):
+                a, i, b, j = part
+                out[at] = np.maximum(out[at], pair_partial_ratios(a, i[at], b, j[at], self.kinds))
+        return out
 
     def best(self, name: str) -> tuple[float, str | None]:
         """The score of the most similar known name; of equal ones the last by name."""
-        top: tuple[float, str | None] = (0.0, None)
-        bound = self.bounds(name)
-        for k in np.argsort(-bound, kind="stable"):
-            if bound[k] < top[0] - 1e-9:
-                break
-            score = name_score(name, self.keys[k])
-            if top[1] is None or (score, self.names[k]) > top:
-                top = (score, self.names[k])
-        return top
+        return self.best_of([name])[0]
+
+    def best_of(self, names: list[str]) -> list[tuple[float, str | None]]:
+        if not self.keys:
+            return [(0.0, None)] * len(names)
+        size = max(1, min(NAMES_AT_ONCE, 2_000_000 // len(self.keys)))
+        return [b for k in range(0, len(names), size) for b in self.best_of_few(names[k : k + size])]
+
+    def best_of_few(self, names: list[str]) -> list[tuple[float, str | None]]:
+        plain, tokens = Strings(names, self.numbers), Strings([" ".join(sorted(n.split())) for n in names], self.numbers)
+        bound = self.bounds(plain, tokens)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        score, place = np.full(len(names), -1.0), np.full(len(names), -1, np.int64)
+        left, at, step = np.arange(len(names)), 0, 1
+        equal: dict[str, int] = {}
+        for k in sorted(range(len(self.keys)), key=self.place.__getitem__):
+            equal[self.keys[k]] = k
+        for i, name in enumerate(names):
+            if name in equal:
+                score[i], place[i] = 100.0, self.place[equal[name]]
+        while len(left) and at < len(self.keys):
+            known = order[left, at : at + step]
+            x, k = np.repeat(left, known.shape[1]), known.ravel()
+            keep = bound[x, k] >= score[x] - SLACK
+            x, k = x[keep], k[keep]
+            if len(x):
+                found = self.scores(plain, tokens, x, k)
+                ranked = np.lexsort((self.place[k], found, x))
+                last = ranked[np.flatnonzero(np.append(x[ranked][1:] != x[ranked][:-1], True))]
+                better = (found[last] > score[x[last]]) | (found[last] == score[x[last]]) & (self.place[k[last]] > place[x[last]])
+                last = last[better]
+                score[x[last]], place[x[last]] = found[last], self.place[k[last]]
+            at, step = at + step, min(2 * step, 64)
+            if at < len(self.keys):
+                left = left[bound[left, order[left, at]] >= score[left] - SLACK]
+        return [(float(s), self.names[self.by_place[p]]) for s, p in zip(score, place)]
 
 
 def nearest_names(names: DataFrame, known: DataFrame, accept: float = 70.0, doubtful: float = 50.0, by: str | None = None) -> DataFrame:
@@ -130,7 +270,8 @@ def best_of(shared):
     @pandas_udf("score double, best string")
     def found(keys: pd.Series) -> pd.DataFrame:
         listed = NameList(*shared.value)
-        distinct = {k: listed.best(k) for k in set(keys)}
+        own = sorted(set(keys))
+        distinct = dict(zip(own, listed.best_of(own)))
         return pd.DataFrame([distinct[k] for k in keys], columns=["score", "best"])
 
     return found
@@ -144,12 +285,12 @@ def nearest_in_groups(rest: DataFrame, listed: DataFrame, by: str) -> DataFrame:
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, listed = object(), None
         for frame in frames:
-            rows = []
-            for value, name, key, known in zip(frame[by], frame["name"], frame["_key"], frame["_known"]):
+            for value, rows in frame.groupby(by, sort=False, dropna=False):
                 if listed is None or value != group:
+                    known = rows["_known"].iloc[0]
                     group, listed = value, NameList([k["_key"] for k in known], [k["name"] for k in known])
-                rows.append((value, name, *reversed(listed.best(key))))
-            yield pd.DataFrame(rows, columns=[by, "name", "best", "score"])
+                found = listed.best_of(list(rows["_key"]))
+                yield pd.DataFrame({by: rows[by].values, "name": rows["name"].values, "best": [b for _, b in found], "score": [s for s, _ in found]})
 
     # a name is compared once in its group; groups of many names are dealt over tasks, each group's rows side by side
     once = rest.select(by, "_key").distinct().withColumn("name", F.col("_key")).repartition(by, F.pmod(F.xxhash64("_key"), F.lit(16))).sortWithinPartitions(by)

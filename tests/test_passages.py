@@ -163,3 +163,16 @@ def test_guessed_ratios_are_reached():
     assert guessed
     for k, score in guessed.items():
         assert score <= max(fuzzy.best_window(texts[k][1], t.split())[0] for t in held)
+
+
+def test_many_names_at_once_against_each_pair():
+    rng = random.Random(6)
+    for letters in ("ab ", "abcdé ", "xyz  '\""):
+        make = lambda: "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 5, 9, 30, 63, 64, 70, 130])))  # noqa: E731, B023
+        keys = [make() for _ in range(30)]
+        known = [f"{k}|{rng.randint(0, 5)}" for k in keys]
+        asked = [make() for _ in range(25)] + keys[:3] + ["q"]
+        want = [max((fuzzy.name_score(a, k), n) for k, n in zip(keys, known)) for a in asked]
+        listed = fuzzy.NameList(keys, known)
+        assert listed.best_of(asked) == want == [listed.best(a) for a in asked]
+    assert fuzzy.NameList([], []).best_of(["a", "b"]) == [(0.0, None)] * 2
