@@ -130,14 +130,17 @@ def normalize_weights(weights: Column, step: float = 0.5, least: float = 1.0) ->
     is dealt a step at a time in order, passing over weights at the least. Null where the weights are empty or the least
     ones alone exceed 100."""
     whole, floor = round(100 / step), round(least / step)
-    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-    steps = F.transform(weights, lambda w: F.greatest(F.lit(floor), F.when(total > 0, F.floor(w / total * whole + 0.5)).otherwise(F.rint(F.lit(float(whole)) / F.size(weights))).cast("int")))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # a value that is computed once
+    rounded = lambda total: F.transform(weights, lambda w: F.greatest(F.lit(floor), F.when(total > 0, F.floor(w / total * whole + 0.5)).otherwise(F.rint(F.lit(float(whole)) / F.size(weights))).cast("int")))
+    steps = once(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), rounded)
 
     def deal(given: Column) -> Column:
-        off = F.lit(whole) - F.aggregate(given, F.lit(0), lambda a, s: a + s)
+        return once(F.lit(whole) - F.aggregate(given, F.lit(0), lambda a, s: a + s), lambda off: dealt(given, off))
+
+    def dealt(given: Column, off: Column) -> Column:
         n = F.size(given)
-        # rounds of one step for each weight that can move; at most as many as the most steps that one weight holds
-        rounds = F.sequence(F.lit(1), F.lit(whole))
+        # rounds of one step for each weight that can move; each deals a step at least, so no more than steps are off
+        rounds = F.slice(F.sequence(F.lit(1), F.lit(whole)), F.lit(1), F.least(F.abs(off), F.lit(whole)))
 
         def one_round(state: Column, _: Column) -> Column:
             now, left = state["steps"], state["left"]
@@ -149,7 +152,7 @@ def normalize_weights(weights: Column, step: float = 0.5, least: float = 1.0) ->
 
         return F.when(n > 0, F.aggregate(rounds, F.struct(given.alias("steps"), off.alias("left")), one_round)["steps"])
 
-    return F.when((F.size(weights) > 0) & (F.size(weights) * least <= 100), F.transform(deal(steps), lambda s: s * F.lit(step)))
+    return F.when((F.size(weights) > 0) & (F.size(weights) * least <= 100), F.transform(once(steps, deal), lambda s: s * F.lit(step)))
 
 
 def normalized_rubrics(rows: DataFrame) -> DataFrame:

@@ -279,3 +279,18 @@ def test_summaries_are_read_once(spark):
     assert Counter(map(tuple, summaries.division_totals(lines).collect())) == Counter([(1, "Section A : Roof", "5"), (2, "FINISHES", "3"), (2, "MASONRY", "1")])
     assert sorted(map(tuple, summaries.project_totals(lines).collect())) == [(1, "7"), (2, "4.00")]
     assert sorted(map(tuple, summaries.division_names(lines).collect())) == [(1, "Section A : Roof"), (2, "FINISHES"), (2, "MASONRY")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_weights_are_dealt_in_as_many_rounds_as_are_off(spark):
+    from tallyspark.operators import scoring
+
+    rows = [(1, [1.0, 1.0, 1.0]), (2, [50.0, 50.0]), (3, [0.0] * 7), (4, [1000.0] + [0.1] * 60), (5, [])]
+    out = scoring.normalized_rubrics(spark.createDataFrame(rows, "rubric int, weights array<double>"))
+    got = {r.rubric: r.normalized for r in out.collect()}
+    assert got[1] == [33.0, 33.5, 33.5] and got[2] == [50.0, 50.0] and got[5] is None
+    assert all(sum(got[k]) == 100.0 and min(got[k]) >= 1.0 for k in (1, 2, 3, 4))
+    assert "slice(" in plan_of(out)
