@@ -77,13 +77,14 @@ def line_states(lines: DataFrame, division: Column, grouping: Column, sub_group:
     """Lines (doc, line_no) with the names in force at each: a new division ends the grouping, a new grouping the
     sub-group. The columns give a line's own name where it is a header, else null."""
     named = lines.withColumns({"_d": division, "_g": grouping, "_s": sub_group})
+    # one window for all three: a name counts where no header above it has come since
     up_to = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    named = named.withColumns({"division": F.last("_d", True).over(up_to), "_dn": F.count("_d").over(up_to)})
-    in_division = Window.partitionBy("doc", "_dn").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    named = named.withColumns({"grouping": F.last("_g", True).over(in_division), "_gn": F.count("_g").over(in_division)})
-    in_grouping = Window.partitionBy("doc", "_dn", "_gn").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    named = named.withColumn("sub_group", F.last("_s", True).over(in_grouping))
-    return named.withColumn("header", F.coalesce("_d", "_g", "_s").isNotNull()).drop("_d", "_g", "_s", "_dn", "_gn")
+    last = lambda name, *since: F.last(F.when(F.col(name).isNotNull(), F.struct(name, *since)), True).over(up_to)
+    named = named.withColumns({"division": F.last("_d", True).over(up_to), "_dn": F.count("_d").over(up_to), "_gn": F.count("_g").over(up_to)})
+    named = named.withColumns({"_lg": last("_g", "_dn"), "_ls": last("_s", "_dn", "_gn")})
+    in_division, in_grouping = F.col("_lg._dn") == F.col("_dn"), (F.col("_ls._dn") == F.col("_dn")) & (F.col("_ls._gn") == F.col("_gn"))
+    named = named.withColumns({"grouping": F.when(in_division, F.col("_lg._g")), "sub_group": F.when(in_grouping, F.col("_ls._s"))})
+    return named.withColumn("header", F.coalesce("_d", "_g", "_s").isNotNull()).drop("_d", "_g", "_s", "_dn", "_gn", "_lg", "_ls")
 
 
 def item_ids(items: DataFrame) -> DataFrame:

@@ -285,6 +285,27 @@ def plan_of(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_line_states_in_one_order(spark):
+    """Names in force need one order of the lines: a header's own line counts, and so does a name in a line with a header above it."""
+    from tallyspark.operators import documents
+
+    rng = random.Random(3)
+    rows = [(d, i, *(f"{m}{i}" if rng.random() < 0.3 else None for m in "dgs")) for d in range(20) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc int, line_no int, a string, b string, c string")
+    out = documents.line_states(table, F.col("a"), F.col("b"), F.col("c"))
+    want, state, last = {}, [None] * 3, None
+    for doc, i, *own in rows:
+        if doc != last:
+            state, last = [None] * 3, doc
+        for k in range(3):
+            if own[k]:
+                state = [*state[:k], own[k], *[None] * (2 - k)]
+        want[doc, i] = (*state, any(own))
+    assert {(r.doc, r.line_no): (r.division, r.grouping, r.sub_group, r.header) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_weights_are_dealt_in_as_many_rounds_as_are_off(spark):
     from tallyspark.operators import scoring
 
