@@ -139,10 +139,10 @@ def until_budget(pages: DataFrame, budget: int) -> DataFrame:
 
 
 def layered(images: DataFrame, share: float = 0.8) -> DataFrame:
-    """Pages with at least two images (doc, page, area) nearly as large as the largest."""
-    largest = F.max("area").over(Window.partitionBy("doc", "page"))
-    near = images.withColumn("largest", largest).filter((F.col("area") > 0) & (F.col("area") >= F.col("largest") * share))
-    return near.groupBy("doc", "page").agg(F.count("*").alias("n")).filter("n >= 2").select("doc", "page")
+    """Pages with at least two images (doc, page, area) nearly as large as the largest. A page's areas are gathered, so its
+    images aren't sorted."""
+    near = F.filter("_areas", lambda a: (a > 0) & (a >= F.array_max("_areas") * share))
+    return images.groupBy("doc", "page").agg(F.collect_list("area").alias("_areas")).filter(F.size(near) >= 2).select("doc", "page")
 
 
 def scanned(pages: DataFrame, chars: int = 200) -> DataFrame:

@@ -306,6 +306,15 @@ def test_line_states_in_one_order(spark):
     assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_layered_pages_are_not_sorted(spark):
+    from tallyspark.operators import documents
+
+    rows = [(1, 1, 10.0), (1, 1, 8.0), (1, 2, 10.0), (1, 2, 7.9), (1, 3, 0.0), (1, 3, 0.0), (1, 4, None), (1, 4, 3.0), (1, 5, 3.0), (1, 5, None), (1, 5, 3.0), (2, 1, -1.0), (2, 1, -1.0)]
+    out = documents.layered(spark.createDataFrame(rows, "doc int, page int, area double"))
+    assert sorted((r.doc, r.page) for r in out.collect()) == [(1, 1), (1, 5)]
+    assert "Window" not in plan_of(out)
+
+
 def test_weights_are_dealt_in_as_many_rounds_as_are_off(spark):
     from tallyspark.operators import scoring
 
