@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -24,6 +24,15 @@ BEGIN_MARKS = ("### BEGIN RFP-REFERENCE", "### BEGIN CONTRACTOR-SUBMISSION")
 END_MARK = "### END CONTRACTOR-SUBMISSION"
 
 
+#: Texts that a Python worker holds at once.
+BATCH_ROWS = 256
+
+
+def small_batches(session: SparkSession) -> None:
+    """Bound what a Python worker holds of long texts, whatever the table's size."""
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def cuts(text: Column, most_bytes: int, most_tokens: int, per_token: float = 4.0, count: Callable[[str], int] | None = None) -> Column:
     """Array of (start, stop), in characters, of the pieces of a text under both budgets, which join to it; by an estimate
     of characters a token, or by `count`. A null or empty text has none. A code point is never cut, so fewer than 4 bytes
@@ -47,6 +56,7 @@ def piece(text: Column, cut: Column) -> Column:
 
 def budget_chunks(docs: DataFrame, most_bytes: int, most_tokens: int, per_token: float = 4.0, count: Callable[[str], int] | None = None) -> DataFrame:
     """doc_id, chunk, start, stop, text: see `cuts`."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.posexplode(cuts(F.col("text"), most_bytes, most_tokens, per_token, count)).alias("chunk", "cut"))
     return rows.select("doc_id", "chunk", "cut.start", "cut.stop", piece(F.col("text"), F.col("cut")).alias("text"))
 

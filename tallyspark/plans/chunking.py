@@ -48,6 +48,7 @@ def boq_division_segments(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS joined, strlen(text) AS bytes, true AS fits FROM documents")
 def txt_budget_chunks(spark, sf_dir):
     """Whole texts in pieces of at most 700 bytes and 150 tokens, which join to them."""
+    budgets.small_batches(spark)
     rows = load(spark, sf_dir, "documents").select("doc_id", "text", budgets.cuts(F.col("text"), 700, 150).alias("cuts"))
     rows = rows.select("doc_id", F.transform("cuts", lambda c: budgets.piece(F.col("text"), c)).alias("pieces"))
     fits = F.forall("pieces", lambda p: (F.octet_length(p) <= 700) & (F.length(p) < 151 * 4) & (p != ""))

@@ -360,3 +360,19 @@ def test_long_lists_and_nulls(spark, monkeypatch):
 def test_digest_of_joined_pieces():
     text = "".join(texts(30))
     assert hashlib.sha256("".join(text[a:b] for a, b in cutting.budget_cuts(text, 100, 20, 4.0)).encode()).digest() == hashlib.sha256(text.encode()).digest()
+
+
+def test_workers_hold_few_texts_at_once(spark):
+    from tallyspark.operators import budgets
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    docs = spark.range(1000).selectExpr("id AS doc_id", "repeat('a word. ', 40) AS text")
+    out = budgets.budget_chunks(docs, 100, 20).select("doc_id", "text").collect()
+    assert int(spark.conf.get(key)) == budgets.BATCH_ROWS <= 256
+    spark.conf.set(key, before)
+    held = {}
+    for r in sorted(out, key=lambda r: r.doc_id):
+        held[r.doc_id] = held.get(r.doc_id, 0) + len(r.text)
+    assert set(held.values()) == {320} and len(held) == 1000
