@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tallyspark.functions.cutting import budget_cuts, counted_cuts, prefix_chunks
-from tallyspark.operators.documents import close_tag, hard_cap, open_tag, packed, parse_documents
-from tallyspark.sources.scratch import written
+from tallyspark.operators.documents import close_tag, open_tag, packed, parse_documents
 
 MEDIA_TOKENS = 512
 
@@ -120,6 +119,47 @@ def summarised(tokens: Column, kind: Column, summary: Column) -> Column:
     return F.least(tokens, F.greatest(F.lit(1), F.when(kind == "batch", F.floor(tokens * 0.3).cast("long")).otherwise(alone)))
 
 
+def shrunk(docs: Column, excess: Column, bound: Column, over: Column, batch: int, shrink: Callable[[Column, str], Column], alone: float = 0.8, together: float = 0.7) -> Column:
+    """A context's documents after they are summarised as `summary_plan` plans it, and the sum of their tokens. They are an
+    array of (least, ord, doc), `least` their tokens below zero, so that it sorts them largest first. From `bound` tokens
+    on they are planned alone, above `over` by force; these are the larger ones, so what they save is known before the
+    first one for a batch is met."""
+
+    def step(s: Column, d: Column) -> Column:
+        tokens = -d["least"]
+        large, small = tokens >= bound, tokens < bound
+        opens = small & (s["used"] > 0) & (s["used"] + tokens > batch)
+        saved = s["saved"] + F.when(opens, F.floor(s["used"] * together)).otherwise(F.lit(0).cast("long"))
+        one = F.when(s["before"] < excess, shrink(tokens, "single")).when(tokens > over, shrink(tokens, "forced")).otherwise(tokens)
+        new = F.when(large, one).when(small & (saved < excess - s["before"]), shrink(tokens, "batch")).otherwise(tokens)
+        before = F.when(large, s["before"] + F.floor(tokens * alone)).otherwise(s["before"])
+        used = F.when(opens, tokens).when(small, s["used"] + tokens).otherwise(s["used"])
+        out = F.array_append(s["out"], F.struct((-new).alias("least"), d["ord"].alias("ord"), d["doc"].alias("doc")))
+        return F.struct(out.alias("out"), before.alias("before"), used.alias("used"), saved.alias("saved"))
+
+    start = F.struct(F.slice(docs, 1, 0).alias("out"), *(F.lit(0).cast("long").alias(c) for c in ("before", "used", "saved")))
+    return F.aggregate(F.array_sort(docs), start, step, lambda s: s["out"])
+
+
+def tokens_of(docs: Column | str) -> Column:
+    """The tokens of such an array."""
+    return -F.aggregate(docs, F.lit(0).cast("long"), lambda sum, d: sum + F.coalesce(d["least"], F.lit(0).cast("long")))
+
+
+def placeholders(docs: Column, limit: int, placeholder: int) -> Column:
+    """Such an array, its largest savings given way to placeholders until it fits; see `hard_cap`."""
+    saving = lambda d: F.greatest(-d["least"] - placeholder, F.lit(0).cast("long"))
+    ranked = F.reverse(F.array_sort(F.transform(docs, lambda d: F.struct(saving(d).alias("saving"), (-d["least"]).alias("tokens"), d["ord"].alias("ord"), d["doc"].alias("doc")))))
+
+    def step(s: Column, d: Column) -> Column:
+        gives = (s["left"] > limit) & (d["saving"] > 0)
+        least = -F.when(gives, F.lit(placeholder).cast("long")).otherwise(d["tokens"])
+        out = F.array_append(s["out"], F.struct(least.alias("least"), d["ord"].alias("ord"), d["doc"].alias("doc")))
+        return F.struct(out.alias("out"), F.when(gives, s["left"] - d["saving"]).otherwise(s["left"]).alias("left"))
+
+    return F.aggregate(ranked, F.struct(F.slice(docs, 1, 0).alias("out"), tokens_of(docs).alias("left")), step, lambda s: s["out"])
+
+
 def squeezed(
     docs: DataFrame, target: int, hard: int, chunk: int = 500_000, summary: int = 8_000, ceiling: int = 0, batch: int = 50_000, passes: int = 10, stall: float = 0.03, placeholder: int = 12, shrink: Callable[[Column, Column, Column], Column] = summarised
 ) -> DataFrame:
@@ -130,52 +170,49 @@ def squeezed(
     largest savings give way to placeholders of `placeholder` tokens. `shrink` estimates a document's tokens after a pass
     from its tokens, its kind in the plan and the summary's size; a context keeps its best pass.
 
-    All contexts go through a pass together, those that are done aside; a pass ends with a checkpoint, so plans don't grow
-    and a lost executor costs no earlier pass. There are `passes` + 2 at most, whatever the table."""
-    context = Window.partitionBy("ctx")
-    total = lambda c="tokens": F.sum(c).over(context)
-    kept = [*docs.select("ctx", "ord", "doc", "tokens").columns, "best", "first", "chunk", "summary", "ceiling", "passes", "outcome"]
-
-    def tightened(rows: DataFrame, step: int) -> DataFrame:
+    A context's documents are gathered in a row once, as numbers and ids; all passes work on that row, so there is one
+    shuffle and no sort but that of the gathering, however many passes are needed."""
+    none = F.lit(None).cast("long")
+    own = F.struct((-F.col("tokens").cast("long")).alias("least"), "ord", "doc")
+    rows = docs.groupBy("ctx").agg(F.collect_list(own).alias("docs")).withColumn("_after", tokens_of("docs"))
+    settings = {"chunk": F.lit(chunk).cast("long"), "summary": F.lit(summary).cast("long"), "ceiling": F.lit(ceiling).cast("long"), "passes": F.lit(0)}
+    rows = rows.withColumns(settings | {"best": F.col("docs"), "_best": F.col("_after"), "outcome": F.when(F.col("_after") <= target, "fits")})
+
+    def compressed(rows: DataFrame, going: Column, goal: int) -> DataFrame:
+        """The rows with `_new`, the documents after a pass, and `_after`, what they take; but where `going` `_new` is null.
+        `_total` is what they take before."""
+        least = F.greatest(F.lit(LEAST_SINGLE), F.floor(F.col("chunk") / 100)).cast("long")
+        forced = F.when(F.col("ceiling") > 0, F.col("ceiling"))
+        rows = rows.withColumns({"_bound": F.when(going, F.least(least, forced + 1)), "_over": F.when(going, F.coalesce(forced, F.lit(2**63 - 1)))})
+        fresh = lambda tokens, kind: shrink(tokens, F.lit(kind), F.col("summary")).cast("long")
+        new = shrunk(F.col("docs"), F.col("_total") - goal, F.col("_bound"), F.col("_over"), batch, fresh)
+        rows = rows.withColumn("_new", F.when(going, F.when(F.col("_total") > goal, new).otherwise(F.col("docs"))))
+        return rows.withColumn("_after", F.when(going, tokens_of("_new")))
+
+    going = F.col("outcome").isNull()
+    for step in range(1, passes + 1):
+        rows = rows.withColumn("_total", F.when(going, F.col("_after")).otherwise(none))
         over = F.col("_total") / F.lit(max(1, target))
         factor = F.greatest(F.lit(0.05), 1.0 / F.greatest(F.lit(1.0), over) * F.lit(0.7 ** (step - 1)))
-        scaled = lambda of, least: F.greatest(F.lit(least), F.floor(of * factor)).cast("long")
-        return rows.withColumns({"chunk": scaled(F.lit(chunk), LEAST_CHUNK), "summary": scaled(F.lit(summary), LEAST_SUMMARY), "ceiling": F.when(F.col("ceiling") > 0, scaled(F.col("ceiling"), LEAST_CEILING)).otherwise(F.col("ceiling"))})
-
-    def compressed(rows: DataFrame, goal: int) -> DataFrame:
-        """The rows with their tokens after a pass, and `_total` as it was before."""
-        least = F.greatest(F.lit(LEAST_SINGLE), F.floor(F.col("chunk") / 100))
-        plan = summary_plan(rows.withColumn("cached", F.lit(None).cast("long")), goal, least, F.col("ceiling"), batch).select("ctx", "doc", "kind")
-        joined = rows.join(plan, ["ctx", "doc"], "left")
-        return joined.withColumn("tokens", F.when(F.col("kind").isNotNull(), shrink(F.col("tokens"), F.col("kind"), F.col("summary"))).otherwise(F.col("tokens")).cast("long")).drop("kind")
-
-    start = docs.select("ctx", "ord", "doc", F.col("tokens").cast("long").alias("tokens"), F.col("tokens").cast("long").alias("best"))
-    settings = {"chunk": F.lit(chunk).cast("long"), "summary": F.lit(summary).cast("long"), "ceiling": F.lit(ceiling).cast("long"), "passes": F.lit(0), "first": total()}
-    state = start.withColumns(settings).withColumn("outcome", F.when(F.col("first") <= target, "fits"))
-    for step in range(1, passes + 1):
-        rows = state.filter("outcome IS NULL").withColumn("_total", total())
-        if step > 1:
-            rows = tightened(rows, step)
-        else:
-            far = F.col("_total") > 5.0 * max(1, target)
-            hurried = tightened(rows, 1)
-            rows = rows.filter(~far).unionByName(hurried.filter(far))
-        rows = compressed(rows, hard if step == passes else target).withColumns({"_after": total(), "_best": total("best")})
-        rows = rows.withColumns({"best": F.when(F.col("_after") < F.col("_best"), F.col("tokens")).otherwise(F.col("best")), "passes": F.lit(step)})
+        tightens = going if step > 1 else going & (F.col("_total") > 5.0 * max(1, target))
+        scaled = lambda of, least: F.greatest(F.lit(least), F.floor(of * factor)).cast("long")  # noqa: B023, E731
+        tight = {"chunk": scaled(F.lit(chunk), LEAST_CHUNK), "summary": scaled(F.lit(summary), LEAST_SUMMARY), "ceiling": F.when(F.col("ceiling") > 0, scaled(F.col("ceiling"), LEAST_CEILING)).otherwise(F.col("ceiling"))}
+        rows = compressed(rows.withColumns({c: F.when(tightens, value).otherwise(F.col(c)) for c, value in tight.items()}), going, hard if step == passes else target)
+        better = going & (F.col("_after") < F.col("_best"))
         stalls = F.lit(step >= 3) & (1 - F.col("_after") / F.greatest(F.col("_total"), F.lit(1)) < stall)
         ends = F.when(F.col("_after") <= target, "fits").when(stalls | F.lit(step == passes), F.when(F.least("_after", "_best") <= hard, "hard").otherwise("over"))
-        state = written(state.filter("outcome IS NOT NULL").select(kept).unionByName(rows.withColumn("outcome", ends).select(kept)))
-        if state.filter("outcome IS NULL").isEmpty():
-            break
+        moved = {"docs": F.coalesce("_new", "docs"), "best": F.when(better, F.col("_new")).otherwise(F.col("best")), "_best": F.when(better, F.col("_after")).otherwise(F.col("_best"))}
+        rows = rows.withColumns(moved | {"passes": F.when(going, F.lit(step)).otherwise(F.col("passes")), "outcome": F.when(going, ends).otherwise(F.col("outcome"))})
     # where the target is met the pass counts as it is, else the best one
-    state = state.withColumn("tokens", F.when(F.col("outcome") == "fits", F.col("tokens")).otherwise(F.col("best")))
-    over = state.filter("outcome = 'over'").withColumns({"_total": total(), "chunk": F.lit(LEAST_CHUNK).cast("long"), "summary": F.lit(LEAST_SUMMARY).cast("long"), "ceiling": F.lit(max(LEAST_CEILING, ceiling)).cast("long")})
-    last = compressed(over, hard).withColumn("_after", total())
-    last = last.withColumn("tokens", F.when(F.col("_after") < F.col("_total"), F.col("tokens")).otherwise(F.col("best")))
-    last = written(last.withColumn("outcome", F.when(total() <= hard, "emergency").otherwise("capped")).select(kept))
-    capped = hard_cap(last.filter("outcome = 'capped'").select("ctx", "ord", "doc", "tokens"), hard, placeholder).select("ctx", "doc", F.lit(True).alias("_gone"))
-    last = last.join(capped, ["ctx", "doc"], "left").withColumn("tokens", F.when(F.col("_gone"), F.lit(placeholder).cast("long")).otherwise(F.col("tokens")))
-    return state.filter("outcome <> 'over'").select(kept).unionByName(last.select(kept)).select("ctx", "ord", "doc", "tokens", "passes", "outcome")
+    rows = rows.withColumn("docs", F.when(F.col("outcome") == "fits", F.col("docs")).otherwise(F.col("best")))
+    urgent = F.col("outcome") == "over"
+    rows = rows.withColumns({"_total": F.when(urgent, F.col("_best")), "chunk": F.lit(LEAST_CHUNK).cast("long"), "summary": F.lit(LEAST_SUMMARY).cast("long"), "ceiling": F.lit(max(LEAST_CEILING, ceiling)).cast("long")})
+    rows = compressed(rows, urgent, hard)
+    gains = urgent & (F.col("_after") < F.col("_total"))
+    rows = rows.withColumn("docs", F.when(gains, F.col("_new")).otherwise(F.col("docs")))
+    rows = rows.withColumn("outcome", F.when(~urgent, F.col("outcome")).when(F.least("_after", "_total") <= hard, "emergency").otherwise("capped"))
+    out = F.when(F.col("outcome") == "capped", placeholders(F.col("docs"), hard, placeholder)).otherwise(F.col("docs"))
+    return rows.select("ctx", F.inline(out), "passes", "outcome").select("ctx", "ord", "doc", (-F.col("least")).alias("tokens"), "passes", "outcome")
 
 
 def split_regions(parts: DataFrame, begin: tuple[str, ...] = BEGIN_MARKS, end: str = END_MARK) -> DataFrame:

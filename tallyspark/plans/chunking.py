@@ -101,8 +101,9 @@ def shrinks_badly(tokens: Column, kind: Column, summary: Column) -> Column:
 @query()
 def ctx_squeezed(spark, sf_dir):
     """The lines of each order as documents of up to 50,000 tokens, brought to 40,000, or at least to 60,000."""
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    docs = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ctx"), at.alias("ord"), (F.col("l_quantity").cast("int") * 1000 + F.col("l_partkey") % 7).alias("tokens")).withColumn("doc", F.col("ord"))
+    rows = load(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "ctx")
+    at = F.row_number().over(Window.partitionBy("ctx").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    docs = rows.select("ctx", at.alias("ord"), (F.col("l_quantity").cast("int") * 1000 + F.col("l_partkey") % 7).alias("tokens")).withColumn("doc", F.col("ord"))
     return budgets.squeezed(docs, 40_000, 60_000, ceiling=30_000, shrink=shrinks_badly)
 
 

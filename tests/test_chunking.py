@@ -223,6 +223,15 @@ def test_squeeze_against_a_plain_loop(spark, setting):
     assert setting["target"] != 40_000 or "hard" in {o for _, _, o in want.values()}
 
 
+def test_a_squeeze_takes_one_shuffle_and_no_sort_of_its_own(spark, capsys):
+    """However many passes there are, a task holds the gathered contexts alone."""
+    df = spark.range(400).selectExpr("id % 50 AS ctx", "CAST(id AS int) AS ord", "id AS doc", "CAST(id * 99 AS int) AS tokens")
+    for passes in (1, 10):
+        budgets.squeezed(df, 9_000, 12_000, passes=passes).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan and "Checkpoint" not in plan
+
+
 A, B, END = *budgets.BEGIN_MARKS, budgets.END_MARK
 
 
