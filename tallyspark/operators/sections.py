@@ -19,19 +19,26 @@ LONGER = 25
 MOST_NAMES = 10_000
 
 
+#: What `\\s` matches in Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def header_lines(lines: DataFrame) -> DataFrame:
     """Lines as headers: `_bare` without bars and spaces around, `_section` and `_bill` what follows such a mark; lines of
     a division that goes on are left out."""
-    bare = stripped(F.regexp_replace(stripped(F.upper(F.coalesce("line", F.lit("")))), r"^\|+|\|+$", ""))
-    rows = lines.select("doc", "line_no", bare.alias("_bare")).filter("_bare <> ''")
-    goes_on = F.exists(F.array(*map(F.lit, CONTINUED)), lambda mark: F.contains("_bare", mark))
-    section = F.when(F.col("_bare").rlike(SECTION), stripped(F.regexp_replace("_bare", SECTION, "")))
-    bill = F.when(F.col("_bare").rlike(BILL), stripped(F.regexp_extract("_bare", BILL, 1)))
-    return rows.filter(~goes_on).select("doc", "line_no", "_bare", section.alias("_section"), bill.alias("_bill"))
+    bare = stripped(F.btrim(stripped(F.upper(F.coalesce("line", F.lit("")))), F.lit("|")))
+    # as a generated row, so that it is computed once for all that is asked of it
+    rows = lines.select("doc", "line_no", F.inline(F.array(F.struct(bare.alias("_bare"))))).filter("_bare <> ''")
+    for mark in CONTINUED:
+        rows = rows.filter(~F.contains("_bare", F.lit(mark)))
+    headed = lambda word, form: F.startswith("_bare", F.lit(word)) & F.col("_bare").rlike(form)
+    section = F.when(headed("SECTION", SECTION), stripped(F.regexp_replace("_bare", SECTION, "")))
+    bill = F.when(headed("BILL", BILL), stripped(F.regexp_extract("_bare", BILL, 1)))
+    return rows.select("doc", "line_no", "_bare", section.alias("_section"), bill.alias("_bill"))
 
 
 def name_forms(names: DataFrame) -> DataFrame:
@@ -46,23 +53,23 @@ def division_starts(lines: DataFrame, names: DataFrame) -> DataFrame:
     with one key the first that is found stays.
 
     A document's names go to its lines as one array, so a line is a row once, whatever it holds, and only hits are
-    exploded; they are reduced to a line per name before they are shuffled."""
+    exploded. All steps go by document, so lines and names are shuffled once at most. A text that holds a name in full
+    holds its key, and what follows a mark is part of the line, so names whose key the line doesn't hold are passed over."""
     forms = name_forms(names)
-    listed = F.collect_list(F.struct("ord", "full", "key"))
+    listed = F.collect_list(F.struct("ord", "name", "key", F.length("full").alias("size")))
     listed = F.when(F.count(F.lit(1)) > MOST_NAMES, F.raise_error(F.lit(f"more than {MOST_NAMES} names of one document"))).otherwise(listed)
-    patterns = forms.groupBy("doc").agg(listed.alias("_names"), F.max(F.greatest(F.length("full"), F.length("key"))).alias("_longest"))
+    patterns = forms.groupBy("doc").agg(listed.alias("_names"), F.max(F.length("full")).alias("_longest"))
     possible = F.coalesce("_section", "_bill").isNotNull() | (F.length("_bare") < F.col("_longest") + LONGER)
     rows = header_lines(lines).join(patterns, "doc").filter(possible)
-
-    def tier(n: Column) -> Column:
-        holds = lambda text: F.coalesce(F.contains(text, n["full"]) | F.contains(text, n["key"]), F.lit(False))
-        short = F.length("_bare") < F.greatest(F.length(n["full"]), F.length(n["key"])) + LONGER
-        return F.when(holds(F.col("_section")), 1).when(holds(F.col("_bill")), 2).when(holds(F.col("_bare")) & short, 3)
-
-    hits = F.filter(F.transform("_names", lambda n: F.struct(n["ord"].alias("ord"), tier(n).alias("tier"))), lambda h: h["tier"].isNotNull())
-    first = rows.select("doc", "line_no", F.inline(hits)).groupBy("doc", "ord").agg(F.min(F.struct("tier", "line_no")).alias("at"))
-    found = forms.join(first, ["doc", "ord"]).groupBy("doc", "key").agg(F.min_by(F.struct("ord", "name", "at.tier", F.col("at.line_no").alias("start")), "ord").alias("f"))
-    return found.select("doc", "f.ord", "f.name", "key", "f.tier", "f.start")
+    held = F.filter("_names", lambda n: F.contains("_bare", n["key"]))
+    rows = rows.select("doc", "line_no", "_bare", "_section", "_bill", F.inline(held))
+    tier = F.when(F.contains("_section", "key"), 1).when(F.contains("_bill", "key"), 2).when(F.length("_bare") < F.col("size") + LONGER, 3)
+    at = [F.min(F.when(tier == k, F.col("line_no"))).alias(f"_at{k}") for k in (1, 2, 3)]
+    first = rows.groupBy("doc", "ord", "name", "key").agg(*at).filter(F.coalesce("_at1", "_at2", "_at3").isNotNull())
+    kind = F.when(F.col("_at1").isNotNull(), 1).when(F.col("_at2").isNotNull(), 2).otherwise(3)
+    found = first.select("doc", "ord", "name", "key", kind.alias("tier"), F.coalesce("_at1", "_at2", "_at3").alias("start"))
+    own = F.row_number().over(Window.partitionBy("doc", "key").orderBy("ord"))
+    return found.withColumn("_own", own).filter("_own = 1").drop("_own")
 
 
 def division_segments(lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -70,12 +77,14 @@ def division_segments(lines: DataFrame, names: DataFrame) -> DataFrame:
     which fewer than two are found have none, and of two on one line the later name has it."""
     order = Window.partitionBy("doc").orderBy("start", "ord")
     starts = division_starts(lines, names).withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy("doc")), "stop": F.lead("start").over(order)})
-    starts = starts.filter((F.col("_n") > 1) & (F.col("stop").isNull() | (F.col("stop") > F.col("start")))).select("doc", "name", "tier", "start", "stop")
-    held = lines.join(starts.select("doc", F.col("start").alias("line_no"), F.lit(True).alias("_opens")), ["doc", "line_no"], "left")
-    place = F.last(F.when(F.col("_opens"), F.col("line_no")), True).over(Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    parts = held.withColumn("start", place).filter("start IS NOT NULL").groupBy("doc", "start").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))).alias("_lines"))
-    text = stripped(F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"))
-    return starts.join(parts.select("doc", "start", text.alias("text")), ["doc", "start"]).filter("text <> ''").select("doc", "name", "tier", "start", "stop", "text")
+    starts = starts.filter((F.col("_n") > 1) & (F.col("stop").isNull() | (F.col("stop") > F.col("start"))))
+    listed = starts.groupBy("doc").agg(F.collect_list(F.struct("name", "tier", "start", "stop")).alias("_divisions"))
+    holds = lambda x: (x["start"] <= F.col("line_no")) & (x["stop"].isNull() | (F.col("line_no") < x["stop"]))
+    held = lines.select("doc", "line_no", F.coalesce("line", F.lit("")).alias("line")).join(listed, "doc")
+    parts = held.select("doc", "line_no", "line", F.get(F.filter("_divisions", holds), F.lit(0)).alias("_in")).filter("_in IS NOT NULL")
+    parts = parts.groupBy("doc", "_in").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
+    text = stripped(F.array_join(F.col("_lines.line"), "\n"))
+    return parts.select("doc", "_in.*", text.alias("text")).filter("text <> ''")
 
 
 # Division names that a sheet's head may hold, in the order that decides; how much of a sheet is its head;

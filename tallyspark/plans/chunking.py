@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.operators import budgets, documents, sections
-from tallyspark.sources.tables import load
+from tallyspark.sources.tables import dealt, load
 
 from .register import query
 
@@ -15,10 +17,11 @@ from .register import query
 def order_sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A content sheet for each order, three lines for each of its items, headed in one of seven ways; and the names that
     a summary gives these divisions."""
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    own = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), at.alias("at"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"))
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    rows = dealt(load(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc"), "doc")
+    own = rows.select("doc", at.alias("at"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"))
     say = lambda *parts: F.concat(*(F.col(x) if x in ("p", "s") else F.lit(x) for x in parts))
-    pick = lambda *forms: F.element_at(F.array(*forms), F.least(F.col("n"), F.lit(7)))
+    pick = lambda *forms: reduce(lambda rest, k: F.when(F.col("n") == k, forms[k - 1]).otherwise(rest), range(6, 0, -1), forms[6])
     heads = pick(say("| Section C : Part ", "p", " of ", "s", " |"), say("Bill No. 2 – Works ", "p"), say("  doors ", "p", " | "), say("Section D: Roofs ", "p", " (CONT'D)"), say("Bill 7 : Part ", "p"), say("Masonry ", "p", " as it is told of in the long description of the works"), F.lit("Section E: all finishes"))
     names = pick(say("Section C: Part ", "p", " of ", "s"), say("works ", "p"), say(" Doors ", "p"), say("Roofs ", "p"), say("Part ", "p"), say("Masonry ", "p"), F.lit("Finishes"))
     shown = F.array(heads, say("Part ", "p", " | 7 | "), F.concat(F.lit("bill no "), F.col("n").cast("string"), F.lit(" (continued)")))
@@ -101,7 +104,7 @@ def shrinks_badly(tokens: Column, kind: Column, summary: Column) -> Column:
 @query()
 def ctx_squeezed(spark, sf_dir):
     """The lines of each order as documents of up to 50,000 tokens, brought to 40,000, or at least to 60,000."""
-    rows = load(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "ctx")
+    rows = dealt(load(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "ctx"), "ctx")
     at = F.row_number().over(Window.partitionBy("ctx").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     docs = rows.select("ctx", at.alias("ord"), (F.col("l_quantity").cast("int") * 1000 + F.col("l_partkey") % 7).alias("tokens")).withColumn("doc", F.col("ord"))
     return budgets.squeezed(docs, 40_000, 60_000, ceiling=30_000, shrink=shrinks_badly)

@@ -319,6 +319,20 @@ def test_segments_against_a_plain_loop(spark):
     assert got == want and {t for s in want.values() for _, t, _ in s} == {1, 2, 3}
 
 
+def test_segments_go_by_document(spark, capsys):
+    """Lines and names that are dealt by document aren't shuffled again, and a header's marks are no work for each name."""
+    lines = spark.createDataFrame([(1, 0, "Roof"), (1, 1, "\u3000| Section A : doors |\x85"), (1, 2, "x")], "doc int, line_no int, line string").repartition(3, "doc")
+    names = spark.createDataFrame([(1, 0, "Part: Doors"), (1, 1, "roof\u2003")], "doc int, ord int, name string").repartition(3, "doc")
+    out = sections.division_segments(lines, names)
+    assert sorted((r.name, r.tier, r.text) for r in out.collect()) == [("Part: Doors", 1, "| Section A : doors |\x85\nx"), ("roof\u2003", 3, "Roof")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sections.division_segments(lines, names).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert capsys.readouterr().out.count("Exchange") == 3  # the lines, twice, and the names
+
+
 def plain_resolved(sheet, text, given, names):
     def summary(name):
         for k in names:
