@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import numbers, text
 from tallyspark.operators import clarifications, contracts, jobs, scoring
 from tallyspark.sources import tables
-from tallyspark.sources.tables import exact_sum, load
+from tallyspark.sources.tables import dealt, exact_sum, load
 
 from .register import query
 
@@ -131,7 +131,8 @@ impacts AS (SELECT main, clause, first(impact ORDER BY "at" DESC) AS impact FROM
 @query("SELECT 'm' || main AS id, first('s' || \"at\" ORDER BY \"at\") AS summary, first('r' || other ORDER BY \"at\" DESC) FILTER (other >= 3) AS related, (SELECT string_agg(clause || '=' || impact, ',' ORDER BY clause) FROM impacts i WHERE i.main = r.main) AS impacts FROM raw r GROUP BY main", RESPONSES)
 def clause_consolidate(spark, sf_dir):
     at = (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100).alias("at")
-    raw = load(spark, sf_dir, "lineitem").groupBy(at).agg(F.min(F.col("l_partkey") % 50).alias("main"), F.min(F.col("l_suppkey") % 7).alias("other"), F.min("l_returnflag").alias("impact"))
+    lines = dealt(load(spark, sf_dir, "lineitem").select(at, "l_partkey", "l_suppkey", "l_returnflag"), "at")
+    raw = lines.groupBy("at").agg(F.min(F.col("l_partkey") % 50).alias("main"), F.min(F.col("l_suppkey") % 7).alias("other"), F.min("l_returnflag").alias("impact"))
     clause = lambda mark, c: F.struct(F.concat(F.lit(mark), F.col(c).cast("string")).alias("id"), F.concat(F.lit("s"), F.col("at").cast("string")).alias("summary"))
     responses = raw.select("at", F.when(F.col("other") < 3, F.array(clause("m", "main"))).otherwise(F.array(clause("m", "main"), clause("r", "other"))).alias("clauses"), "impact")
     out = contracts.consolidate(responses)

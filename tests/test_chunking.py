@@ -399,3 +399,19 @@ def test_workers_hold_few_texts_at_once(spark):
     for r in sorted(out, key=lambda r: r.doc_id):
         held[r.doc_id] = held.get(r.doc_id, 0) + len(r.text)
     assert set(held.values()) == {320} and len(held) == 1000
+
+
+def test_rows_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    """A task's rows don't grow with the table, and the result is the same."""
+    from tallyspark.plans import chunking, relational
+    from tallyspark.sources import tables
+
+    whole = tables.load(spark, "/root/testdata/sf0.001", "lineitem")
+    assert tables.dealt(whole, "l_orderkey", 400).rdd.getNumPartitions() == -(-whole.count() // 400)
+    assert tables.dealt(whole, "l_orderkey").rdd.getNumPartitions() == whole.rdd.getNumPartitions()
+    for query in (relational.clause_consolidate, chunking.boq_division_segments, chunking.ctx_squeezed):
+        want = sorted(query(spark, "/root/testdata/sf0.001").collect(), key=str)
+        monkeypatch.setattr(tables, "TASK_ROWS", 400)
+        dealt = query(spark, "/root/testdata/sf0.001")
+        monkeypatch.undo()
+        assert "RepartitionByExpression" in dealt._jdf.queryExecution().toString() and sorted(dealt.collect(), key=str) == want
