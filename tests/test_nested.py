@@ -75,6 +75,18 @@ def test_deep_structures_are_an_error(spark):
     assert criteria.outline(df.select("id", F.lit(text[6:-1]).alias("text"))).count() == 1
 
 
+def test_outline_is_made_in_its_row(spark):
+    """Each level is opened once, and no lines are gathered again."""
+    plan = criteria.outline(spark.createDataFrame([(1, "{}")], "id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == criteria.DEPTH + 1 and "Aggregate" not in plan
+
+
+def test_equal_keys_within_an_object_lose_nothing(spark):
+    df = spark.createDataFrame([(1, '{"s": {"a": 1, "a": 2, "b": "x"}, "c": 3}')], "id int, text string")
+    assert criteria.outline(df).first().outline.split("\n")[1:] == ["Scope: s", "  - a", "  - a", "  - b", "- c"]
+    assert {(r.name, r.weight) for r in criteria.criteria(df, F.col("raw").try_cast("double")).collect()} == {("a", 2.0), ("c", 3.0)}
+
+
 def test_written_damaged_and_read_again(spark, tmp_path):
     path = str(tmp_path / "reports")
     items = [(d, g, f"t{k}\n\"q\" é", float(k) if k % 3 else None) for d in ("A", "B/x", "C") for g in ("g1", "g2") for k in range(5)]
