@@ -81,12 +81,27 @@ def test_outline_is_made_in_its_row(spark):
     assert plan.count("from_json") == criteria.DEPTH + 1 and "Aggregate" not in plan
 
 
+def test_strings_that_look_like_other_values(spark):
+    text = json.dumps({"a\\": '{"weight": 3}', "it's": "[1]", 'q"': "null", "s": {"s": {"weight": "s 7", "description": "it's \"s\" {}"}}, "d": {"weight": 1, "description": 5}, "l": [{"s": "s"}], "n": {"weight": {"s": ['s"', 2]}}})
+    single = """{'a"b': {'weight': '5', "description": 'c"d'}, "it's": 'e\\'f'}"""
+    df = spark.createDataFrame([(1, text), (2, single), (3, '{"a": "' + "\\\\n" * 100_000 + '"}')], "id int, text string")
+    lines = {r.id: r.outline.split("\n")[1:] for r in criteria.outline(df).collect()}
+    assert lines == {1: ["- a\\", "- it's", '- q"', "Scope: s", "  - s", "    it's \"s\" {}", "- d", "- n"], 2: ['- a"b', '  c"d', "- it's"], 3: ["- a"]}
+    got = {(r.id, r.name): (r.weight, r.description) for r in criteria.criteria(df.filter("id < 3"), F.col("raw")).collect()}
+    assert got == {(1, "a\\"): ('{"weight": 3}', None), (1, "it's"): ("[1]", None), (1, 'q"'): ("null", None), (1, "s"): ("s 7", "it's \"s\" {}"), (1, "d"): ("1", None), (1, "n"): ('{"s":["s\\"",2]}', None), (2, 'a"b'): ("5", 'c"d'), (2, "it's"): ("e'f", None)}
+
+
 def test_equal_keys_within_an_object_lose_nothing(spark):
     df = spark.createDataFrame([(1, '{"s": {"a": 1, "a": 2, "b": "x"}, "c": 3}')], "id int, text string")
     assert criteria.outline(df).first().outline.split("\n")[1:] == ["Scope: s", "  - a", "  - a", "  - b", "- c"]
     assert {(r.name, r.weight) for r in criteria.criteria(df, F.col("raw").try_cast("double")).collect()} == {("a", 2.0), ("c", 3.0)}
 
 
+def test_criteria_open_each_level_once(spark):
+    plan = criteria.criteria(spark.createDataFrame([(1, "{}")], "id int, text string"), F.col("raw"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == criteria.DEPTH + 1
+
+
 def test_written_damaged_and_read_again(spark, tmp_path):
     path = str(tmp_path / "reports")
     items = [(d, g, f"t{k}\n\"q\" é", float(k) if k % 3 else None) for d in ("A", "B/x", "C") for g in ("g1", "g2") for k in range(5)]
