@@ -332,8 +332,16 @@ def best_window(passage: str, words: list[str]) -> tuple[float, int, int]:
     return best
 
 
-#: Characters of passages that go to every task at once; more passages make more passes over the documents.
-BLOCK_CHARS = 4_000_000
+#: Characters of passages that go to every task at once; more passages make more passes over the documents. Characters of
+#: documents that a task holds at once in the first pass and in the second, where more of them make fuller vectors.
+BLOCK_CHARS, LOOK_CHARS, FIND_CHARS = 4_000_000, 1_000_000, 2_000_000
+
+
+def held_texts(frames: Iterator[pd.DataFrame], chars: int, alphabet: passages_in.Alphabet | None = None) -> Iterator[tuple[list, passages_in.Texts]]:
+    """Documents' ids and texts, about `chars` characters at a time."""
+    for ids, texts in passages_in.batches(((i, t) for frame in frames for i, t in zip(frame["doc_id"], frame["text"])), chars):
+        ranks = {d: k for k, d in enumerate(sorted(set(ids)))}
+        yield ids, passages_in.Texts(texts, alphabet, [ranks[d] for d in ids])
 
 
 def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0) -> DataFrame:
@@ -341,14 +349,16 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
     words, without punctuation and whatever the case, from a ratio of `accept` on; of equal ones the smallest id's first.
 
     Passages are the queries: they go to the documents in blocks of BLOCK_CHARS characters, and each task returns its best
-    run of each. Every run counts, see functions.passages; a first look at runs that share words with a passage only tells
-    what its best one reaches at least, so that most others are ruled out. Documents are dealt over all tasks. Null and empty passages, and documents shorter than a passage,
+    run of each. A first pass finds every run that equals a passage, which nothing exceeds, and of the others what a few runs
+    that share words with it reach at least. Where no run equals a passage, a second pass counts every run, see
+    functions.passages. Documents are dealt over all tasks. Null and empty passages, and documents shorter than a passage,
     have none; a null doc_id isn't found."""
     if accept <= 0:
         raise ValueError("a ratio above 0")
     kind = {"p": dict(passages.dtypes)["passage_id"], "d": dict(docs.dtypes)["doc_id"]}
     sizes = passages.select("passage_id", "passage", F.length(F.coalesce("passage", F.lit(""))).alias("_chars")).filter("_chars > 0 AND passage_id IS NOT NULL")
     blocks = sizes.withColumn("_block", F.floor((F.sum("_chars").over(Window.orderBy("passage_id", "passage").rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK_CHARS))
+    fields = f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int"
     session = docs.sparkSession
     given = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
     out = None
@@ -356,32 +366,45 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
         rows = blocks.filter(F.col("_block") == block).select("passage_id", "passage").collect()
         shared = session.sparkContext.broadcast([tuple(r) for r in rows])
 
-        def guesses(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            texts = [text for _, text in shared.value]
-            places, ready = passages_in.places_of(texts), passages_in.prepare(texts)[1]
-            for frame in frames:
-                yield pd.DataFrame(list(passages_in.guessed(places, ready, list(frame["text"]), ratio).items()), columns=["k", "score"])
-
-        reached = {r.k: r.score for r in given.mapInPandas(guesses, "k int, score double").groupBy("k").agg(F.max("score").alias("score")).collect()}
-
-        def found(frames: Iterator[pd.DataFrame], shared=shared, reached=reached) -> Iterator[pd.DataFrame]:
+        def first_look(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            passages = [text for _, text in shared.value]
+            places, ready = passages_in.places_of(passages), passages_in.prepare(passages)[1]
+            reached: dict[int, float] = {}
+            equal: dict[int, tuple] = {}
+            for ids, texts in held_texts(frames, LOOK_CHARS):
+                for k, (d, a) in passages_in.equal_runs(places, ready, texts).items():
+                    equal[k] = min(equal.get(k, (ids[d], a)), (ids[d], a))
+                    reached[k] = 100.0
+                for k, score in passages_in.guessed(places, ready, texts, ratio, reached).items():
+                    reached[k] = max(reached.get(k, 0.0), score)
+            yield pd.DataFrame([(k, s, *equal.get(k, (None, None))) for k, s in reached.items()], columns=["k", "score", "doc_id", "start"]).astype({"doc_id": object, "start": "Int32"})
+
+        looked = given.mapInPandas(first_look, f"k int, score double, doc_id {kind['d']}, start int").groupBy("k")
+        seen = {r.k: r for r in looked.agg(F.max("score").alias("score"), F.min(F.when(F.col("start").isNotNull(), F.struct("doc_id", "start"))).alias("equal")).collect()}
+        ends = {k: r.equal.start + len(rows[k].passage.split()) for k, r in seen.items() if r.equal and accept <= 100.0}
+        reached = {k: r.score for k, r in seen.items()}
+        part = session.createDataFrame([(rows[k].passage_id, seen[k].equal.doc_id, 100.0, seen[k].equal.start, end) for k, end in ends.items()], fields)
+
+        # without a word character a passage is like nothing
+        rest = [k for k, r in enumerate(rows) if k not in ends and any(map(passages_in.fold, r.passage.split()))]
+
+        def found(frames: Iterator[pd.DataFrame], shared=shared, reached=reached, rest=rest) -> Iterator[pd.DataFrame]:
             alphabet, ready = passages_in.prepare([text for _, text in shared.value])
+            rest = sorted(rest, key=lambda k: ready[k].n)
             best: dict[int, tuple] = {}
-            pairs = ((i, t) for frame in frames for i, t in zip(frame["doc_id"], frame["text"]))
-            for ids, held in passages_in.batches(pairs):
-                order = sorted(range(len(ids)), key=ids.__getitem__)
-                texts = passages_in.Texts([held[k] for k in order], alphabet)
-                for k, passage in enumerate(ready):
+            for ids, texts in held_texts(frames, FIND_CHARS, alphabet):
+                for k in rest:
                     least = max(accept, reached.get(k, 0.0), best[k][0] if k in best else 0.0)
-                    hit = passages_in.most_like(passage, texts, least)
+                    hit = passages_in.most_like(ready[k], texts, least)
                     if hit:
-                        hit = (hit[0], ids[order[hit[1]]], hit[2], hit[2] + passage.n)
+                        hit = (hit[0], ids[hit[1]], hit[2], hit[2] + ready[k].n)
                         best[k] = min(best.get(k, hit), hit, key=lambda h: (-h[0], h[1], h[2]))
             yield pd.DataFrame([(shared.value[k][0], d, s, a, b) for k, (s, d, a, b) in best.items()], columns=["passage_id", "doc_id", "score", "start", "stop"])
 
-        part = given.mapInPandas(found, f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int")
+        if rest:
+            part = part.unionByName(given.mapInPandas(found, fields))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = session.createDataFrame([], f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int")
+        out = session.createDataFrame([], fields)
     best = out.groupBy("passage_id").agg(F.min_by(F.struct("doc_id", "score", "start", "stop"), F.struct(-F.col("score"), "doc_id", "start")).alias("b"))
     return best.select("passage_id", "b.*")

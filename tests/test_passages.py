@@ -176,3 +176,82 @@ def test_many_names_at_once_against_each_pair():
         listed = fuzzy.NameList(keys, known)
         assert listed.best_of(asked) == want == [listed.best(a) for a in asked]
     assert fuzzy.NameList([], []).best_of(["a", "b"]) == [(0.0, None)] * 2
+
+
+def first_equal(passage, docs):
+    """(doc, word) of the first run of as many words with the same folded text."""
+    n, want = len(passage.split()), passages.prepare([passage])[1][0].text
+    runs = ((d, i) for d, t in docs for i in range(len((t or "").split()) - n + 1) if " ".join(w for w in passages.folded_words(" ".join(t.split()[i : i + n])) if w) == want)
+    return min(runs, default=None) if want else None
+
+
+ODD = ["ΟΔΟΣ", "ΣΑΣ'", "'Σ", "İl", "a\x1cb", "\0", "-", "--", "x y", "\U0001d400b", "ⅣⅤ", "é", "\ud800", "“q”", "_", "STRASSE", "ǅ", "\x85", "٣"]
+
+
+def test_folded_texts_word_by_word():
+    rng = random.Random(8)
+    texts = [None, "", " ", "-", " - -", *("".join(rng.choices([*ODD, *WORDS, " ", "  ", "\n"], k=rng.randint(1, 60))) for _ in range(200))]
+    held = passages.Texts(texts)
+    at = 0
+    for d, text in enumerate(texts):
+        words = passages.folded_words(text or "")
+        for i, word in enumerate(words):
+            assert (held.doc[at + i], held.word[at + i]) == (d, i)
+            assert not word or held.text[held.first[at + i] : held.last[at + i]] == word
+            for n in range(1, min(6, len(words) - i + 1)):
+                start, stop = held.first[at + i], held.last[at + i + n - 1]
+                assert held.text[start : max(start, stop)] == " ".join(w for w in words[i : i + n] if w)
+        at += len(words)
+    assert at == len(held.doc)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equal_runs_against_each_run(seed):
+    rng = random.Random(seed)
+    docs = [(i // 2, " ".join(rng.choices(["the", "The,", "-", "dog", "a", "ΣΑΣ", "--"], k=rng.randint(0, 120)))) for i in range(30)]
+    texts = []
+    for n in (1, 1, 2, 3, 4, 5, 6, 7, 9, 14, 30):
+        words = rng.choice(docs)[1].split()
+        at = rng.randrange(max(1, len(words) - n))
+        texts += [" ".join(words[at : at + n]), " ".join(words[at : at + n]).upper() + "!"]
+    texts += ["-", "", "zebra", "the dog zebra"]
+    ready = passages.prepare(texts)[1]
+    held = passages.Texts([t for _, t in docs], rank=[d for d, _ in docs])
+    got = {k: (docs[d][0], i) for k, (d, i) in passages.equal_runs(passages.places_of(texts), ready, held).items()}
+    assert got == {k: want for k, text in enumerate(texts) if (want := first_equal(text, docs))}
+    assert len(got) >= 12
+
+
+def test_hashes_that_meet_are_compared(monkeypatch):
+    monkeypatch.setattr(passages.Texts, "hashes", lambda self, start, stop: np.full(len(start), 7, np.uint64))
+    monkeypatch.setattr(passages, "hash_of", lambda text: 7)
+    texts = ["lazy dog", "quick fox jumps", "cat"]
+    held = passages.Texts(["the lazy cat", "the lazy dog", "a quick, fox jumps"])
+    assert passages.equal_runs(passages.places_of(texts), passages.prepare(texts)[1], held) == {0: (1, 1), 1: (2, 1), 2: (0, 2)}
+
+
+def test_passages_with_equal_runs_take_one_pass(spark, capsys):
+    """No run exceeds an equal one, so only passages without one are held against every run."""
+    docs = spark.createDataFrame([(2, "and the Lazy - dog; sleeps"), (1, "x the lazy! dog sleeps"), (1, "lazy dog sleeps")], "doc_id int, text string")
+    ask = lambda *texts: fuzzy.locate_passages(spark.createDataFrame([*enumerate(texts)], "passage_id int, passage string"), docs)
+    whole, part = ask("lazy dog sleeps", "lazy dog", "--"), ask("lazy dog sleeps", "the lazy dig sleeps")
+    plans = []
+    for asked in (whole, part):
+        asked.explain()
+        plans.append(capsys.readouterr().out.count("MapInPandas"))
+    assert plans == [0, 1]
+    assert sorted(map(tuple, whole.collect())) == [(0, 1, 100.0, 0, 3), (1, 1, 100.0, 0, 2)]
+    assert {r.passage_id: (r.doc_id, round(r.score), r.start) for r in part.collect()} == {0: (1, 100, 0), 1: (1, 95, 1)}
+
+
+@pytest.mark.parametrize("accept, most", [(70.0, 3.2), (94.0, 2.6)])
+def test_stretches_take_few_characters(accept, most, monkeypatch):
+    """Characters taken into an LCS for each one of the texts."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=rng.randint(2, 9))) for _ in range(3000)]
+    ready = passages.prepare([" ".join(rng.choices(words, k=36))])
+    held = passages.Texts([" ".join(rng.choices(words, k=rng.randint(20, 4000))) for _ in range(40)], ready[0])
+    taken = []
+    monkeypatch.setattr(passages, "step", lambda bits, seen, *rest, step=passages.step: (taken.append(len(seen)), step(bits, seen, *rest)))
+    assert passages.most_like(ready[1][0], held, accept) is None
+    assert sum(taken) < most * len(held.chars)
