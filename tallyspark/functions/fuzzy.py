@@ -350,8 +350,8 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
 
     Passages are the queries: they go to the documents in blocks of BLOCK_CHARS characters, and each task returns its best
     run of each. A first pass finds every run that equals a passage, which nothing exceeds, and of the others what a few runs
-    that share words with it reach at least. Where no run equals a passage, a second pass counts every run, see
-    functions.passages. Documents are dealt over all tasks. Null and empty passages, and documents shorter than a passage,
+    that share words with it reach at least. Where no run equals a passage, a second pass counts every run of the different
+    texts, see functions.passages. Documents are dealt over all tasks. Null and empty passages, and documents shorter than a passage,
     have none; a null doc_id isn't found."""
     if accept <= 0:
         raise ValueError("a ratio above 0")
@@ -360,7 +360,9 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
     blocks = sizes.withColumn("_block", F.floor((F.sum("_chars").over(Window.orderBy("passage_id", "passage").rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK_CHARS))
     fields = f"passage_id {kind['p']}, doc_id {kind['d']}, score double, start int, stop int"
     session = docs.sparkSession
-    given = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
+    whole, tasks = docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    given = whole.repartition(tasks)
+    copied_once = whole.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text").repartition(tasks)
     out = None
     for (block,) in blocks.select("_block").distinct().orderBy("_block").collect():
         rows = blocks.filter(F.col("_block") == block).select("passage_id", "passage").collect()
@@ -402,7 +404,7 @@ def locate_passages(passages: DataFrame, docs: DataFrame, accept: float = 70.0)
             yield pd.DataFrame([(shared.value[k][0], d, s, a, b) for k, (s, d, a, b) in best.items()], columns=["passage_id", "doc_id", "score", "start", "stop"])
 
         if rest:
-            part = part.unionByName(given.mapInPandas(found, fields))
+            part = part.unionByName(copied_once.mapInPandas(found, fields))
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = session.createDataFrame([], fields)

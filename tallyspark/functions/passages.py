@@ -240,9 +240,9 @@ def left_over(passage: Passage, texts: Texts, accept: float) -> tuple[np.ndarray
         out = new & (200.0 * held < accept * (m + least[done]) - SLACK)
         stuck = new & ~out
         alone = np.flatnonzero(stuck & (lo == done))
-        for lane in alone:
-            found.append(np.arange(done[lane], covered[lane]))
-            bounds.append(np.full(covered[lane] - done[lane], held[lane]))
+        size = covered[alone] - done[alone]
+        found.append(np.repeat(done[alone] - np.cumsum(size) + size, size) + np.arange(size.sum()))
+        bounds.append(np.repeat(held[alone], size))
         out[alone] = True
         done = np.where(out, covered, done)
         stuck = np.flatnonzero(stuck)

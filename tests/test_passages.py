@@ -255,3 +255,13 @@ def test_stretches_take_few_characters(accept, most, monkeypatch):
     monkeypatch.setattr(passages, "step", lambda bits, seen, *rest, step=passages.step: (taken.append(len(seen)), step(bits, seen, *rest)))
     assert passages.most_like(ready[1][0], held, accept) is None
     assert sum(taken) < most * len(held.chars)
+
+
+def test_copies_are_held_against_once(spark, capsys):
+    """Of equal documents the smallest id counts, and the second pass gets one."""
+    docs = spark.createDataFrame([(i, "and the lazy cat sleeps here now" if i % 3 else None) for i in range(7, 60)], "doc_id int, text string").repartition(5)
+    asked = fuzzy.locate_passages(spark.createDataFrame([(1, "the lazy dog sleeps here now")], "passage_id int, passage string"), docs)
+    asked.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("keys=[text") >= 1
+    assert [(r.doc_id, round(r.score), r.start, r.stop) for r in asked.collect()] == [(7, 89, 1, 7)]
