@@ -18,8 +18,8 @@ from functools import cached_property, lru_cache
 import numpy as np
 
 NOT_WORD = re.compile(r"[^\w\s]")
-#: Runs compared between two looks at the best, and stretches or runs that a processor's cache holds at once.
-RUNS, LANES = 20_000, 4_000
+#: Runs compared between two looks at the best, runs that a processor's cache holds at once, and stretches at once at least.
+RUNS, LANES, LEAST_LANES = 20_000, 4_000, 500
 #: Runs dealt to a lane at once, at most, as a multiple of the passage's words, and those that a look at one rules out at most.
 DEALT, AHEAD = 8, 16
 #: Bits of a limb, below the one that takes the carry.
@@ -214,7 +214,7 @@ def left_over(passage: Passage, texts: Texts, accept: float) -> tuple[np.ndarray
     # each text's runs, dealt to as many lanes as there is room for
     begins, ends = texts.begins[:-1], texts.begins[1:] - n + 1
     begins, ends = begins[ends > begins], ends[ends > begins]
-    lanes = max(1, 4 * LANES // len(passage.bits))
+    lanes = max(LEAST_LANES, 4 * LANES // len(passage.bits))
     dealt = min(max(int((ends - begins).sum()) // lanes, n), DEALT * n)
     pieces = -(-(ends - begins) // dealt)
     within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
